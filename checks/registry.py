@@ -22,6 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def stream(self, name: str, source: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name, stream=source)
+
 
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):

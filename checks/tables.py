@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowmender.streaming.jobs import read_files
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -110,14 +112,19 @@ def _uses(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base or derived table as a DataFrame."""
+def table(spark: SparkSession, sf_dir: str, name: str, stream: str | None = None) -> DataFrame:
+    """A base or derived table as a DataFrame; the base table ``stream`` is read as a stream."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+    def base(n: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        return read_files(spark, sf_dir, df.schema, f"{n}.parquet") if n == stream else df
+
     if name in BASE:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return base(name)
     sql = DERIVED[name]
-    sources = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in _uses(sql, BASE)}
-    named = re.sub(r"[a-z_][a-z0-9_]*", lambda m: "{%s}" % m[0] if m[0] in sources else m[0], sql)
+    sources = {n: base(n) for n in _uses(sql, BASE)}
+    named = re.sub(r"(?<!')\b[a-z_][a-z0-9_]*\b(?!')", lambda m: "{%s}" % m[0] if m[0] in sources else m[0], sql)
     return spark.sql(named, **sources)
 
 
