@@ -98,8 +98,8 @@ def dup_issues(x):
 
 
 @query("dup_summary", """
-SELECT (SELECT count(*) FROM contacts) AS total_records, count(*) AS issues_found, 0 AS low, 0 AS medium, count(*) AS high, 0 AS critical,
-  count(*) AS rule_based, 0 AS ai_reasoning, 0 AS ai_exploratory, concat('duplicate=', CAST(count(*) AS STRING)) AS by_type, 0.0::DOUBLE AS ai_cost_usd
+SELECT (SELECT count(*) FROM contacts) AS total_records, count(*) AS issues_found, 0::BIGINT AS low, 0::BIGINT AS medium, count(*) AS high, 0::BIGINT AS critical,
+  count(*) AS rule_based, 0::BIGINT AS ai_reasoning, 0::BIGINT AS ai_exploratory, concat('duplicate=', CAST(count(*) AS STRING)) AS by_type, 0.0::DOUBLE AS ai_cost_usd
 FROM dup_pairs""")
 def dup_summary(x):
     return flat_summary(d.duplicate_summary(d.pair_counts(x.contacts), x.contacts))

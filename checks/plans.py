@@ -78,7 +78,7 @@ query("plan_high_risk", f"SELECT {', '.join(FLAT)} FROM actions WHERE requires_c
 
 SUMMARY = """
 SELECT plan_id, count(*) AS total_actions, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium,
-  count(*) FILTER (confidence = 'low') AS low, count(*) AS rule_based, 0 AS ai_reasoning, 0 AS ai_exploratory, count(*) AS estimated_api_calls,
+  count(*) FILTER (confidence = 'low') AS low, count(*) AS rule_based, 0::BIGINT AS ai_reasoning, 0::BIGINT AS ai_exploratory, count(*) AS estimated_api_calls,
   concat_ws(',', CASE WHEN count(*) FILTER (type = 'merge_contacts') > 0 THEN concat('merge_contacts=', CAST(count(*) FILTER (type = 'merge_contacts') AS STRING)) END,
     CASE WHEN count(*) FILTER (type = 'set_marketing_status') > 0 THEN concat('set_marketing_status=', CAST(count(*) FILTER (type = 'set_marketing_status') AS STRING)) END,
     CASE WHEN count(*) FILTER (type = 'update_property') > 0 THEN concat('update_property=', CAST(count(*) FILTER (type = 'update_property') AS STRING)) END) AS by_type,
@@ -108,7 +108,7 @@ def plan_filtered_summary(x):
 
 
 @query("plan_preview", """
-SELECT plan_id, confidence, action_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, confidence ORDER BY seq) AS rank FROM actions) r WHERE rank <= 5""")
+SELECT plan_id, confidence, action_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, confidence ORDER BY seq) AS rank FROM actions) r WHERE rank <= 5""")
 def plan_preview(x):
     return build.preview(both_plans(x)).select("plan_id", "confidence", "action_id", "rank")
 
@@ -208,8 +208,8 @@ def exec_resume(x):
 
 # one run per customer segment of actions: the seed rows by plan
 RUN_SQL = """
-SELECT execution_id, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, 0 AS skipped,
-  count(*) FILTER (status = 'success' AND NOT is_reversible) AS non_reversible, NULL AS resume_from,
+SELECT execution_id, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS skipped,
+  count(*) FILTER (status = 'success' AND NOT is_reversible) AS non_reversible, CAST(NULL AS STRING) AS resume_from,
   CASE WHEN count(*) FILTER (status = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (status = 'success') > 0 THEN 'partially_completed' ELSE 'failed' END AS status
 FROM seed_log GROUP BY execution_id"""
 EXPECTED["seed_log"] = "SELECT *, concat('run-', object_id) AS execution_id FROM plan_seed"

@@ -80,7 +80,7 @@ def summary_sql(source: str, records: str) -> str:
 SELECT (SELECT count(*) FROM {records}) AS total_records, count(*) AS issues_found,
   count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium,
   count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical,
-  count(*) AS rule_based, 0 AS ai_reasoning, 0 AS ai_exploratory,
+  count(*) AS rule_based, 0::BIGINT AS ai_reasoning, 0::BIGINT AS ai_exploratory,
   (SELECT string_agg(concat(type, '=', CAST(n AS STRING)), ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM {source} GROUP BY type) p) AS by_type,
   0.0::DOUBLE AS ai_cost_usd
 FROM {source}"""

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowmender.session import tune
 from rowmender.streaming.jobs import read_files
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -103,7 +104,9 @@ SELECT conv_id, turn, CASE CAST(conv_id % 3 AS INT) WHEN 0 THEN 'data-quality-re
 FROM conversations""",
 }
 
-# Results of the reference semantics in plain SQL, for the comparison only.
+_SCHEMAS: dict = {}
+
+# Results of the same rules in plain SQL, for the comparison only.
 EXPECTED: dict[str, str] = {}
 
 
@@ -114,10 +117,13 @@ def _uses(sql: str, names) -> list[str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str, stream: str | None = None) -> DataFrame:
     """A base or derived table as a DataFrame; the base table ``stream`` is read as a stream."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
 
     def base(n: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        path = f"{sf_dir}/{n}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        df = spark.read.schema(_SCHEMAS[path]).parquet(path)
         return read_files(spark, sf_dir, df.schema, f"{n}.parquet") if n == stream else df
 
     if name in BASE:

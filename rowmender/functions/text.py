@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # fixed values: characters that count as white space
 SPACE = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+SPACE_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # fixed values: formal first names and their nicknames
 NICKNAMES = {
     "robert": ("bob", "rob", "bobby", "robbie"),
@@ -58,11 +60,25 @@ def nonempty(c: Column | str) -> Column:
 
 
 def trim_spaces(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(_col(c), F.lit(SPACE_CHARACTERS))
+
+
+def plain_spaces(c: Column | str) -> Column:
+    """Every white-space character as a blank, one for one."""
+    return F.translate(_col(c), SPACE_CHARACTERS, " " * len(SPACE_CHARACTERS))
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"[{SPACE}]+", " ")
+    return F.regexp_replace(plain_spaces(c), " {2,}", " ")
+
+
+def has_double_space(c: Column | str) -> Column:
+    return F.contains(plain_spaces(c), F.lit("  "))
+
+
+def digit_count(c: Column | str) -> Column:
+    c = _col(c)
+    return F.length(c) - F.length(F.translate(c, "0123456789", ""))
 
 
 def tidy(c: Column | str) -> Column:
@@ -91,8 +107,9 @@ def normalize_name(c: Column | str) -> Column:
 
     Symbols go last and nothing is trimmed again: ``'A & B'`` keeps two spaces.
     """
-    squeezed = collapse_spaces(trim_spaces(F.lower(_col(c))))
-    return F.coalesce(F.regexp_replace(squeezed, "[^a-z0-9 '-]", ""), F.lit(""))
+    # one pass: blanks after a blank go, and so do symbols, whose blanks stay
+    spaced = plain_spaces(trim_spaces(F.lower(_col(c))))
+    return F.coalesce(F.regexp_replace(spaced, "(?<= ) +|[^a-z0-9 '-]", ""), F.lit(""))
 
 
 def normalize_phone(c: Column | str, country: str = "US") -> Column:

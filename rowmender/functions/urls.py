@@ -13,6 +13,8 @@ _ESCAPE = rf"%(?!{FORBIDDEN_ESCAPES})[2-9a-fA-F][0-9a-fA-F]"
 _NAME = rf"([^{FORBIDDEN_HOST}]|{_ESCAPE})+"
 _IPV6 = r"\[[0-9a-fA-F]*:[0-9a-fA-F:.]*\]"
 _OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# plain host names, which most values are, need no closer look
+COMMON = r"^(https?://)?([a-zA-Z0-9-]+\.)+[a-zA-Z]+(/[!-~]*)?\z"
 
 
 def is_valid_url(c: Column) -> Column:
@@ -28,4 +30,4 @@ def is_valid_url(c: Column) -> Column:
     numeric = host.rlike(r"(^|\.)\d+\.?(:\d*)?\z")
     ipv4 = host.rlike(rf"^({_OCTET}(\.{_OCTET}){{3}}|{_OCTET}(\.{_OCTET}){{0,1}}\.\d{{1,7}}|\d{{1,9}})\.?(:\d*)?\z")
     other_scheme = text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
-    return F.when(web, shaped & (~numeric | ipv4)).otherwise(other_scheme)
+    return F.when(c.rlike(COMMON), True).when(web, shaped & (~numeric | ipv4)).otherwise(other_scheme)

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowmender.config import DuplicateSettings
 from rowmender.functions import text as t
 from rowmender.operators.issues import issue_id, row_total
-from rowmender.operators.skew import salted_join
+from rowmender.operators import skew
+from rowmender.operators.skew import hot_counted, salted_join
 from rowmender.schemas import ISSUE_COLUMNS, require_columns
+from rowmender.session import cut_lineage
 
 MODULE = "duplicates"
 
@@ -99,20 +101,24 @@ def exact_pairs(contacts: DataFrame, settings: DuplicateSettings = DuplicateSett
 
 
 def pairs_from_members(members: DataFrame, tiers: list[int], full_pair_group: int) -> DataFrame:
-    groups = (
-        members.groupBy("tier", "key")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min("member").alias("anchor"))
-        .filter(F.col("group_size") > 1)
-    )
-    joined = salted_join(members, groups, ["tier", "key"], "inner", spread=["id"])
-    others = joined.filter(F.col("id") != F.col("anchor.id"))
-    to_anchor = others.select("tier", "group_size", F.col("anchor").alias("a"), F.col("member").alias("b"))
-    # the arrays below hold at most full_pair_group - 1 members
-    small = others.filter((F.col("group_size") > 2) & (F.col("group_size") <= full_pair_group))
-    arrays = small.groupBy("tier", "key", "group_size").agg(F.array_sort(F.collect_list("member")).alias("ms"))
-    inner = arrays.select("tier", "group_size", "ms", F.posexplode("ms").alias("at", "a")).select(
+    keys = ["tier", "key"]
+    # count first: only the keys travel, and the rows without a partner drop out below
+    groups = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
+    groups = cut_lineage(groups)
+    hot = hot_counted(groups, keys, "group_size", max(skew.MIN_HOT_ROWS, full_pair_group + 1))
+    shared = salted_join(members, groups, keys, "inner", ["id"], hot, keep_salt=True)
+    # the arrays hold at most full_pair_group members, and reuse the partitioning of the join
+    small = shared.filter(F.col("group_size") <= full_pair_group)
+    arrays = small.groupBy(*keys, "_salt", "group_size").agg(F.array_sort(F.collect_list("member")).alias("ms"))
+    listed = arrays.select("tier", "group_size", "ms", F.posexplode("ms").alias("at", "a")).select(
         "tier", "group_size", "a", F.explode(F.slice("ms", F.col("at") + 2, F.size("ms"))).alias("b"))
-    pairs = to_anchor.unionByName(inner)
+    pairs = listed
+    if not groups.filter(F.col("group_size") > full_pair_group).isEmpty():
+        large = shared.filter(F.col("group_size") > full_pair_group).drop("_salt")
+        anchors = large.groupBy(*keys).agg(F.min("member").alias("anchor"))
+        to_anchor = salted_join(large, anchors, keys, "inner", ["id"], hot).filter(F.col("id") != F.col("anchor.id"))
+        pairs = listed.unionByName(
+            to_anchor.select("tier", "group_size", F.col("anchor").alias("a"), F.col("member").alias("b")))
     a, b = F.col("a"), F.col("b")
     seen = F.lit(False)
     if 1 in tiers:
@@ -309,5 +315,6 @@ def incremental_duplicates(contacts: DataFrame, is_recent: Column,
         .agg(F.min("id").alias("match_id"), F.count(F.lit(1)).alias("matches"))
     )
     names = F.create_map(*[F.lit(x) for item in TIER_NAMES.items() for x in item])
-    return salted_join(recent, existing, ["tier", "key"], "inner", spread=["id"]).select(
+    hot = hot_counted(recent.groupBy("tier", "key").agg(F.count(F.lit(1)).alias("n")), ["tier", "key"], "n")
+    return salted_join(recent, existing, ["tier", "key"], "inner", ["id"], hot).select(
         "id", names[F.col("tier")].alias("match_type"), "match_id", "matches")

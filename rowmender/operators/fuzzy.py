@@ -13,7 +13,7 @@ from rowmender.config import DuplicateSettings
 from rowmender.functions import text as t
 from rowmender.operators.duplicates import match_keys
 from rowmender.operators.similar import similar_texts
-from rowmender.operators.skew import salted_join
+from rowmender.operators.skew import hot_counted, salted_join
 
 
 def _ordered(pairs: DataFrame, *rest) -> DataFrame:
@@ -74,7 +74,8 @@ def company_pairs(companies: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     named = companies.filter(t.present("name")).select("id", t.company_core("name").alias("core"))
     groups = named.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"))
-    members = salted_join(named, groups.filter("n > 1"), ["core"], "inner", spread=["id"]).filter("id <> head")
+    hot = hot_counted(groups, ["core"], "n")
+    members = salted_join(named, groups.filter("n > 1"), ["core"], "inner", ["id"], hot).filter("id <> head")
     one = F.lit(1).cast("bigint")
     same = members.select(
         F.col("head").alias("id_1"), F.col("id").alias("id_2"), one.alias("n_1"), one.alias("n_2"),
@@ -97,7 +98,8 @@ def name_domain_groups(contacts: DataFrame) -> DataFrame:
     names = groups.groupBy("name").agg(
         F.count(F.lit(1)).alias("domains"), F.min("id").alias("head_id"),
         ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).cast("bigint").alias("pairs")).filter("domains > 1")
-    return salted_join(groups, names, ["name"], "inner", spread=["domain"]).select(
+    hot = hot_counted(names, ["name"], "domains")
+    return salted_join(groups, names, ["name"], "inner", ["domain"], hot).select(
         "name", "domain", "n", "id", "head_id", "domains", "pairs")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
-from rowmender.operators.skew import position_within, salted_join
+from rowmender.operators.skew import hot_counted, position_within, salted_join
 
 
 def list_overlap(members: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -19,9 +19,11 @@ def list_overlap(members: DataFrame, threshold: float = 80.0) -> DataFrame:
     members = members.select("list_id", "contact_id").distinct()
     sizes = members.groupBy("list_id").agg(F.count(F.lit(1)).alias("size"))
     degrees = members.groupBy("contact_id").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = salted_join(members, degrees, ["contact_id"], "inner", spread=["list_id"])
+    hot_people = hot_counted(degrees, ["contact_id"], "degree")
+    hot_lists = hot_counted(sizes, ["list_id"], "size")
+    ranked = salted_join(members, degrees, ["contact_id"], "inner", ["list_id"], hot_people)
     placed = position_within(ranked, ["list_id"], ["degree", "contact_id"])
-    placed = salted_join(placed, sizes, ["list_id"], "inner", spread=["contact_id"])
+    placed = salted_join(placed, sizes, ["list_id"], "inner", ["contact_id"], hot_lists)
     needed = F.floor(F.col("size") * F.lit(threshold / 100.0) + F.lit(1e-9)) + 1
     prefix = placed.filter(F.col("position") <= F.col("size") - needed + 1).select(
         F.col("list_id").alias("list_1"), "contact_id")
@@ -73,7 +75,7 @@ def validate_lists(members: DataFrame, contacts: DataFrame) -> DataFrame:
 
     people = contacts.select(
         F.col("id").alias("contact_id"), t.email_key("email").alias("address"),
-        ~F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False)).alias("bad_address"),
+        (~F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))).alias("bad_address"),
         F.col("unsubscribed_at").isNotNull().alias("opted_out"),
         F.coalesce(F.col("hard_bounced") == "true", F.lit(False)).alias("bounced"))
     joined = salted_join(members, people, ["contact_id"], "inner", spread=["list_id"])

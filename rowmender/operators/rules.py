@@ -1,11 +1,11 @@
-"""Row rules for contacts: each yields an issue struct or null.
+"""Row rules for contacts, and the pass that applies them.
 
 All rules are evaluated in one pass over the table; no rule shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,7 +13,7 @@ from rowmender.config import QualityRules
 from rowmender.functions import text as t
 from rowmender.functions.urls import is_valid_url
 from rowmender.operators.issues import issue_id
-from rowmender.schemas import ISSUE_COLUMNS, require_columns
+from rowmender.schemas import require_columns
 
 MODULE = "data-quality"
 
@@ -26,101 +26,82 @@ RULE_PROPERTIES = (
 )
 
 
-def finding(
-    kind: str,
-    severity: str,
-    confidence: str,
-    description: str | Column,
-    current: Column | None = None,
-    suggested: Column | None = None,
-    field: str = "",
-    detail: str = "",
-) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(kind).alias("type"),
-        F.lit(severity).alias("severity"),
-        F.lit(confidence).alias("confidence"),
-        (F.lit(description) if isinstance(description, str) else description).alias("description"),
-        (none if current is None else current).alias("current_value"),
-        (none if suggested is None else suggested).alias("suggested_value"),
-        F.lit(field).alias("field"),
-        F.lit(detail or field).alias("detail"),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """One row rule: what it reports, and when.
+
+    ``description`` may be a Column when it depends on the row.
+    """
 
+    kind: str
+    severity: str
+    confidence: str
+    description: str | Column
+    fires: Column
+    current: Column | None = None
+    suggested: Column | None = None
+    field: str = ""
+    detail: str = ""
 
-def missing_required(field: str) -> Column:
+
+def missing_required(field: str) -> Rule:
     gone = ~F.coalesce(t.present(t.trim_spaces(F.col(field).cast("string"))), F.lit(False))
-    return F.when(gone, finding("missing_required_field", "high", "high", f"Missing required field: {field}", field=field))
+    return Rule("missing_required_field", "high", "high", f"Missing required field: {field}", gone, field=field)
 
 
-def invalid_email(field: str = "email") -> Column:
+def invalid_email(field: str = "email") -> Rule:
     c = F.col(field)
-    return F.when(
-        t.present(c) & ~c.rlike(EMAIL_PATTERN),
-        finding("invalid_email_format", "high", "high", "Invalid email format", c, field=field),
-    )
+    return Rule("invalid_email_format", "high", "high", "Invalid email format",
+                t.present(c) & ~c.rlike(EMAIL_PATTERN), c, field=field)
 
 
-def invalid_phone(field: str = "phone") -> Column:
+def invalid_phone(field: str = "phone") -> Rule:
     c = F.col(field)
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    return F.when(
-        t.present(c) & (F.length(digits) < 10),
-        finding("invalid_phone_format", "medium", "medium", "Phone number appears to be incomplete", c, field=field),
-    )
+    return Rule("invalid_phone_format", "medium", "medium", "Phone number appears to be incomplete",
+                t.present(c) & (t.digit_count(c) < 10), c, field=field)
 
 
-def invalid_url(field: str = "website") -> Column:
+def invalid_url(field: str = "website") -> Rule:
     c = F.col(field)
-    return F.when(
-        t.present(c) & ~is_valid_url(c),
-        finding("invalid_url_format", "low", "low", "Invalid website URL format", c, field=field),
-    )
+    return Rule("invalid_url_format", "low", "low", "Invalid website URL format",
+                t.present(c) & ~is_valid_url(c), c, field=field)
 
 
 def last_activity(df: DataFrame) -> Column:
     return F.greatest(t.instant(df, "notes_last_contacted"), t.instant(df, "hs_analytics_last_visit_timestamp"))
 
 
-def stale_contact(df: DataFrame, as_of: Column, threshold: int) -> Column:
+def stale_contact(df: DataFrame, as_of: Column, threshold: int) -> Rule:
     latest = last_activity(df)
     days = t.days_between(as_of, latest)
     text = F.concat(
-        F.lit("No activity in "), F.floor(days).cast("string"), F.lit(f" days (threshold: {threshold})")
-    )
-    return F.when(
-        F.coalesce(days > threshold, F.lit(False)),
-        finding("stale_contact", "medium", "medium", text, t.iso_timestamp(latest), detail="last_activity"),
-    )
+        F.lit("No activity in "), F.floor(days).cast("string"), F.lit(f" days (threshold: {threshold})"))
+    return Rule("stale_contact", "medium", "medium", text, days > threshold, t.iso_timestamp(latest),
+                detail="last_activity")
 
 
-def _typo(field: str, fires: Column, description: str, suggested: Column, detail: str) -> Column:
-    c = F.col(field)
-    body = finding("obvious_typo", "low", "medium", description, c, suggested, field, detail)
-    return F.when(t.present(c) & fires, body)
-
-
-def typos() -> list[Column]:
-    def doubled(f: str) -> Column:
-        return F.col(f).rlike(rf"[{t.SPACE}]{{2,}}")
+def typos() -> list[Rule]:
+    doubled = t.has_double_space
 
     def padded(f: str) -> Column:
         return F.col(f) != t.trim_spaces(f)
 
+    def typo(f: str, fires: Column, description: str, suggested: Column, detail: str) -> Rule:
+        return Rule("obvious_typo", "low", "medium", description, t.present(f) & fires, F.col(f), suggested, f, detail)
+
     return [
-        _typo("firstname", doubled("firstname"), "First name contains multiple consecutive spaces",
-              t.tidy("firstname"), "firstname-spaces"),
-        _typo("firstname", padded("firstname"), "First name has leading/trailing spaces",
-              t.trim_spaces("firstname"), "firstname-edges"),
-        _typo("lastname", doubled("lastname") | padded("lastname"), "Last name has formatting issues",
-              t.tidy("lastname"), "lastname-format"),
-        _typo("company", doubled("company") | padded("company"), "Company name has formatting issues",
-              t.tidy("company"), "company-format"),
+        typo("firstname", doubled("firstname"), "First name contains multiple consecutive spaces",
+             t.tidy("firstname"), "firstname-spaces"),
+        typo("firstname", padded("firstname"), "First name has leading/trailing spaces",
+             t.trim_spaces("firstname"), "firstname-edges"),
+        typo("lastname", doubled("lastname") | padded("lastname"), "Last name has formatting issues",
+             t.tidy("lastname"), "lastname-format"),
+        typo("company", doubled("company") | padded("company"), "Company name has formatting issues",
+             t.tidy("company"), "company-format"),
     ]
 
 
-def contact_rules(df: DataFrame, as_of: Column, rules: QualityRules) -> list[Column]:
+def contact_rules(df: DataFrame, as_of: Column, rules: QualityRules) -> list[Rule]:
     return [
         *[missing_required(f) for f in rules.required_contact_fields],
         invalid_email(),
@@ -131,26 +112,45 @@ def contact_rules(df: DataFrame, as_of: Column, rules: QualityRules) -> list[Col
     ]
 
 
-def run_rules(df: DataFrame, rules: list[Column], module: str, object_type: str = "contact") -> DataFrame:
-    """Evaluate the rules and give one row per finding."""
-    every = df.select("id", F.posexplode(F.array(*rules)).alias("rule_no", "f"))
-    flat = every.filter(F.col("f").isNotNull())
-    return flat.select(
-        issue_id(F.lit(module), F.col("f.type"), F.col("id"), F.col("f.detail")).alias("issue_id"),
+def run_rules(df: DataFrame, rules: list[Rule], module: str, object_type: str = "contact") -> DataFrame:
+    """Evaluate the rules in one pass and give one row per finding.
+
+    Only what depends on the row goes through the array; the fixed texts of a
+    rule are looked up afterwards in a constant.
+    """
+    none = F.lit(None).cast("string")
+
+    def found(n: int, r: Rule) -> Column:
+        text = r.description if isinstance(r.description, Column) else none
+        return F.when(r.fires, F.struct(
+            F.lit(n).alias("rule_no"), (none if r.current is None else r.current).alias("current_value"),
+            (none if r.suggested is None else r.suggested).alias("suggested_value"), text.alias("text")))
+
+    fixed = F.array(*[
+        F.struct(
+            F.lit(r.kind).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
+            F.lit(r.description if isinstance(r.description, str) else "").alias("description"),
+            F.lit(r.field).alias("field"), F.lit(r.detail or r.field).alias("detail"))
+        for r in rules])
+    hits = df.select("id", F.array_compact(F.array(*[found(n, r) for n, r in enumerate(rules)])).alias("hits"))
+    flat = hits.filter(F.size("hits") > 0).select("id", F.inline("hits"))
+    rows = flat.withColumn("r", fixed[F.col("rule_no")])
+    return rows.select(
+        issue_id(F.lit(module), F.col("r.type"), F.col("id"), F.col("r.detail")).alias("issue_id"),
         F.lit(module).alias("module"),
-        F.col("f.type").alias("type"),
-        F.col("f.severity").alias("severity"),
+        "r.type",
+        "r.severity",
         F.lit(object_type).alias("object_type"),
         F.col("id").alias("object_id"),
-        F.col("f.description").alias("description"),
-        F.col("f.current_value").alias("current_value"),
-        F.col("f.suggested_value").alias("suggested_value"),
-        F.col("f.confidence").alias("confidence"),
+        F.coalesce("text", "r.description").alias("description"),
+        "current_value",
+        "suggested_value",
+        "r.confidence",
         F.lit("rule").alias("detection_method"),
-        F.lit(None).cast("string").alias("reasoning"),
-        F.col("f.field").alias("field"),
+        none.alias("reasoning"),
+        "r.field",
         "rule_no",
-    ).select(*ISSUE_COLUMNS)
+    )
 
 
 def audit_contacts(contacts: DataFrame, as_of, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -163,5 +163,3 @@ def audit_companies(companies: DataFrame, rules: QualityRules = QualityRules())
     df = require_columns(companies, rules.required_company_fields)
     return run_rules(df, [missing_required(f) for f in rules.required_company_fields], "company-quality", "company")
 
-
-Rule = Callable[[DataFrame], Column]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, Row, Window
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rowmender.session import cut_lineage
 
@@ -15,16 +16,18 @@ MIN_HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The heaviest keys of ``df``: never more than ``MAX_HOT_KEYS`` rows."""
-    known = df.dropna(subset=list(keys))
-    return (
-        known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> list[Row]:
+    """The heaviest keys of ``df``, null included: never more than ``MAX_HOT_KEYS`` rows.
+
+    One pass over the key columns; partial counts are what is shuffled.
+    """
+    return hot_counted(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", min_rows)
+
+
+def hot_counted(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int | None = None) -> list[Row]:
+    """As :func:`hot_keys`, from a table that has the row count of each key already."""
+    heavy = counts.filter(F.col(rows) >= (MIN_HOT_ROWS if min_rows is None else min_rows)).orderBy(F.desc(rows), *keys)
+    return heavy.limit(MAX_HOT_KEYS).select(*keys).collect()
 
 
 def salted_join(
@@ -33,31 +36,41 @@ def salted_join(
     keys: Sequence[str],
     how: str = "inner",
     spread: Sequence[str] = ("id",),
-    hot: DataFrame | None = None,
-    min_rows: int = MIN_HOT_ROWS,
+    hot: Sequence[Row] | None = None,
+    min_rows: int | None = None,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``big`` to ``single``, which has one row per key.
 
     Rows of a hot key are spread over ``SALTS`` partitions by ``spread`` and the
-    one matching row is repeated for each. Rows with a null key are spread too.
-    The hot keys are broadcast: ``hot_keys`` bounds them.
+    one matching row is repeated for each; rows without a key are spread when
+    they are many. ``hot_keys`` bounds the list of hot keys, so it is broadcast.
+    Without hot keys this is a plain join. ``keep_salt`` leaves the column
+    ``_salt`` for a grouping that reuses the partitioning of the join.
     """
     keys = list(keys)
     if hot is None:
         hot = hot_keys(big, keys, min_rows)
-    hot = F.broadcast(hot)
+    if not hot:
+        joined = big.join(single, keys, how)
+        return joined.withColumn("_salt", F.lit(0)) if keep_salt else joined
+    fields = [big.schema[k] for k in keys]
+    known = [(*row, True) for row in hot if all(v is not None for v in row)]
+    table = big.sparkSession.createDataFrame(known, StructType([*fields, StructField("_hot", BooleanType())]))
+    table = F.broadcast(table)
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
     row_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
     left = (
-        big.join(hot, keys, "left")
+        big.join(table, keys, "left")
         .withColumn("_salt", F.when(F.col("_hot") | missing, row_salt).otherwise(0))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = single.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = single.join(table, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    joined = left.join(right, [*keys, "_salt"], how)
+    return joined if keep_salt else joined.drop("_salt")
 
 
 def ordered_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -84,6 +97,7 @@ def ordered_position(df: DataFrame, order: Sequence[str], name: str = "position"
 def position_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows 1..n inside each group, whatever the size of the group."""
     numbered = ordered_position(df, [*group, *order], "_global")
-    starts = numbered.groupBy(*group).agg(F.min("_global").alias("_start"))
-    joined = salted_join(numbered, starts, group, "inner", spread=["_global"])
-    return joined.withColumn(name, F.col("_global") - F.col("_start") + 1).drop("_global", "_start")
+    starts = numbered.groupBy(*group).agg(F.min("_global").alias("_start"), F.count(F.lit(1)).alias("_count"))
+    hot = hot_counted(starts, group, "_count")
+    joined = salted_join(numbered, starts, group, "inner", ["_global"], hot)
+    return joined.withColumn(name, F.col("_global") - F.col("_start") + 1).drop("_global", "_start", "_count")

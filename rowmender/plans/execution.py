@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
-from rowmender.operators.skew import salted_join
+from rowmender.operators.skew import hot_counted, salted_join
 
 UPDATABLE = ("contact", "company", "deal")
 
@@ -36,8 +36,9 @@ def stop_on_error(outcomes: DataFrame, plan: str = "plan_id", order: str = "seq"
     One row per plan holds the first failure, so no plan is ordered in one task.
     """
     failed = F.when(F.col("status") == "failed", F.struct(F.col(order).alias("at"), F.col("action_id").alias("first")))
-    first = outcomes.groupBy(plan).agg(F.min(failed).alias("_fail"))
-    joined = salted_join(outcomes, first, [plan], "inner", spread=["action_id"])
+    first = outcomes.groupBy(plan).agg(F.min(failed).alias("_fail"), F.count(F.lit(1)).alias("_n"))
+    hot = hot_counted(first, [plan], "_n")
+    joined = salted_join(outcomes, first.drop("_n"), [plan], "inner", ["action_id"], hot)
     kept = joined.filter(F.col("_fail").isNull() | (F.col(order) <= F.col("_fail.at")))
     return kept.withColumn("resume_from", F.col("_fail.first")).drop("_fail")
 

@@ -29,7 +29,7 @@ def dependency_levels(actions: DataFrame) -> DataFrame:
     """
     ids = cut_lineage(actions.select("action_id").distinct())
     edges = cut_lineage(dependency_edges(actions))
-    hot = cut_lineage(hot_keys(edges, ["dependency"]))
+    hot = hot_keys(edges, ["dependency"])
     known = ids.withColumnRenamed("action_id", "dependency")
     all_edges = edges
     absent = cut_lineage(
