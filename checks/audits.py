@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.duplicates import pairs
-from checks.plans import CHANGED  # noqa: F401
 from checks.quality import CONFIG, ISSUE_FIELDS, quality_issues
 from checks.registry import query
 from checks.tables import AS_OF, EXPECTED
 from rowmender.config import CompanyProfile, MarketingSettings
 from rowmender.functions import text as t
 from rowmender.operators import (
-    consistency, duplicates, fuzzy, issues, lists, marketing, masking, pipeline, properties, search, sets,
+    consistency, duplicates, fuzzy, issues, lists, marketing, masking, modules, pipeline, properties, search, sets,
 )
 from rowmender.sources import scans
 from rowmender.streaming import jobs
@@ -248,7 +247,7 @@ SELECT issue_id, 'data-quality' AS module, type, object_id FROM quality_issues U
 
 
 def all_issues(x):
-    return quality_issues(x).unionByName(duplicates.pairs_to_issues(pairs(x)))
+    return modules.run_audits(["data-quality", "duplicates"], {"contacts": x.contacts}, CONFIG, AS_OF)
 
 
 query("all_audits", "SELECT issue_id, module, type, object_id FROM all_issues")(

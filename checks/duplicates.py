@@ -65,6 +65,12 @@ query("dup_name_company", pair_sql("nkey", "exact_name_company"))(lambda x: show
 query("dup_tier1_pairs", f"SELECT {PAIR_FIELDS} FROM dup_pairs")(lambda x: shown(pairs(x)))
 
 
+query("dup_groups", """
+SELECT CASE tier WHEN 1 THEN 'exact_email' WHEN 2 THEN 'exact_phone_company' ELSE 'exact_name_company' END AS match_type, key, id, group_size
+FROM (SELECT *, count(*) OVER (PARTITION BY tier, key) AS group_size FROM tier_keys) g WHERE group_size > 1""")(
+    lambda x: d.shared_groups(x.contacts))
+
+
 @query("dup_match_factors", """
 SELECT match_type, email_match, phone_match, company_match, count(*) AS pairs, min(name_similarity) AS lowest, max(name_similarity) AS highest
 FROM dup_pairs GROUP BY ALL""")

@@ -78,6 +78,17 @@ def group_members(keys: DataFrame, tiers: list[int]) -> DataFrame:
     return keys.select("id", profile.alias("member"), F.inline(F.array_compact(F.array(*entries))))
 
 
+def shared_groups(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
+    """Every contact of every group of two or more, one row per key: the whole of the pairs, in linear size."""
+    rows = group_members(match_keys(contacts, settings.default_country_code), enabled_tiers(settings)).select(
+        "tier", "key", "id")
+    counts = cut_lineage(rows.groupBy("tier", "key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
+    hot = hot_counted(counts, ["tier", "key"], "group_size")
+    names = F.create_map(*[F.lit(x) for item in TIER_NAMES.items() for x in item])
+    return salted_join(rows, counts, ["tier", "key"], "inner", ["id"], hot).select(
+        names[F.col("tier")].alias("match_type"), "key", "id", "group_size")
+
+
 def _factors(a: Column, b: Column, tier: Column) -> dict[str, Column]:
     def same(field: str) -> Column:
         return F.coalesce(a[field] == b[field], F.lit(False))

@@ -43,7 +43,7 @@ def local_session(cores: int | str = "*", app: str = "rowmender", partitions: in
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only on a local master."""
     context = spark.sparkContext
-    configured = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
