@@ -208,7 +208,7 @@ query("dup_name_domain", """
 SELECT g.name, g.domain, g.n, g.id, min(h.id) AS head_id, count(*) AS domains,
   CAST((sum(h.n) * sum(h.n) - sum(h.n * h.n)) // 2 AS BIGINT) AS pairs
 FROM domain_groups g JOIN domain_groups h ON h.name = g.name GROUP BY g.name, g.domain, g.n, g.id HAVING count(*) > 1""")(
-    lambda x: fuzzy.name_domain_groups(x.contacts))
+    lambda x: fuzzy.name_domain_groups(x.contacts).withColumn("pairs", F.col("pairs").cast("bigint")))
 
 query("similar_contacts", """
 SELECT id, CAST(rank AS INTEGER) AS rank, other_id, distance FROM (
@@ -359,7 +359,7 @@ SELECT count(*) AS contacts, count(*) FILTER (trim(email) <> '' AND trim(firstna
 def health_score(x):
     n = F.count(F.lit(1)).alias("n")
     hygiene = lists.list_hygiene(x.lists, x.members, x.contacts, AS_OF, F.col("hard_bounced") == "true")
-    counted = duplicates.pair_counts(x.contacts).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"))
+    counted = duplicates.pair_counts(x.contacts).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("n"))
     return properties.health_score(
         x.contacts, CONFIG.rules.required_contact_fields, counted, variants(x).agg(n), hygiene.filter("is_unused").agg(n))
 

@@ -82,7 +82,7 @@ def dup_match_factors(x):
 
 @query("dup_pair_counts", "SELECT match_type, count(*) AS pairs FROM dup_pairs GROUP BY match_type")
 def dup_pair_counts(x):
-    return d.pair_counts(x.contacts)
+    return d.pair_counts(x.contacts).withColumn("pairs", F.col("pairs").cast("bigint"))
 
 
 EXPECTED["dup_issue_rows"] = """
@@ -108,7 +108,8 @@ SELECT (SELECT count(*) FROM contacts) AS total_records, count(*) AS issues_foun
   count(*) AS rule_based, 0::BIGINT AS ai_reasoning, 0::BIGINT AS ai_exploratory, concat('duplicate=', CAST(count(*) AS STRING)) AS by_type, 0.0::DOUBLE AS ai_cost_usd
 FROM dup_pairs""")
 def dup_summary(x):
-    return flat_summary(d.duplicate_summary(d.pair_counts(x.contacts), x.contacts))
+    summary = flat_summary(d.duplicate_summary(d.pair_counts(x.contacts), x.contacts))
+    return summary.withColumns({c: F.col(c).cast("bigint") for c in ("issues_found", "high", "rule_based")})
 
 
 @query("dup_insights", """

@@ -147,6 +147,12 @@ def pairs_from_members(members: DataFrame, tiers: list[int], full_pair_group: in
     )
 
 
+def pairs_in(n: Column) -> Column:
+    """n(n-1)/2 as a decimal: a group of a few billion has more pairs than a bigint holds."""
+    half = F.shiftright(n, 1)
+    return half.cast("decimal(19,0)") * (n - 1 + n.bitwiseAND(F.lit(1))).cast("decimal(19,0)")
+
+
 def pair_counts(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
     """Exact number of pairs per match type, without listing any pair.
 
@@ -157,40 +163,40 @@ def pair_counts(contacts: DataFrame, settings: DuplicateSettings = DuplicateSett
     keys = match_keys(contacts, settings.default_country_code)
     e, p, n = F.col("email_key"), F.col("phone_company_key"), F.col("name_company_key")
 
-    def combined(*cs: Column) -> Column:
-        whole = cs[0].isNotNull()
-        for c in cs[1:]:
-            whole = whole & c.isNotNull()
-        return F.when(whole, F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cs)])))
-
-    parts: list[tuple[str, int, Column]] = []
+    parts: list[tuple[str, int, list[Column]]] = []
     if 1 in tiers:
-        parts.append((TIER_NAMES[1], 1, combined(e)))
+        parts.append((TIER_NAMES[1], 1, [e]))
     if 2 in tiers:
-        parts.append((TIER_NAMES[2], 1, combined(p)))
+        parts.append((TIER_NAMES[2], 1, [p]))
         if 1 in tiers:
-            parts.append((TIER_NAMES[2], -1, combined(p, e)))
+            parts.append((TIER_NAMES[2], -1, [p, e]))
     if 3 in tiers:
-        parts.append((TIER_NAMES[3], 1, combined(n)))
+        parts.append((TIER_NAMES[3], 1, [n]))
         if 1 in tiers:
-            parts.append((TIER_NAMES[3], -1, combined(n, e)))
+            parts.append((TIER_NAMES[3], -1, [n, e]))
         if 2 in tiers:
-            parts.append((TIER_NAMES[3], -1, combined(n, p)))
+            parts.append((TIER_NAMES[3], -1, [n, p]))
         if 1 in tiers and 2 in tiers:
-            parts.append((TIER_NAMES[3], 1, combined(n, p, e)))
-    entries = [
-        F.when(k.isNotNull(), F.struct(
-            F.lit(i).alias("part"), F.lit(name).alias("match_type"), F.lit(sign).alias("sign"), k.alias("key")))
-        for i, (name, sign, k) in enumerate(parts)
-    ]
+            parts.append((TIER_NAMES[3], 1, [n, p, e]))
+
+    def entry(part: int, name: str, sign: int, used: list[Column]) -> Column:
+        whole = F.lit(True)
+        for k in used:
+            whole = whole & k.isNotNull()
+        padded = [*used, *[F.lit(None).cast("string")] * (3 - len(used))]
+        return F.when(whole, F.struct(
+            F.lit(part).alias("part"), F.lit(name).alias("match_type"), F.lit(sign).alias("sign"),
+            *[k.alias(f"k{i}") for i, k in enumerate(padded)]))
+
+    entries = [entry(i, *p) for i, p in enumerate(parts)]
     sizes = (
         keys.select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("part", "match_type", "sign", "key").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("part", "match_type", "sign", "k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
     )
-    twice = F.col("sign") * F.col("n") * (F.col("n") - 1)
     return (
-        sizes.groupBy("match_type").agg(F.sum((twice / 2).cast("bigint")).alias("pairs"))
+        sizes.groupBy("match_type")
+        .agg(F.sum(F.col("sign") * pairs_in(F.col("n"))).cast("decimal(38,0)").alias("pairs"))
         .filter(F.col("pairs") > 0)
     )
 
@@ -244,8 +250,7 @@ def duplicate_summary(counts: DataFrame, contacts: DataFrame, ai_cost: float = 0
     zero = F.lit(0).cast("bigint")
     total = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("issues_found"))
     n = F.col("issues_found")
-    by_type = F.when(n > 0, F.create_map(F.lit("duplicate"), n)).otherwise(F.map_from_arrays(
-        F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    by_type = F.map_filter(F.create_map(F.lit("duplicate"), n), lambda _, v: v > 0)
     return total.select(
         row_total(contacts).alias("total_records"), "issues_found",
         zero.alias("low"), zero.alias("medium"), n.alias("high"), zero.alias("critical"),
@@ -273,8 +278,8 @@ def email_match_count(contacts: DataFrame, settings: DuplicateSettings = Duplica
             F.lit(i).alias("part"), F.lit(s).alias("sign"), k.alias("key"), k2.alias("key2")))
         for i, (s, k, k2) in enumerate(parts)]))
     sizes = keys.select("email_key", F.inline(rows)).groupBy("part", "sign", "key", "key2", "email_key").count()
-    twice = F.col("sign") * F.col("count") * (F.col("count") - 1)
-    return sizes.agg(F.coalesce(F.sum((twice / 2).cast("bigint")), F.lit(0)).alias("email_matches"))
+    total = F.sum(F.col("sign") * pairs_in(F.col("count"))).cast("decimal(38,0)")
+    return sizes.agg(F.coalesce(total, F.lit(0)).alias("email_matches"))
 
 
 def duplicate_insights(counts: DataFrame, email_matches: DataFrame, contacts: DataFrame,
@@ -282,7 +287,6 @@ def duplicate_insights(counts: DataFrame, email_matches: DataFrame, contacts: Da
     """Sentences derived from the exact pair counts."""
     total = counts.agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"),
-        F.max(F.struct(F.col("pairs"), F.lit(0).alias("x"))).alias("most"),
         F.min(F.struct((-F.col("pairs")).alias("neg"), "match_type")).alias("top"),
     ).select("n", "top", email_matches.scalar().alias("emails"), row_total(contacts).alias("records"))
     n, emails = F.col("n"), F.col("emails")

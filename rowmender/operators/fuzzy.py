@@ -94,10 +94,11 @@ def name_domain_groups(contacts: DataFrame) -> DataFrame:
         "id", t.normalize_name(F.concat_ws(" ", t.nonempty("firstname"), t.nonempty("lastname"))).alias("name"),
         t.email_domain("email").alias("domain")).filter("trim(name) <> '' AND domain <> ''")
     groups = rows.groupBy("name", "domain").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    n = F.col("n")
+    n = F.col("n").cast("decimal(19,0)")
     names = groups.groupBy("name").agg(
         F.count(F.lit(1)).alias("domains"), F.min("id").alias("head_id"),
-        ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).cast("bigint").alias("pairs")).filter("domains > 1")
+        ((F.sum(n).cast("decimal(19,0)") * F.sum(n).cast("decimal(19,0)") - F.sum(n * n)) / 2).cast("decimal(38,0)").alias("pairs")
+    ).filter("domains > 1")
     hot = hot_counted(names, ["name"], "domains")
     return salted_join(groups, names, ["name"], "inner", ["domain"], hot).select(
         "name", "domain", "n", "id", "head_id", "domains", "pairs")
