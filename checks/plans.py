@@ -264,6 +264,13 @@ def _changed(p: str) -> str:
             f"(SELECT coalesce(max_by(coalesce(new_value, ''), seq), '') FROM inferred i WHERE i.object_id = c.id AND i.prop = '{p}' AND type = 'update_property') ELSE {p} END AS {p}")
 
 
+def stored(x, actions):
+    """The plan as a run reads it: from where it was saved."""
+    path = scratch_path(x.spark, "plan")
+    store.write_plan(actions, path)
+    return store.read_plan(x.spark, path)
+
+
 def inferred_plan(x):
     return build.build_actions(quality_issues(x), "plan-quality", infer_property=True)
 
@@ -351,12 +358,12 @@ SELECT i.action_id, CASE WHEN type = 'set_marketing_status' THEN 'hs_marketable_
   CASE WHEN type = 'set_marketing_status' THEN hs_marketable_status {' '.join(f"WHEN prop = '{p}' THEN {p}" for p in CHANGED)} END AS original_value
 FROM inferred i JOIN contacts c ON c.id = i.object_id WHERE type = 'set_marketing_status' OR prop IS NOT NULL""")
 def rollback_capture(x):
-    images = rollback.before_images(inferred_plan(x), {"contact": x.contacts})
+    images = rollback.before_images(stored(x, inferred_plan(x)), {"contact": x.contacts})
     return images.select("action_id", "rollback_data.property", "rollback_data.original_value")
 
 
 def quality_run(x):
-    plan = quality_plan(x)
+    plan = stored(x, quality_plan(x))
     images = rollback.before_images(plan, {"contact": x.contacts})
     return execution.run_actions(plan, images, "run-1", AS_OF, continue_on_error=True)
 
@@ -374,7 +381,7 @@ def execution_log(x):
 @query("rollback_apply", f"SELECT id, {', '.join(f"nullif({p}, '') AS {p}" for p in ('hs_marketable_status', *CHANGED))} FROM contacts")
 def rollback_apply(x):
     """Apply a plan and undo it: only nulls come back as empty text."""
-    plan = inferred_plan(x)
+    plan = stored(x, inferred_plan(x))
     before = x.contacts.select("id", "hs_marketable_status", *CHANGED)
     images = rollback.before_images(plan, {"contact": before})
     log = execution.run_actions(plan, images, "run-1", AS_OF, continue_on_error=True)
