@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.config import CaseSettings
-from rowmender.functions import text as t
 from rowmender.schemas import require_columns
 
 # fixed values: names and words that mark a review case

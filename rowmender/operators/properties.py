@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
-from rowmender.operators.issues import row_total
 from rowmender.operators.similar import similar_texts
 
 
