@@ -190,3 +190,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that reach the threshold, with all their columns; no shuffle."""
+
+    @F.pandas_udf("double")
+    def rated(texts):
+        import pandas as pd
+
+        return pd.Series(model.score(np.array([features(t or "") for t in texts]).reshape(-1, len(FEATURES))))
+
+    return docs.filter(rated(F.col("text")) >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmender.llm import additive, hyper_language, line_crf, packing, suffix_index, word_bpe
+from rowmender.llm import additive, hyper_language, license_scan, line_crf, packing, secret_scan, set_sketch, subspace_join, suffix_index, word_bpe
 from rowmender.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, line_crf.train(docs, load(spark, sf_dir, "labels")))
 
 
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.components(texts(spark, sf_dir), set_sketch.SketchSettings(words=4))
+
+
+@query
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(texts(spark, sf_dir))
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = texts(spark, sf_dir), load(spark, sf_dir, "labels")
@@ -63,3 +78,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = additive.fold("doc_id", 3) == 1
     prototypes = hyper_language.learn(docs.filter(~held_out))
     return hyper_language.identify(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(texts(spark, sf_dir))

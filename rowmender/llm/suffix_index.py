@@ -18,7 +18,8 @@ A key with very many distinct segments would overload its shard. Its strings are
 by their own 128-bit hash and counted instead, with the same outcome.
 
 Nulls count as empty texts; texts shorter than ``length`` keep all bytes; repeated rows
-are repeats of each other. All columns but the text pass through.
+are repeats of each other. All columns but the text pass through, save those that have
+the name of an added one.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from rowmender.llm.windows import Powers, segments
 
 PART = "shard int, level int, keys binary, lens binary, body binary, starts binary"
 RAW, MATCH = -1, -2
+ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
 
 @dataclass(frozen=True)
@@ -53,9 +55,9 @@ def signed(digest: int) -> int:
 
 
 def pack_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with the text replaced by its hash ``_t`` and its compressed bytes ``_z``."""
+    """The rows with the text replaced by its hash and its compressed bytes."""
     kept = [c for c in docs.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "_t bigint", "_z binary"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "__t bigint", "__z binary"])
     types = pa_schema(docs.sparkSession, schema)
 
     def run(batches):
@@ -241,14 +243,14 @@ def spread_repeats(pieces: DataFrame, settings: RepeatSettings) -> DataFrame:
 def cut_pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
     """The texts of the wanted segments (_id, _t, and columns k, c, s, n, shard, batch, hot)."""
     lists = wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("k", "c", "s", "n", "shard", "batch", "hot")).alias("want"))
-    joined = packed.join(lists, packed["_id"].eqNullSafe(lists["_id"]) & (packed["_t"] == lists["_t"])).select("want", "_z")
+    joined = packed.join(lists, packed["_id"].eqNullSafe(lists["_id"]) & (packed["__t"] == lists["_t"])).select("want", "__z")
 
     def make():
         unpress = zstandard.ZstdDecompressor()
 
         def work(cols):
             out = {c: [] for c in ("k", "c", "shard", "batch", "hot", "body")}
-            for want, z in zip(cols["want"], cols["_z"]):
+            for want, z in zip(cols["want"], cols["__z"]):
                 body = unpress.decompress(z)
                 for w in want:
                     for name in ("k", "c", "shard", "batch", "hot"):
@@ -265,6 +267,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     """The rows without ``text``, plus ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``."""
     spark = docs.sparkSession
     length = settings.length
+    docs = docs.drop(*ADDED)
     plain = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     marks, marks_path = written(mark(plain, settings), "segments")
     # keys that occur once hold no repeat
@@ -289,17 +292,17 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     found = found.unionByName(spread_repeats(pieces.filter("hot").dropDuplicates(["k", "c"]), settings))
     whole = classes.filter("copies > 1").select("k", "c", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
     runs = found.unionByName(whole).groupBy("k", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    spans = seen.join(runs, ["k", "c"]).groupBy("_id", "_t").agg(F.collect_list(F.struct("s", "runs")).alias("_spans"))
-    spans = spans.withColumnRenamed("_id", "_span_id").withColumnRenamed("_t", "_span_t")
-    spans = spans.withColumn("_spans", F.flatten(F.transform(
-        "_spans", lambda x: F.transform(x["runs"], lambda r: F.struct((x["s"] + r["lo"]).alias("from"), (x["s"] + r["hi"] + length).alias("to"))))))
-    joined = packed.join(spans, packed[doc_id].eqNullSafe(spans["_span_id"]) & (packed["_t"] == spans["_span_t"]), "left")
-    return carve(joined.drop("_span_id", "_span_t", "_t"))
+    spans = seen.join(runs, ["k", "c"]).groupBy("_id", "_t").agg(F.collect_list(F.struct("s", "runs")).alias("__spans"))
+    spans = spans.withColumnRenamed("_id", "__span_id").withColumnRenamed("_t", "__span_t")
+    spans = spans.withColumn("__spans", F.flatten(F.transform(
+        "__spans", lambda x: F.transform(x["runs"], lambda r: F.struct((x["s"] + r["lo"]).alias("from"), (x["s"] + r["hi"] + length).alias("to"))))))
+    joined = packed.join(spans, packed[doc_id].eqNullSafe(spans["__span_id"]) & (packed["__t"] == spans["__span_t"]), "left")
+    return carve(joined.drop("__span_id", "__span_t", "__t"))
 
 
 def carve(rows: DataFrame) -> DataFrame:
     """Cut the spans out of the packed texts."""
-    kept = [c for c in rows.columns if c not in ("_z", "_spans")]
+    kept = [c for c in rows.columns if c not in ("__z", "__spans")]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"])
     types = pa_schema(rows.sparkSession, schema)
 
@@ -327,4 +330,14 @@ def carve(rows: DataFrame) -> DataFrame:
             out = [pa.array(bodies, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))]
             yield pa.RecordBatch.from_arrays([*columns, *out], schema=types)
 
-    return rows.select(*[F.col(f"`{c}`") for c in kept], "_z", "_spans").mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "__z", "__spans").mapInArrow(run, schema)
+
+
+def readable(kept):
+    """The kept bytes as text, without the rest of a character that a cut went through."""
+
+    @F.pandas_udf("string")
+    def text(bodies):
+        return bodies.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return text(kept)
