@@ -21,10 +21,17 @@ ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
 # ---- access paths
 
 
-@query("scan_contacts", "SELECT id, email, firstname, lastname, phone, mobilephone, company, jobtitle, lifecyclestage, hs_marketable_status FROM contacts")
+@query("scan_contacts", f"""
+SELECT id, email, firstname, lastname, phone, mobilephone, company, jobtitle, lifecyclestage, hs_marketable_status,
+  strftime(createdate, '{ISO}') AS createdate, strftime(lastmodifieddate, '{ISO}') AS lastmodifieddate FROM contacts""")
 def scan_contacts(x):
-    names = [p for p in scans.CONTACT_PROPERTIES if p not in ("createdate", "lastmodifieddate")]
-    return scans.scan(x.contacts, names)
+    found = scans.scan(x.contacts, scans.CONTACT_PROPERTIES)
+    return found.withColumns({c: t.iso_timestamp(F.col(c)) for c in ("createdate", "lastmodifieddate")})
+
+
+@query("lookup", "SELECT id, email, lifecyclestage FROM contacts WHERE id = '7'")
+def lookup(x):
+    return scans.lookup(x.contacts, "7").select("id", "email", "lifecyclestage")
 
 
 query("scan_companies", "SELECT id, name, domain FROM companies")(lambda x: scans.scan(x.companies, scans.COMPANY_PROPERTIES))
@@ -35,18 +42,33 @@ def scan_deals(x):
     return scans.scan(x.deals, scans.DEAL_PROPERTIES).withColumn("updated_at", t.iso_timestamp(F.col("updated_at")))
 
 
-@query("property_catalogue", """
-SELECT v.*, CASE name WHEN 'industry' THEN (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT industry AS v FROM contacts WHERE industry IS NOT NULL) d)
-  WHEN 'lifecyclestage' THEN (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT lifecyclestage AS v FROM contacts WHERE lifecyclestage IS NOT NULL) d)
-  WHEN 'country' THEN (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT country AS v FROM companies) d) END AS options
-FROM (VALUES ('contact', 'email', 'Email', 'string'), ('contact', 'industry', 'Industry', 'string'), ('contact', 'lifecyclestage', 'Lifecyclestage', 'string'),
-  ('company', 'name', 'Name', 'string'), ('company', 'domain', 'Domain', 'string'), ('company', 'country', 'Country', 'string'), ('deal', 'amount', 'Amount', 'double')) v(object_type, name, label, type)""")
+KINDS = {
+    "contact": {c: "string" for c in (
+        "email", "firstname", "lastname", "phone", "mobilephone", "company", "jobtitle", "industry", "company_size", "website", "country",
+        "hs_marketable_status", "hs_marketable_reason_type", "lifecyclestage", "source", "hs_email_open", "hard_bounced")}
+    | {c: "timestamp" for c in ("notes_last_contacted", "hs_analytics_last_visit_timestamp", "lastmodifieddate", "unsubscribed_at", "createdate")},
+    "company": {c: "string" for c in ("name", "domain", "country")},
+    "deal": {"contact_id": "string", "stage": "string", "amount": "double", "updated_at": "timestamp"},
+}
+
+
+def crm(x):
+    return {"contact": x.contacts, "company": x.companies, "deal": x.deals}
+
+
+@query("property_catalogue", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{o}', '{c}', '{c.replace('_', ' ').capitalize()}', '{k}')" for o, columns in KINDS.items() for c, k in columns.items())
+    + ") v(object_type, name, label, type)")
 def property_catalogue(x):
-    found = scans.property_catalogue(
-        {"contact": x.contacts.select("id", "email", "industry", "lifecyclestage"), "company": x.companies,
-         "deal": x.deals.select("id", "amount")},
-        {"contact": ["industry", "lifecyclestage"], "company": ["country"]})
-    return found.withColumn("options", F.array_join("options", ","))
+    tables = {o: df.withColumns({c: F.col(c).cast("timestamp") for c, k in KINDS[o].items() if k == "timestamp"}) for o, df in crm(x).items()}
+    return scans.property_catalogue(tables)
+
+
+@query("property_values", "\nUNION ALL ".join(
+    f"SELECT '{o}' AS object_type, '{c}' AS name, {c} AS value, count(*) AS n FROM {dict(contact='contacts', company='companies', deal='deals')[o]} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for o, c in (("contact", "industry"), ("contact", "lifecyclestage"), ("contact", "jobtitle"), ("contact", "website"), ("company", "country"), ("deal", "stage"))))
+def property_values(x):
+    return scans.property_values(crm(x), {"contact": ["industry", "lifecyclestage", "jobtitle", "website"], "company": ["country"], "deal": ["stage"]})
 
 
 query("lists_scan", "SELECT list_id, name, coalesce(size, 0) AS size FROM lists")(
@@ -395,8 +417,6 @@ SELECT id, hs_marketable_status = 'true' AS marketing, CASE WHEN hard_bounced =
 query("mkt_obvious", "SELECT id, reason, 'convert' AS action, 'high' AS confidence FROM obvious WHERE marketing AND reason IS NOT NULL")(
     lambda x: marketing.obvious_candidates(x.contacts, SETTINGS))
 
-# large deals only, so that some contacts have none
-EXPECTED["big_deals"] = "SELECT * FROM deals WHERE amount > 450000"
 EXPECTED["metrics"] = f"""
 SELECT id, CAST(floor((epoch_ms(TIMESTAMP '{AS_OF}') - epoch_ms(last_engaged)) / 86400000.0) AS BIGINT) AS days_since_engagement, coalesce(opens, 0) AS opens_12m, coalesce(clicks, 0) AS clicks_12m, coalesce(forms, 0) AS forms_12m,
   coalesce(deals, 0) AS deals, coalesce(open_deals, 0) AS open_deals, coalesce(won_deals, 0) AS won_deals, CAST(coalesce(won_value, 0) AS DOUBLE) AS won_value
@@ -404,11 +424,11 @@ FROM (SELECT id FROM contacts) c
 LEFT JOIN (SELECT contact_id, max(event_time) FILTER (event_type IN ('OPENED', 'CLICKED', 'FORM_SUBMITTED')) AS last_engaged, count(*) FILTER (event_type = 'OPENED') AS opens,
   count(*) FILTER (event_type = 'CLICKED') AS clicks, count(*) FILTER (event_type = 'FORM_SUBMITTED') AS forms FROM contact_events GROUP BY contact_id) e ON e.contact_id = c.id
 LEFT JOIN (SELECT contact_id, count(*) AS deals, count(*) FILTER (stage <> 'closedwon') AS open_deals, count(*) FILTER (stage = 'closedwon') AS won_deals,
-  sum(CAST(amount AS DECIMAL(18,2))) FILTER (stage = 'closedwon') AS won_value FROM big_deals GROUP BY contact_id) d ON d.contact_id = c.id"""
+  sum(CAST(amount AS DECIMAL(18,2))) FILTER (stage = 'closedwon') AS won_value FROM deals GROUP BY contact_id) d ON d.contact_id = c.id"""
 
 
 def metrics(x):
-    return marketing.engagement_metrics(x.contacts, x.contact_events, x.deals.filter("amount > 450000"), AS_OF)
+    return marketing.engagement_metrics(x.contacts, x.contact_events, x.deals, AS_OF)
 
 
 query("mkt_metrics", "SELECT * FROM metrics")(metrics)
@@ -524,7 +544,7 @@ LEFT JOIN (SELECT contact_id, count(*) AS n FROM members GROUP BY 1) l ON l.cont
 
 @query("pair_profile", """
 SELECT id_1, id_2, match_type, a.filled AS filled_1, a.events AS events_1, a.deals AS deals_1, a.lists AS lists_1, b.filled AS filled_2, b.events AS events_2, b.deals AS deals_2, b.lists AS lists_2
-FROM dup_pairs JOIN pair_metrics a ON a.id = id_1 JOIN pair_metrics b ON b.id = id_2""")
+FROM dup_links JOIN pair_metrics a ON a.id = id_1 JOIN pair_metrics b ON b.id = id_2""")
 def pair_profile(x):
     numbers = consistency.contact_metrics(x.contacts.select("id", *PRIMARY_FIELDS), x.contact_events, x.deals, x.members)
     return consistency.pair_profile(pairs(x).select("id_1", "id_2", "match_type"), numbers)
@@ -558,11 +578,17 @@ def stream_alerts(x):
     return alerts.withColumn("window_start", t.iso_timestamp(F.col("window_start")))
 
 
+EXPECTED["bounce_actions"] = """
+SELECT *, CASE WHEN hard > 0 THEN 'remove' WHEN soft >= 3 THEN 'review' END AS action FROM (
+  SELECT contact_id, count(*) FILTER (id % 4 = 0) AS hard, count(*) FILTER (id % 4 <> 0) AS soft FROM contact_events WHERE event_type = 'BOUNCE' GROUP BY contact_id) b"""
+
+
 @query("stream_bounces", """
-SELECT contact_id, bounces, (SELECT count(*) FROM members m WHERE m.contact_id = b.contact_id) AS lists FROM (
-  SELECT contact_id, count(*) AS bounces FROM contact_events WHERE event_type = 'BOUNCE' GROUP BY contact_id) b WHERE bounces >= 3""")
+SELECT 'contact' AS part, contact_id, action AS what, hard, soft FROM bounce_actions WHERE action IS NOT NULL
+UNION ALL SELECT 'member', contact_id, list_id, NULL, NULL FROM members WHERE contact_id NOT IN (SELECT contact_id FROM bounce_actions WHERE action = 'remove')""")
 def stream_bounces(x):
-    updates = jobs.run_updates(jobs.bounce_counts(x.stream("contact_events", "events")), "bounces")
-    flagged, _ = jobs.bounced_members(x.members, updates)
-    per_contact = x.members.groupBy("contact_id").agg(F.count(F.lit(1)).alias("lists"))
-    return flagged.join(per_contact, "contact_id", "left").fillna(0, ["lists"])
+    updates = jobs.run_updates(jobs.bounce_counts(x.stream("contact_events", "events"), hard=F.col("id") % 4 == 0), "bounces")
+    flagged, kept = jobs.bounced_members(x.members, updates)
+    none = F.lit(None).cast("bigint")
+    return flagged.select(F.lit("contact").alias("part"), "contact_id", F.col("action").alias("what"), "hard", "soft").unionByName(
+        kept.select(F.lit("member").alias("part"), "contact_id", F.col("list_id").alias("what"), none.alias("hard"), none.alias("soft")))

@@ -25,7 +25,17 @@ FROM (SELECT *, CASE WHEN length(digits) = 11 AND digits LIKE '1%' THEN substr(d
     trim(concat(coalesce(firstname, ''), ' ', coalesce(lastname, ''))) AS full_name
   FROM contacts) k) n"""
 
-EXPECTED["dup_pairs"] = f"""
+UNION_OF_PAIRS = """
+      SELECT a.id AS i, b.id AS j, 1 AS tier FROM dup_keys a JOIN dup_keys b ON a.ekey = b.ekey AND a.id < b.id
+      UNION ALL SELECT a.id, b.id, 2 FROM dup_keys a JOIN dup_keys b ON a.pkey = b.pkey AND a.id < b.id
+      UNION ALL SELECT a.id, b.id, 3 FROM dup_keys a JOIN dup_keys b ON a.nkey = b.nkey AND a.id < b.id"""
+EXPECTED["tier_heads"] = """
+SELECT id, tier, min(id) OVER (PARTITION BY tier, key) AS head, count(*) OVER (PARTITION BY tier, key) AS group_size FROM tier_keys"""
+
+
+def detailed(pairs: str) -> str:
+    """The match factors of pairs (i, j, tier)."""
+    return f"""
 SELECT id_1, id_2, CASE tier WHEN 1 THEN 'exact_email' WHEN 2 THEN 'exact_phone_company' ELSE 'exact_name_company' END AS match_type,
   'high' AS confidence, email_match, phone_match, company_match,
   CASE WHEN tier = 3 THEN 1.0::DOUBLE WHEN full_1 = '' OR full_2 = '' THEN 0.0::DOUBLE WHEN greatest(length(nm_1), length(nm_2)) = 0 THEN 1.0::DOUBLE
@@ -35,20 +45,13 @@ FROM (
   SELECT a.id AS id_1, b.id AS id_2, k.tier, a.full_name AS full_1, b.full_name AS full_2, a.nm AS nm_1, b.nm AS nm_2,
     coalesce(a.ekey = b.ekey, false) AS email_match, coalesce(a.phone_n = b.phone_n, false) AS phone_match,
     (a.comp <> '' AND a.comp = b.comp) AS company_match
-  FROM (SELECT i, j, min(tier) AS tier FROM (
-      SELECT a.id AS i, b.id AS j, 1 AS tier FROM dup_keys a JOIN dup_keys b ON a.ekey = b.ekey AND a.id < b.id
-      UNION ALL SELECT a.id, b.id, 2 FROM dup_keys a JOIN dup_keys b ON a.pkey = b.pkey AND a.id < b.id
-      UNION ALL SELECT a.id, b.id, 3 FROM dup_keys a JOIN dup_keys b ON a.nkey = b.nkey AND a.id < b.id) u GROUP BY i, j) k
+  FROM (SELECT i, j, min(tier) AS tier FROM ({pairs}) u GROUP BY i, j) k
   JOIN dup_keys a ON a.id = k.i JOIN dup_keys b ON b.id = k.j) f"""
 
 
-def pair_sql(key: str, name: str) -> str:
-    score = "1.0::DOUBLE" if key == "nkey" else """CASE WHEN a.full_name = '' OR b.full_name = '' THEN 0.0::DOUBLE
-    WHEN greatest(length(a.nm), length(b.nm)) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) END"""
-    return f"""
-SELECT a.id AS id_1, b.id AS id_2, '{name}' AS match_type, 'high' AS confidence, coalesce(a.ekey = b.ekey, false) AS email_match,
-  coalesce(a.phone_n = b.phone_n, false) AS phone_match, (a.comp <> '' AND a.comp = b.comp) AS company_match, {score} AS name_similarity
-FROM dup_keys a JOIN dup_keys b ON a.{key} = b.{key} AND a.id < b.id"""
+# every pair of every group, for the counts; and the listing, one link per member
+EXPECTED["dup_pairs"] = detailed(UNION_OF_PAIRS)
+EXPECTED["dup_links"] = detailed("SELECT head AS i, id AS j, tier FROM tier_heads WHERE id <> head")
 
 
 def pairs(x, tiers=None):
@@ -59,10 +62,10 @@ def shown(df):
     return df.select(*PAIR_FIELDS.split(", "))
 
 
-query("dup_exact_email", pair_sql("ekey", "exact_email"))(lambda x: shown(pairs(x, [1])))
-query("dup_phone_company", pair_sql("pkey", "exact_phone_company"))(lambda x: shown(pairs(x, [2])))
-query("dup_name_company", pair_sql("nkey", "exact_name_company"))(lambda x: shown(pairs(x, [3])))
-query("dup_tier1_pairs", f"SELECT {PAIR_FIELDS} FROM dup_pairs")(lambda x: shown(pairs(x)))
+query("dup_exact_email", f"SELECT {PAIR_FIELDS} FROM ({detailed('SELECT head AS i, id AS j, tier FROM tier_heads WHERE id <> head AND tier = 1')}) p")(lambda x: shown(pairs(x, [1])))
+query("dup_phone_company", f"SELECT {PAIR_FIELDS} FROM ({detailed('SELECT head AS i, id AS j, tier FROM tier_heads WHERE id <> head AND tier = 2')}) p")(lambda x: shown(pairs(x, [2])))
+query("dup_name_company", f"SELECT {PAIR_FIELDS} FROM ({detailed('SELECT head AS i, id AS j, tier FROM tier_heads WHERE id <> head AND tier = 3')}) p")(lambda x: shown(pairs(x, [3])))
+query("dup_tier1_pairs", f"SELECT {PAIR_FIELDS} FROM dup_links")(lambda x: shown(pairs(x)))
 
 
 query("dup_groups", """
@@ -73,7 +76,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY tier, key) AS group_size FROM tier_k
 
 @query("dup_match_factors", """
 SELECT match_type, email_match, phone_match, company_match, count(*) AS pairs, min(name_similarity) AS lowest, max(name_similarity) AS highest
-FROM dup_pairs GROUP BY ALL""")
+FROM dup_links GROUP BY ALL""")
 def dup_match_factors(x):
     return pairs(x).groupBy("match_type", "email_match", "phone_match", "company_match").agg(
         F.count(F.lit(1)).alias("pairs"), F.min("name_similarity").alias("lowest"),
@@ -92,15 +95,16 @@ SELECT sha256(concat('duplicates|duplicate|', id_1, '|', id_2)) AS issue_id, 'hi
       CASE WHEN name_similarity >= 0.9 THEN 'nearly identical names' WHEN name_similarity >= 0.7 THEN 'similar names' END)) AS description,
   id_2 AS suggested_value, confidence, CASE match_type WHEN 'exact_email' THEN 'Contacts share the same email address (99% confidence duplicate)'
     WHEN 'exact_phone_company' THEN 'Contacts have the same phone number and company (95% confidence duplicate)'
-    ELSE 'Contacts have the same name and company (95% confidence duplicate)' END AS reasoning, match_type
-FROM dup_pairs"""
+    ELSE 'Contacts have the same name and company (95% confidence duplicate)' END AS reasoning, match_type, email_match, phone_match, company_match
+FROM dup_links"""
 
 
 @query("dup_issues", "SELECT * FROM dup_issue_rows")
 def dup_issues(x):
     return d.pairs_to_issues(pairs(x)).select(
         "issue_id", "severity", "object_id", "description", "suggested_value", "confidence", "reasoning",
-        F.get_json_object("current_value", "$.match_type").alias("match_type"))
+        *[F.get_json_object("current_value", f"$.{path}").cast(kind).alias(path.split(".")[-1]) for path, kind in (
+            ("match_type", "string"), ("match_factors.email_match", "boolean"), ("match_factors.phone_match", "boolean"), ("match_factors.company_match", "boolean"))])
 
 
 @query("dup_summary", """
@@ -122,7 +126,7 @@ SELECT concat('Found ', CAST(n AS STRING), ' duplicate pairs using rule-based ex
 FROM (SELECT count(*) AS n, count(*) FILTER (email_match) AS emails FROM dup_pairs) t""")
 def dup_insights(x):
     counts = d.pair_counts(x.contacts)
-    return flat_insights(d.duplicate_insights(counts, d.email_match_count(x.contacts), x.contacts))
+    return flat_insights(d.duplicate_insights(counts, d.email_match_count(x.contacts, counts=counts), x.contacts))
 
 
 @query("dup_incremental", """

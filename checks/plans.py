@@ -209,18 +209,26 @@ def exec_resume(x):
 # one run per customer segment of actions: the seed rows by plan
 RUN_SQL = """
 SELECT execution_id, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS skipped,
-  count(*) FILTER (status = 'success' AND NOT is_reversible) AS non_reversible, CAST(NULL AS STRING) AS resume_from,
-  CASE WHEN count(*) FILTER (status = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (status = 'success') > 0 THEN 'partially_completed' ELSE 'failed' END AS status
+  count(*) FILTER (status = 'success' AND NOT is_reversible) AS non_reversible, max(resume_from) AS resume_from,
+  CASE WHEN max(resume_from) IS NOT NULL THEN 'failed' WHEN count(*) FILTER (status = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (status = 'success') > 0 THEN 'partially_completed' ELSE 'failed' END AS status
 FROM seed_log GROUP BY execution_id"""
-EXPECTED["seed_log"] = "SELECT *, concat('run-', object_id) AS execution_id FROM plan_seed"
+# every second run stops at its first failure
+EXPECTED["seed_log"] = """
+SELECT p.*, concat('run-', p.object_id) AS execution_id, CASE WHEN stops AND first_seq IS NOT NULL THEN concat('a', CAST(first_seq AS STRING)) END AS resume_from
+FROM (SELECT *, CAST(object_id AS BIGINT) % 2 = 0 AS stops FROM plan_seed) p
+LEFT JOIN (SELECT object_id, min(seq) AS first_seq FROM plan_seed WHERE status = 'failed' GROUP BY object_id) f ON f.object_id = p.object_id
+WHERE NOT stops OR first_seq IS NULL OR p.seq <= first_seq"""
 
 
 def seed_log(x):
     image = F.struct(F.lit("contact").alias("object_type"), "object_id", F.lit("phone").alias("property"),
                      F.lit("0").alias("original_value"))
-    return x.plan_seed.select(
-        "*", F.concat(F.lit("run-"), "object_id").alias("execution_id"), F.lit(None).cast("string").alias("resume_from"),
-        F.when(F.col("is_reversible") & (F.col("seq") % 3 != 0), image).alias("rollback_data"))
+    rows = x.plan_seed.withColumn("execution_id", F.concat(F.lit("run-"), "object_id"))
+    stops = F.col("object_id").cast("bigint") % 2 == 0
+    stopped = execution.stop_on_error(rows.filter(stops), plan="execution_id")
+    rows = stopped.unionByName(rows.filter(~stops).withColumn("resume_from", F.lit(None).cast("string")))
+    return rows.select(
+        "*", F.when(F.col("is_reversible") & (F.col("seq") % 3 != 0), image).alias("rollback_data"))
 
 
 query("exec_results", RUN_SQL)(lambda x: execution.run_results(seed_log(x)))
@@ -257,6 +265,7 @@ EXPECTED["inferred"] = """
 SELECT *, coalesce(property, CASE WHEN description LIKE 'First name%' THEN 'firstname' WHEN description LIKE 'Last name%' THEN 'lastname'
   WHEN description LIKE 'Company%' THEN 'company' END) AS prop FROM actions WHERE plan_id = 'plan-quality'"""
 CHANGED = ("email", "phone", "website", "firstname", "lastname", "company")
+CHANGEABLE = {"contact": ("hs_marketable_status", *CHANGED)}
 
 
 def _changed(p: str) -> str:
@@ -358,44 +367,90 @@ SELECT i.action_id, CASE WHEN type = 'set_marketing_status' THEN 'hs_marketable_
   CASE WHEN type = 'set_marketing_status' THEN hs_marketable_status {' '.join(f"WHEN prop = '{p}' THEN {p}" for p in CHANGED)} END AS original_value
 FROM inferred i JOIN contacts c ON c.id = i.object_id WHERE type = 'set_marketing_status' OR prop IS NOT NULL""")
 def rollback_capture(x):
-    images = rollback.before_images(stored(x, inferred_plan(x)), {"contact": x.contacts})
+    images = rollback.before_images(stored(x, inferred_plan(x)), {"contact": x.contacts}, CHANGEABLE)
     return images.select("action_id", "rollback_data.property", "rollback_data.original_value")
 
 
 def quality_run(x):
     plan = stored(x, quality_plan(x))
-    images = rollback.before_images(plan, {"contact": x.contacts})
-    return execution.run_actions(plan, images, "run-1", AS_OF, continue_on_error=True)
+    images = rollback.before_images(plan, {"contact": x.contacts}, CHANGEABLE)
+    return execution.run_actions(plan, images, "run-1", AS_OF, continue_on_error=True, tables={"contact": x.contacts.filter("hard_bounced = 'false'")})
 
 
 @query("execution_log", """
-SELECT action_id, CASE WHEN type = 'update_property' AND property IS NULL THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN type = 'update_property' AND property IS NULL THEN 'Missing property name' END AS error, reversible AS is_reversible
-FROM actions WHERE plan_id = 'plan-quality'""")
+SELECT action_id, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, error, is_reversible FROM (
+  SELECT action_id, CASE WHEN type = 'update_property' AND property IS NULL THEN 'Missing property name'
+    WHEN object_id IN (SELECT id FROM contacts WHERE hard_bounced = 'true') THEN 'Target not found' END AS error, reversible AS is_reversible
+  FROM actions WHERE plan_id = 'plan-quality') r""")
 def execution_log(x):
+    """A run after the hard-bounced contacts have been deleted."""
     path = scratch_path(x.spark, "executions")
     store.write_execution(quality_run(x).withColumn("started_at", F.lit(AS_OF).cast("timestamp")), path)
     return store.read_execution(x.spark, path).select("action_id", "status", "error", "is_reversible")
 
 
-@query("rollback_apply", f"SELECT id, {', '.join(f"nullif({p}, '') AS {p}" for p in ('hs_marketable_status', *CHANGED))} FROM contacts")
+UNDONE = ("hs_marketable_status", *CHANGED)
+
+
+def _undone(p: str) -> str:
+    touched = (f"type = 'update_property' AND prop = '{p}'" if p != "hs_marketable_status" else "type = 'set_marketing_status'")
+    return f"CASE WHEN {p} IS NULL AND id IN (SELECT object_id FROM inferred WHERE {touched}) THEN '' ELSE {p} END AS {p}"
+
+
+@query("rollback_apply", f"SELECT id, {', '.join(_undone(p) for p in UNDONE)} FROM contacts")
 def rollback_apply(x):
     """Apply a plan and undo it: only nulls come back as empty text."""
     plan = stored(x, inferred_plan(x))
-    before = x.contacts.select("id", "hs_marketable_status", *CHANGED)
-    images = rollback.before_images(plan, {"contact": before})
+    before = x.contacts.select("id", *UNDONE)
+    images = rollback.before_images(plan, {"contact": before}, CHANGEABLE)
     log = execution.run_actions(plan, images, "run-1", AS_OF, continue_on_error=True)
     changes = apply.property_changes(plan).unionByName(apply.marketing_changes(plan))
-    restored = rollback.roll_back(apply.apply_changes(before, changes), log)
-    return restored.select("id", *[t.nonempty(c).alias(c) for c in ("hs_marketable_status", *CHANGED)])
+    return rollback.roll_back(apply.apply_changes(before, changes), log)
+
+
+@query("rollback_counts", """
+SELECT execution_id, count(*) FILTER (status = 'success' AND is_reversible AND seq % 3 <> 0) AS rolled_back,
+  count(*) FILTER (status = 'success' AND is_reversible AND seq % 3 = 0) AS failed, count(*) FILTER (status = 'success' AND NOT is_reversible) AS non_reversible
+FROM seed_log GROUP BY execution_id""")
+def rollback_counts(x):
+    return rollback.rollback_results(seed_log(x))
+
+
+@query("rollback_errors", "SELECT action_id, 'No rollback data available' AS error FROM seed_log WHERE status = 'success' AND is_reversible AND seq % 3 = 0")
+def rollback_errors(x):
+    return rollback.rollback_errors(seed_log(x))
+
+
+@query("audit_sink", "SELECT issue_id, module, type, object_id, description, current_value, suggested_value FROM quality_issues")
+def audit_sink(x):
+    path = scratch_path(x.spark, "audit")
+    found = quality_issues(x)
+    store.write_audit(found, path)
+    back = x.spark.read.schema(found.schema).json(path)
+    return back.select("issue_id", "module", "type", "object_id", "description", "current_value", "suggested_value")
+
+
+@query("pair_key", "SELECT id_1, id_2, concat(least(id_1, id_2), '-', greatest(id_1, id_2)) AS key FROM dup_links")
+def pair_key(x):
+    found = pairs(x)
+    return found.select("id_1", "id_2", t.pair_key(F.col("id_2"), F.col("id_1")).alias("key"))
+
+
+EXPECTED["asked_updates"] = "SELECT CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN concat('new-', contact_id) ELSE contact_id END AS id, id AS value FROM deals"
 
 
-@query("batch_update", "SELECT o_custkey::STRING AS id, count(*) AS changes, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') THEN 'success' ELSE 'error' END AS status FROM orders GROUP BY o_custkey")
+@query("batch_update", """
+SELECT 'table' AS part, c.id, coalesce(u.value, phone) AS value, NULL AS changes, NULL AS status FROM contacts c LEFT JOIN (SELECT id, max(value) AS value FROM asked_updates GROUP BY id) u ON u.id = c.id
+UNION ALL SELECT 'outcome', id, NULL, count(*), CASE WHEN id IN (SELECT id FROM contacts) THEN 'success' ELSE 'error' END FROM asked_updates GROUP BY id""")
 def batch_update(x):
-    known = x.contacts.filter("source <> 'BUILDING'").select("id", "phone")
-    changes = x.deals.select(F.col("contact_id").alias("id"), F.lit("phone").alias("property"),
-                             F.col("id").alias("value"), F.col("id").alias("seq"))
-    return apply.batch_update(known, changes)[1]
+    unknown = F.col("id").cast("bigint") % 10 == 0
+    changes = x.deals.select(
+        F.when(unknown, F.concat(F.lit("new-"), "contact_id")).otherwise(F.col("contact_id")).alias("id"), F.lit("phone").alias("property"),
+        F.col("id").alias("value"), F.col("id").alias("seq"))
+    table, outcome = apply.batch_update(x.contacts.select("id", "phone"), changes)
+    none = F.lit(None)
+    return table.select(F.lit("table").alias("part"), "id", F.col("phone").alias("value"), none.cast("bigint").alias("changes"), none.cast("string").alias("status")).unionByName(
+        outcome.select(F.lit("outcome").alias("part"), "id", none.cast("string").alias("value"), "changes", "status"))
 
 
 @query("bulk_update", """

@@ -141,10 +141,10 @@ def review_cases(x):
 query("dq_cases", "SELECT * FROM expected_cases")(review_cases)
 
 EXPECTED["expected_batches"] = """
-SELECT contact_id, case_rank, type, description, route FROM (
+SELECT contact_id, case_rank, type, description, route, rn AS position, CAST((rn - 1) // 100 AS INTEGER) AS batch FROM (
   SELECT *, 'reasoning' AS route FROM first_cases WHERE needs_reasoning UNION ALL SELECT *, 'exploratory' FROM first_cases WHERE needs_exploration) b"""
 EXPECTED["first_cases"] = """
-SELECT * FROM (SELECT *, row_number() OVER (ORDER BY contact_id, case_rank) AS rn, count(*) OVER () AS total FROM expected_cases) n WHERE rn <= 100 AND total >= 10"""
+SELECT *, row_number() OVER (ORDER BY contact_id, case_rank) AS rn FROM expected_cases"""
 
 
 @query("dq_case_batches", "SELECT * FROM expected_batches")

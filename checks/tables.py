@@ -62,8 +62,9 @@ SELECT CAST(s_suppkey AS STRING) AS id,
   concat('mail', CAST(s_suppkey AS STRING), '.example.com') AS domain,
   n_name AS country
 FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    # two contacts in three have no deals
     "deals": """
-SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS contact_id,
+SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey - o_custkey % 3 AS STRING) AS contact_id,
   CASE o_orderstatus WHEN 'F' THEN 'closedwon' WHEN 'O' THEN 'proposal' ELSE 'demo' END AS stage,
   o_totalprice AS amount, o_orderdate AS updated_at
 FROM orders""",

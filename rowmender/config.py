@@ -28,8 +28,7 @@ class CaseSettings:
     """Which contacts go to review although no rule fired."""
 
     enable_ambiguous_analysis: bool = True
-    min_cases: int = 10
-    max_cases: int = 100
+    batch_size: int = 100
     analyze_name_typos: bool = True
     analyze_semantic_anomalies: bool = True
 
@@ -42,10 +41,6 @@ class DuplicateSettings:
     default_country_code: str = "US"
     fuzzy_match_threshold: float = 0.85
     max_fuzzy_distance: int = 2
-    max_fuzzy_pairs_for_review: int = 100
-    # Groups up to this size list every pair. A larger group lists one pair per
-    # member, against the member with the smallest id.
-    full_pair_group: int = 32
 
 
 @dataclass(frozen=True)

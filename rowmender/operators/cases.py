@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.config import CaseSettings
+from rowmender.operators.skew import ordered_position
 from rowmender.schemas import require_columns
 
 # fixed values: names and words that mark a review case
@@ -65,17 +66,14 @@ def review_cases(contacts: DataFrame, issues: DataFrame, settings: CaseSettings
 
 
 def case_batches(cases: DataFrame, settings: CaseSettings = CaseSettings()) -> DataFrame:
-    """The first cases sent to review, once for each kind of review they need.
-
-    The cap is the feature: nothing is sent below ``min_cases``.
-    """
-    enough = cases.agg(F.count(F.lit(1)).alias("n")).scalar() >= settings.min_cases
-    first = cases.orderBy("contact_id", "case_rank").limit(settings.max_cases).filter(enough)
+    """Every case, once for each kind of review it needs, with its position and batch."""
+    placed = ordered_position(cases, ["contact_id", "case_rank"])
     routes = F.array_compact(F.array(
         F.when(F.col("needs_reasoning"), F.lit("reasoning")),
         F.when(F.col("needs_exploration"), F.lit("exploratory"))))
-    return first.select("*", F.explode(routes).alias("route")).select(
-        "contact_id", "case_rank", "type", "description", "route")
+    batch = F.floor((F.col("position") - 1) / settings.batch_size).cast("int").alias("batch")
+    return placed.select("*", F.explode(routes).alias("route")).select(
+        "contact_id", "case_rank", "type", "description", "route", "position", batch)
 
 
 FLAGS = ("is_obvious", "high_confidence", "requires_reasoning", "medium_complexity",

@@ -1,15 +1,14 @@
 """Exact duplicate detection on blocking keys.
 
 A contact belongs to at most one group per key type, and two contacts are a
-pair when they share a group. A group of n members stands for n(n-1)/2 pairs:
+pair when they share a group. A group of n members stands for n(n-1)/2 pairs; it
+is listed in one way whatever its size:
 
-* groups up to ``full_pair_group`` members list all of their pairs;
-* a larger group lists one pair per member, against the member with the
-  smallest id, so the listing grows with the rows and not with their square;
+* one link per member, to the member with the smallest id, which connects the
+  group, with the size of the group beside it;
 * ``pair_counts`` counts every pair of every group exactly, from group sizes.
 
-A pair found by several key types belongs to the first one. That is decided
-from the keys both rows carry, so it needs no shuffle of the pairs.
+A link found by several key types belongs to the first one.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowmender.config import DuplicateSettings
 from rowmender.functions import text as t
 from rowmender.operators.issues import issue_id, row_total
-from rowmender.operators import skew
 from rowmender.operators.skew import hot_counted, salted_join
 from rowmender.schemas import ISSUE_COLUMNS, require_columns
 from rowmender.session import cut_lineage
@@ -105,45 +103,28 @@ def _factors(a: Column, b: Column, tier: Column) -> dict[str, Column]:
 
 def exact_pairs(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings(),
                 tiers: list[int] | None = None) -> DataFrame:
-    """Duplicate pairs of the enabled key types; each pair once, ``id_1 < id_2``."""
+    """A link from the smallest id of each group to every other member; each link once, ``id_1 < id_2``."""
     tiers = enabled_tiers(settings) if tiers is None else tiers
-    members = group_members(match_keys(contacts, settings.default_country_code), tiers)
-    return pairs_from_members(members, tiers, settings.full_pair_group)
+    return links_to_heads(group_members(match_keys(contacts, settings.default_country_code), tiers))
 
 
-def pairs_from_members(members: DataFrame, tiers: list[int], full_pair_group: int) -> DataFrame:
+def links_to_heads(members: DataFrame) -> DataFrame:
+    """One aggregation finds the head and the size of every group, joined back to its members."""
     keys = ["tier", "key"]
-    # count first: only the keys travel, and the rows without a partner drop out below
-    groups = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
-    groups = cut_lineage(groups)
-    hot = hot_counted(groups, keys, "group_size", max(skew.MIN_HOT_ROWS, full_pair_group + 1))
-    shared = salted_join(members, groups, keys, "inner", ["id"], hot, keep_salt=True)
-    # the arrays hold at most full_pair_group members, and reuse the partitioning of the join
-    small = shared.filter(F.col("group_size") <= full_pair_group)
-    arrays = small.groupBy(*keys, "_salt", "group_size").agg(F.array_sort(F.collect_list("member")).alias("ms"))
-    listed = arrays.select("tier", "group_size", "ms", F.posexplode("ms").alias("at", "a")).select(
-        "tier", "group_size", "a", F.explode(F.slice("ms", F.col("at") + 2, F.size("ms"))).alias("b"))
-    pairs = listed
-    if not groups.filter(F.col("group_size") > full_pair_group).isEmpty():
-        large = shared.filter(F.col("group_size") > full_pair_group).drop("_salt")
-        anchors = large.groupBy(*keys).agg(F.min("member").alias("anchor"))
-        to_anchor = salted_join(large, anchors, keys, "inner", ["id"], hot).filter(F.col("id") != F.col("anchor.id"))
-        pairs = listed.unionByName(
-            to_anchor.select("tier", "group_size", F.col("anchor").alias("a"), F.col("member").alias("b")))
-    a, b = F.col("a"), F.col("b")
-    seen = F.lit(False)
-    if 1 in tiers:
-        seen = seen | ((F.col("tier") > 1) & F.coalesce(a["email_key"] == b["email_key"], F.lit(False)))
-    if 2 in tiers:
-        seen = seen | ((F.col("tier") > 2) & F.coalesce(
-            a["phone_company_key"] == b["phone_company_key"], F.lit(False)))
+    heads = cut_lineage(members.groupBy(*keys).agg(
+        F.min("member").alias("a"), F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1))
+    hot = hot_counted(heads, keys, "group_size")
+    found = salted_join(members, heads, keys, "inner", ["id"], hot).filter(F.col("id") != F.col("a.id"))
+    # the same two contacts may be linked by up to three key types
+    rest = [c for c in found.columns if c not in ("id", "key", "tier")]
+    links = found.groupBy(F.col("a.id").alias("id_1"), F.col("id").alias("id_2")).agg(
+        F.min(F.struct("tier", *[F.col("member").alias("b") if c == "member" else F.col(c) for c in rest])).alias("x"))
+    tier, a, b = F.col("x.tier"), F.col("x.a"), F.col("x.b")
     names = F.create_map(*[F.lit(x) for item in TIER_NAMES.items() for x in item])
-    factors = _factors(a, b, F.col("tier"))
-    return pairs.filter(~seen).select(
-        a["id"].alias("id_1"), b["id"].alias("id_2"),
-        names[F.col("tier")].alias("match_type"), F.lit("high").alias("confidence"),
-        *[c.alias(n) for n, c in factors.items()],
-        a["full_name"].alias("name_1"), b["full_name"].alias("name_2"), "group_size",
+    return links.select(
+        "id_1", "id_2", names[tier].alias("match_type"), F.lit("high").alias("confidence"),
+        *[c.alias(n) for n, c in _factors(a, b, tier).items()],
+        a["full_name"].alias("name_1"), b["full_name"].alias("name_2"), F.col("x.group_size").alias("group_size"),
     )
 
 
@@ -259,10 +240,15 @@ def duplicate_summary(counts: DataFrame, contacts: DataFrame, ai_cost: float = 0
     )
 
 
-def email_match_count(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
-    """Pairs with equal addresses, from the counts of the keys that include the address."""
+def email_match_count(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings(),
+                      counts: DataFrame | None = None) -> DataFrame:
+    """Pairs with equal addresses, from the counts of the keys that include the address.
+
+    ``counts`` is the outcome of :func:`pair_counts` for the same contacts, if there is one.
+    """
     if settings.exact_email_match:
-        counts = pair_counts(contacts, settings).filter(F.col("match_type") == TIER_NAMES[1])
+        counts = pair_counts(contacts, settings) if counts is None else counts
+        counts = counts.filter(F.col("match_type") == TIER_NAMES[1])
         return counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("email_matches"))
     # pairs of the other key types that also share the address: those of (key, address)
     keys = match_keys(contacts, settings.default_country_code).filter(F.col("email_key").isNotNull())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.config import DuplicateSettings
+from rowmender.operators.components import connected
 from rowmender.operators.duplicates import enabled_tiers, group_members, match_keys
-from rowmender.operators.skew import hot_counted, hot_keys, salted_join
+from rowmender.operators.skew import hot_counted, salted_join
 from rowmender.session import cut_lineage
 
 
@@ -14,53 +15,15 @@ def links_of_groups(members: DataFrame) -> DataFrame:
     """One link per member, to the smallest id of its group: enough to connect the group."""
     keys = ["tier", "key"]
     rows = members.select(*keys, "id")
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counts = cut_lineage(counts)
-    hot = hot_counted(counts, keys, "n")
-    shared = cut_lineage(salted_join(rows, counts.drop("n"), keys, "inner", ["id"], hot))
-    heads = shared.groupBy(*keys).agg(F.min("id").alias("head"))
-    joined = salted_join(shared, heads, keys, "inner", ["id"], hot)
+    heads = cut_lineage(rows.groupBy(*keys).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    joined = salted_join(rows, heads.drop("n"), keys, "inner", ["id"], hot_counted(heads, keys, "n"))
     return joined.filter("id <> head").select(F.col("head").alias("id_1"), F.col("id").alias("id_2"))
 
 
-def connected_sets(links: DataFrame) -> DataFrame:
-    """Smallest id reachable from each linked id, as (id, set_id).
-
-    Every round takes the smallest label among the neighbours, hands it to the
-    former label as well, and jumps to the label of the label (as FastSV does,
-    Zhang, Azad and Hu 2020), so long chains take few rounds. A hub with very many
-    links is reduced by partial aggregation on one side and salted on the other.
-    Each round is checkpointed; only the number of changes reaches the driver.
-    """
-    both = links.select(F.col("id_1").alias("id"), F.col("id_2").alias("other")).unionByName(
-        links.select(F.col("id_2").alias("id"), F.col("id_1").alias("other")))
-    both = cut_lineage(both.distinct())
-    hot = hot_keys(both, ["other"])
-    labels = cut_lineage(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("set_id")))
-    while True:
-        theirs = labels.select(F.col("id").alias("other"), F.col("set_id").alias("_theirs"))
-        seen = salted_join(both, theirs, ["other"], "inner", ["id"], hot).groupBy("id").agg(F.min("_theirs").alias("_near"))
-        lower = labels.join(seen, "id").select(
-            "id", F.col("set_id").alias("_old"), F.least("set_id", "_near").alias("set_id"))
-        # the old label learns the smaller one too, which carries its whole tree along
-        told = F.inline(F.array(
-            F.struct("id", "_old", "set_id"),
-            F.struct(F.col("_old").alias("id"), F.lit(None).cast("string").alias("_old"), "set_id")))
-        hooked = cut_lineage(
-            lower.select(told).groupBy("id").agg(F.max("_old").alias("_old"), F.min("set_id").alias("set_id")))
-        onward = hooked.select(F.col("id").alias("set_id"), F.col("set_id").alias("_jump"))
-        step = cut_lineage(salted_join(hooked, onward, ["set_id"], "left", spread=["id"]).select(
-            "id", "_old", F.least("set_id", F.coalesce("_jump", "set_id")).alias("set_id")))
-        changed = not step.filter("set_id <> _old").isEmpty()
-        labels = step.select("id", "set_id")
-        if not changed:
-            return labels
-
-
 def duplicate_sets(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
     """The set of every contact that duplicates another one by an exact key."""
     keys = match_keys(contacts, settings.default_country_code)
-    return connected_sets(links_of_groups(group_members(keys, enabled_tiers(settings))))
+    return connected(links_of_groups(group_members(keys, enabled_tiers(settings))))
 
 
 def completeness(df: DataFrame, properties: list[str] | None = None) -> Column:

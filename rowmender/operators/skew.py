@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, Row, Window
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rowmender.session import cut_lineage
 
@@ -13,7 +13,10 @@ from rowmender.session import cut_lineage
 # than one part in a thousand of the rows, so it cannot dominate a partition.
 MAX_HOT_KEYS = 1000
 MIN_HOT_ROWS = 100_000
+# A hot key is spread over this many partitions, or over more where it has so many rows
+# that a partition would get above ROWS_PER_SALT of them.
 SALTS = 64
+ROWS_PER_SALT = 1_000_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> list[Row]:
@@ -25,9 +28,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) ->
 
 
 def hot_counted(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int | None = None) -> list[Row]:
-    """As :func:`hot_keys`, from a table that has the row count of each key already."""
+    """As :func:`hot_keys`, from a table that has the row count of each key already.
+
+    Each row holds the values of the keys and, last, the number of rows.
+    """
     heavy = counts.filter(F.col(rows) >= (MIN_HOT_ROWS if min_rows is None else min_rows)).orderBy(F.desc(rows), *keys)
-    return heavy.limit(MAX_HOT_KEYS).select(*keys).collect()
+    return heavy.limit(MAX_HOT_KEYS).select(*keys, F.col(rows).cast("bigint").alias("_rows")).collect()
 
 
 def salted_join(
@@ -42,9 +48,9 @@ def salted_join(
 ) -> DataFrame:
     """Join ``big`` to ``single``, which has one row per key.
 
-    Rows of a hot key are spread over ``SALTS`` partitions by ``spread`` and the
-    one matching row is repeated for each; rows without a key are spread when
-    they are many. ``hot_keys`` bounds the list of hot keys, so it is broadcast.
+    Rows of a hot key are spread over partitions by ``spread``, at most about
+    ``ROWS_PER_SALT`` in each, and the one matching row is repeated for each; rows
+    without a key are spread when they are many. ``hot_keys`` bounds the list of hot keys, so it is broadcast.
     Without hot keys this is a plain join. ``keep_salt`` leaves the column
     ``_salt`` for a grouping that reuses the partitioning of the join.
     """
@@ -55,19 +61,20 @@ def salted_join(
         joined = big.join(single, keys, how)
         return joined.withColumn("_salt", F.lit(0)) if keep_salt else joined
     fields = [big.schema[k] for k in keys]
-    known = [(*row, True) for row in hot if all(v is not None for v in row)]
-    table = big.sparkSession.createDataFrame(known, StructType([*fields, StructField("_hot", BooleanType())]))
+    salts = [max(SALTS, -(-row[-1] // ROWS_PER_SALT)) for row in hot]
+    known = [(*row[:-1], n) for row, n in zip(hot, salts) if all(v is not None for v in row)]
+    table = big.sparkSession.createDataFrame(known, StructType([*fields, StructField("_hot", LongType())]))
     table = F.broadcast(table)
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
-    row_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    row_salt = F.pmod(F.xxhash64(*spread), F.coalesce("_hot", F.lit(max(salts)))).cast("int")
     left = (
         big.join(table, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | missing, row_salt).otherwise(0))
+        .withColumn("_salt", F.when(F.col("_hot").isNotNull() | missing, row_salt).otherwise(0))
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot").cast("int") - 1)).otherwise(F.array(F.lit(0)))
     right = single.join(table, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     joined = left.join(right, [*keys, "_salt"], how)
     return joined if keep_salt else joined.drop("_salt")

@@ -43,13 +43,32 @@ def stop_on_error(outcomes: DataFrame, plan: str = "plan_id", order: str = "seq"
     return kept.withColumn("resume_from", F.col("_fail.first")).drop("_fail")
 
 
+def unknown_targets(actions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """action_id of the actions whose target, or for a merge the other contact, is in no table."""
+    asked = actions.select("action_id", F.inline(F.array_compact(F.array(
+        F.struct(F.col("target.object_type").alias("object_type"), F.col("target.object_id").alias("id")),
+        F.when((F.col("type") == "merge_contacts") & t.present("change.new_value"), F.struct(
+            F.col("target.object_type").alias("object_type"), F.col("change.new_value").alias("id")))))))
+    out = None
+    for object_type, table in tables.items():
+        mine = asked.filter(F.col("object_type") == object_type)
+        lost = salted_join(mine, table.select("id").distinct(), ["id"], "left_anti", ["action_id"]).select("action_id")
+        out = lost if out is None else out.unionByName(lost)
+    return out.distinct()
+
+
 def run_actions(actions: DataFrame, before: DataFrame | None, execution_id: str, executed_at,
-                dry_run: bool = False, continue_on_error: bool = False) -> DataFrame:
+                dry_run: bool = False, continue_on_error: bool = False, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """The per-action log of a run: status, error and before-image.
 
-    ``before`` is the output of :func:`rowmender.plans.rollback.before_images`.
+    ``before`` is the output of :func:`rowmender.plans.rollback.before_images`. With
+    ``tables``, by object type, an action on a row that is not there fails.
     """
     error = F.lit(None).cast("string") if dry_run else action_error()
+    if tables and not dry_run:
+        lost = unknown_targets(actions, tables).withColumn("_lost", F.lit("Target not found"))
+        actions = actions.join(lost, "action_id", "left")
+        error = F.coalesce(error, F.col("_lost"))
     status = F.lit("skipped") if dry_run else F.when(F.col("error").isNotNull(), "failed").otherwise("success")
     log = actions.select(
         "plan_id", "action_id", "seq", "type", F.col("reversible").alias("is_reversible"), error.alias("error")

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
 
 from rowmender.operators.skew import salted_join
 from rowmender.plans.apply import apply_changes
 
 
-def _value_of(table: DataFrame, property_column: Column) -> Column:
-    """The column of the row that ``property_column`` names, as text."""
-    out = F.lit(None).cast("string")
-    for name in table.columns:
-        if name != "id":
-            out = F.when(property_column == name, F.col(f"_row.{name}").cast("string")).otherwise(out)
-    return out
+def long_form(table: DataFrame, properties: Sequence[str]) -> DataFrame:
+    """(id, property, value) of the given columns; no other column is read."""
+    entries = F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties])
+    return table.select("id", F.inline(entries))
 
 
-def before_images(actions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def before_images(actions: DataFrame, tables: dict[str, DataFrame], properties: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Current value of what each reversible action will change: (action_id, rollback_data).
 
-    ``tables`` maps an object type to its table. Other action types have none.
-    One row may be the target of very many actions, hence the salted join.
+    ``tables`` maps an object type to its table, ``properties`` to the columns that the
+    actions may change (by default all but the id). Other action types have none. One
+    row may be the target of very many actions, hence the salted join. An action on a
+    column outside ``properties`` gets an image without a value.
     """
     prop = F.when(F.col("type") == "set_marketing_status", F.lit("hs_marketable_status")).when(
         F.col("type") == "update_property", F.col("change.property"))
@@ -30,12 +31,15 @@ def before_images(actions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
         prop.alias("property")).filter(F.col("property").isNotNull())
     parts = []
     for object_type, table in tables.items():
-        rows = table.select("id", F.struct("*").alias("_row"))
+        names = (properties or {}).get(object_type) or [c for c in table.columns if c != "id"]
         mine = wanted.filter(F.col("object_type") == object_type)
-        parts.append(salted_join(mine, rows, ["id"], "inner", spread=["action_id"]).select(
+        # a column that the table lacks has no value, but its row must be there
+        known = mine.withColumn("_name", F.when(F.col("property").isin(*names), F.col("property")).otherwise(names[0]))
+        rows = long_form(table, names).withColumnRenamed("property", "_name")
+        parts.append(salted_join(known, rows, ["id", "_name"], "inner", spread=["action_id"]).select(
             "action_id", F.struct(
                 "object_type", F.col("id").alias("object_id"), "property",
-                _value_of(table, F.col("property")).alias("original_value")).alias("rollback_data")))
+                F.when(F.col("_name") == F.col("property"), F.col("value")).alias("original_value")).alias("rollback_data")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -49,33 +49,22 @@ def created_after(df: DataFrame, instant, column: str = "createdate") -> DataFra
     return df.filter(F.col(column) >= t.as_timestamp(instant))
 
 
-def property_catalogue(tables: dict[str, DataFrame], options: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Definitions of the properties of each object type, with the values in use.
+def property_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """Definitions of the properties of each object type; read from the schemas alone."""
+    rows = [(object_type, c, c.replace("_", " ").capitalize(), kind)
+            for object_type, df in tables.items() for c, kind in df.dtypes if c != "id"]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "object_type string, name string, label string, type string")
 
-    Only the properties named in ``options`` list their values; those are
-    enumerations, so the distinct values are few and are counted before they
-    are gathered.
-    """
-    options = options or {}
+
+def property_values(tables: dict[str, DataFrame], options: dict[str, Sequence[str]]) -> DataFrame:
+    """The values in use of the named properties, a row with its number of rows each."""
     out = None
-    for object_type, df in tables.items():
-        kinds = dict(df.dtypes)
-        names = [c for c in df.columns if c != "id"]
-        listed = [c for c in names if c in options.get(object_type, ())]
-        spark = df.sparkSession
-        definitions = spark.createDataFrame(
-            [(object_type, c, c.replace("_", " ").capitalize(), kinds[c]) for c in names],
-            "object_type string, name string, label string, type string")
-        if listed:
-            entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in listed])
-            values = df.select(F.inline(entries)).dropna().groupBy("name", "value").agg(
-                F.count(F.lit(1)).alias("n"))
-            gathered = values.groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("options"))
-            definitions = definitions.join(gathered, "name", "left")
-        else:
-            definitions = definitions.withColumn("options", F.lit(None).cast("array<string>"))
-        definitions = definitions.select("object_type", "name", "label", "type", "options")
-        out = definitions if out is None else out.unionByName(definitions)
+    for object_type, names in options.items():
+        entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in names])
+        values = tables[object_type].select(F.inline(entries)).dropna().groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        values = values.select(F.lit(object_type).alias("object_type"), "name", "value", "n")
+        out = values if out is None else out.unionByName(values)
     return out
 
 

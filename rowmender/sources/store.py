@@ -8,9 +8,11 @@ from rowmender.functions import text as t
 from rowmender.plans.build import flatten
 from rowmender.schemas import ACTION_SCHEMA, EXECUTION_ACTION_SCHEMA
 
-# keep the blanks that the findings are about
-CSV_OPTIONS = {"header": True, "escape": '"', "quoteAll": True, "multiLine": True,
+# keep the blanks that the findings are about, and tell null (a character no text holds) from ''
+CSV_OPTIONS = {"header": True, "escape": '"', "quoteAll": True, "multiLine": True, "nullValue": "\u0001", "emptyValue": "",
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# a file with line breaks inside values is read by one task, so files are kept small
+EXPORT_ROWS = 1_000_000
 
 
 def write_plan(actions: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
@@ -26,7 +28,7 @@ def read_plan(spark: SparkSession, path: str, plan_id: str | None = None, fmt: s
 
 
 def export_plan(actions: DataFrame, path: str, fmt: str = "csv") -> None:
-    writer = flatten(actions).write.mode("overwrite")
+    writer = flatten(actions).write.mode("overwrite").option("maxRecordsPerFile", EXPORT_ROWS)
     (writer.options(**CSV_OPTIONS) if fmt == "csv" else writer).format(fmt).save(path)
 
 

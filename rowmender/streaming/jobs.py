@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowmender.config import QualityRules
 from rowmender.functions import text as t
@@ -48,9 +48,14 @@ def rate_alerts(events: DataFrame, event_time: str, kind: str, least: int, windo
     return counts.filter(F.col("n") >= least).select(F.col("w.start").alias("window_start"), kind, "n")
 
 
-def bounce_counts(events: DataFrame, kinds: Sequence[str] = ("BOUNCE",)) -> DataFrame:
-    """Running number of bounces per contact (one counter of state each)."""
-    return events.filter(F.col("event_type").isin(*kinds)).groupBy("contact_id").agg(F.count(F.lit(1)).alias("bounces"))
+def bounce_counts(events: DataFrame, kinds: Sequence[str] = ("BOUNCE",), hard: Column | None = None) -> DataFrame:
+    """Running numbers of hard and soft bounces per contact (two counters of state each).
+
+    ``hard`` tells which bounces are permanent; without it all are soft.
+    """
+    is_hard = F.lit(False) if hard is None else F.coalesce(hard, F.lit(False))
+    return events.filter(F.col("event_type").isin(*kinds)).groupBy("contact_id").agg(
+        F.count_if(is_hard).alias("hard"), F.count_if(~is_hard).alias("soft"))
 
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
@@ -85,7 +90,11 @@ def run_updates(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounced_members(members: DataFrame, updates: DataFrame, soft_limit: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Contacts at or over the bounce limit, and the list members without them."""
-    latest = updates.groupBy("contact_id").agg(F.max("bounces").alias("bounces"))
-    flagged = latest.filter(F.col("bounces") >= soft_limit)
-    return flagged, members.join(flagged, "contact_id", "left_anti")
+    """What to do with bounced contacts, and the list members that stay.
+
+    A hard bounce leaves all lists at once (``remove``); soft bounces at the limit ask for
+    a review and leave the lists as they are.
+    """
+    latest = updates.groupBy("contact_id").agg(F.max("hard").alias("hard"), F.max("soft").alias("soft"))
+    flagged = latest.withColumn("action", F.when(F.col("hard") > 0, "remove").when(F.col("soft") >= soft_limit, "review")).dropna(subset=["action"])
+    return flagged, members.join(flagged.filter("action = 'remove'"), "contact_id", "left_anti")

@@ -94,4 +94,7 @@ def test_streams_in_several_batches(spark):
     updates = jobs.run_updates(jobs.bounce_counts(source), "bounces")
     members = spark.createDataFrame([("l", "c"), ("l", "d")], "list_id string, contact_id string")
     flagged, left = jobs.bounced_members(members, updates)
-    assert [tuple(r) for r in flagged.collect()] == [("c", 3)] and [r.contact_id for r in left.collect()] == ["d"]
+    assert [tuple(r) for r in flagged.collect()] == [("c", 0, 3, "review")] and left.count() == 2
+    hard = spark.createDataFrame([("c", 0, 1), ("d", 1, 0)], "contact_id string, hard long, soft long")
+    flagged, left = jobs.bounced_members(members, hard)
+    assert [tuple(r) for r in flagged.collect()] == [("d", 1, 0, "remove")] and [r.contact_id for r in left.collect()] == ["c"]

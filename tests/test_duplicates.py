@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rowmender.config import DuplicateSettings
 from rowmender.operators import consistency, duplicates as d, fuzzy, sets
+from rowmender.operators.components import connected
 from rowmender.operators.similar import similar_texts
 
 SCHEMA = "id string, email string, firstname string, lastname string, phone string, mobilephone string, company string"
@@ -33,14 +34,30 @@ def brute(keys, tiers):
     return out
 
 
+def brute_links(keys, tiers):
+    names = {1: "email_key", 2: "phone_company_key", 3: "name_company_key"}
+    out = {}
+    for tier in tiers:
+        groups = {}
+        for r in keys:
+            if r[names[tier]] is not None:
+                groups.setdefault(r[names[tier]], []).append(r.id)
+        for ids in groups.values():
+            for i in sorted(ids)[1:]:
+                out.setdefault((min(ids), i), d.TIER_NAMES[tier])
+    return out
+
+
 @pytest.mark.parametrize("switches", list(itertools.product([True, False], repeat=3))[:7])
-def test_pairs_and_counts(spark, switches):
+def test_links_and_counts(spark, switches):
     df = spark.createDataFrame(rows(60), SCHEMA)
-    settings = DuplicateSettings(*switches, full_pair_group=1000)
+    settings = DuplicateSettings(*switches)
     keys = d.match_keys(df).collect()
-    want = brute(keys, d.enabled_tiers(settings))
+    tiers = d.enabled_tiers(settings)
     got = d.exact_pairs(df, settings).collect()
-    assert {(r.id_1, r.id_2): r.match_type for r in got} == want and len(got) == len(want)
+    links = brute_links(keys, tiers)
+    assert {(r.id_1, r.id_2): r.match_type for r in got} == links and len(got) == len(links)
+    want = brute(keys, tiers)
     counts = {r.match_type: r.pairs for r in d.pair_counts(df, settings).collect()}
     assert counts == {t: list(want.values()).count(t) for t in set(want.values())}
     emails = d.email_match_count(df, settings).first()[0]
@@ -48,22 +65,23 @@ def test_pairs_and_counts(spark, switches):
     assert emails == sum(by_id[a] is not None and by_id[a] == by_id[b] for a, b in want)
 
 
-def test_large_groups_are_listed_against_one_member(spark, hot_from):
-    hot_from(10)
-    df = spark.createDataFrame(
-        [(f"{i:03d}", "same@x.co" if i < 40 else f"u{i // 3}@y.co", "A", "B", None, None, None) for i in range(60)], SCHEMA)
-    settings = DuplicateSettings(full_pair_group=3)
-    got = d.exact_pairs(df, settings).collect()
-    hub = [r for r in got if r.group_size == 40]
-    assert len(hub) == 39 and {r.id_1 for r in hub} == {"000"}
-    rest = {(r.id_1, r.id_2) for r in got if r.group_size != 40}
-    small = brute([r for r in d.match_keys(df).collect() if r.email_key != "same@x.co"], [1])
-    assert rest == set(small)
-    # every pair is counted all the same
-    assert d.pair_counts(df, settings).first().pairs == 40 * 39 // 2 + len(small)
-    # and the listed pairs connect the whole group
-    linked = sets.connected_sets(d.exact_pairs(df, settings).select("id_1", "id_2")).collect()
-    assert {r.id for r in linked if r.set_id == "000"} == {f"{i:03d}" for i in range(40)}
+@pytest.mark.parametrize("size", [31, 32, 33, 500])
+def test_groups_of_every_size_are_listed_alike(spark, hot_from, size):
+    hot_from(100)
+    df = spark.createDataFrame([(f"{i:03d}", "same@x.co", "A", "B", None, None, None) for i in range(size)], SCHEMA)
+    got = d.exact_pairs(df).collect()
+    assert sorted((r.id_1, r.id_2, r.group_size) for r in got) == [("000", f"{i:03d}", size) for i in range(1, size)]
+    assert d.pair_counts(df).first().pairs == size * (size - 1) // 2
+
+
+def test_no_link_between_key_types_is_lost(spark):
+    mail = [(f"a{i:03d}", "a@x.co", "A", "B", None, None, None) for i in range(40)]
+    phone = [(f"b{i:03d}", None, "A", "B", "5551234567", None, "Acme") for i in range(40)]
+    phone[0], phone[1] = (phone[0][0], "a@x.co", *phone[0][2:]), (phone[1][0], "a@x.co", *phone[1][2:])
+    df = spark.createDataFrame(mail + phone, SCHEMA)
+    links = {(r.id_1, r.id_2) for r in d.exact_pairs(df).collect()}
+    assert ("b000", "b001") in links and ("a000", "b001") in links
+    assert {r.set_id for r in sets.duplicate_sets(df).collect()} == {"a000"}
 
 
 def test_match_factors_and_texts(spark):
@@ -114,7 +132,7 @@ def test_sets_are_a_partition(spark, hot_from):
     for a, b in links:
         ra, rb = sorted((find(a), find(b)))
         parent[rb] = ra
-    got = sets.connected_sets(spark.createDataFrame(links, "id_1 string, id_2 string")).collect()
+    got = connected(spark.createDataFrame(links, "id_1 string, id_2 string")).collect()
     assert {r.id: r.set_id for r in got} == {x: find(x) for x in list(parent)} and len(got) == len(parent)
 
 

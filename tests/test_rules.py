@@ -87,11 +87,9 @@ def test_cases(spark):
     assert sorted((r.contact_id, r.type, r.needs_reasoning, r.needs_exploration) for r in found.collect()) == [
         ("jon", "name_typo", True, False), ("odd", "semantic_anomaly", True, True),
         ("test", "context_dependent", False, True)]
-    few = CaseSettings(min_cases=4)
-    assert cases.case_batches(found, few).count() == 0
-    batch = cases.case_batches(found, CaseSettings(min_cases=3, max_cases=2)).collect()
-    assert sorted((r.contact_id, r.route) for r in batch) == [
-        ("jon", "reasoning"), ("odd", "exploratory"), ("odd", "reasoning")]
+    batch = cases.case_batches(found, CaseSettings(batch_size=2)).collect()
+    assert sorted((r.contact_id, r.route, r.position, r.batch) for r in batch) == [
+        ("jon", "reasoning", 1, 0), ("odd", "exploratory", 2, 0), ("odd", "reasoning", 2, 0), ("test", "exploratory", 3, 1)]
     outside = spark.createDataFrame(
         [(c, "name_typo", "low", "medium", "d", "why", None) for c in ("jon", "ghost", "ghost")],
         "contact_id string, type string, severity string, confidence string, description string, reasoning string, "
