@@ -183,20 +183,27 @@ def fn_same_company(x):
 
 # ---- near duplicates and sets
 
-EXPECTED["profiles"] = """
-SELECT comp, nm, count(*) AS n, min(id) AS id, min_by(ekey, id) FILTER (id = low) AS ekey, min_by(pkey, id) FILTER (id = low) AS pkey, min_by(nkey, id) FILTER (id = low) AS nkey
-FROM (SELECT *, min(id) OVER (PARTITION BY comp, nm) AS low FROM dup_keys WHERE comp <> '' AND nm <> '') k GROUP BY comp, nm"""
+# from pairs of contacts, counted by their profiles only at the end
+EXPECTED["fuzzy_members"] = """
+SELECT *, min(id) OVER (PARTITION BY comp, nm) AS head, count(*) OVER (PARTITION BY comp, nm) AS n FROM dup_keys WHERE comp <> '' AND nm <> ''"""
 FUZZY = """
-SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n_1, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n_2,
-  a.comp AS company, CAST(levenshtein(a.nm, b.nm) AS INTEGER) AS distance, 1.0::DOUBLE - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) AS similarity,
-  CASE WHEN levenshtein(a.nm, b.nm) <= 2 THEN 'medium' ELSE 'low' END AS confidence
-FROM profiles a JOIN profiles b ON a.comp = b.comp AND a.nm < b.nm
-WHERE (levenshtein(a.nm, b.nm) <= 2 OR 1.0::DOUBLE - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) >= 0.85)
-  AND NOT coalesce(a.ekey = b.ekey, false) AND NOT coalesce(a.pkey = b.pkey, false) AND NOT coalesce(a.nkey = b.nkey, false)"""
+SELECT least(h1, h2) AS id_1, greatest(h1, h2) AS id_2, CASE WHEN h1 < h2 THEN n1 ELSE n2 END AS n_1, CASE WHEN h1 < h2 THEN n2 ELSE n1 END AS n_2, company,
+  distance, similarity, CASE WHEN distance <= 2 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS pairs
+FROM (SELECT CASE WHEN a.head <= b.head THEN a.head ELSE b.head END AS h1, CASE WHEN a.head <= b.head THEN b.head ELSE a.head END AS h2,
+    CASE WHEN a.head <= b.head THEN a.n ELSE b.n END AS n1, CASE WHEN a.head <= b.head THEN b.n ELSE a.n END AS n2, a.comp AS company,
+    CAST(levenshtein(a.nm, b.nm) AS INTEGER) AS distance, 1.0::DOUBLE - levenshtein(a.nm, b.nm)::DOUBLE / greatest(length(a.nm), length(b.nm)) AS similarity
+  FROM fuzzy_members a JOIN fuzzy_members b ON a.comp = b.comp AND a.id < b.id
+  WHERE NOT coalesce(a.ekey = b.ekey, false) AND NOT coalesce(a.pkey = b.pkey, false) AND NOT coalesce(a.nkey = b.nkey, false)) p
+WHERE distance <= 2 OR similarity >= 0.85 GROUP BY ALL"""
 
-query("dup_fuzzy", FUZZY)(lambda x: fuzzy.fuzzy_pairs(x.contacts))
-query("dup_fuzzy_review", f"SELECT * FROM ({FUZZY}) f ORDER BY similarity DESC, id_1, id_2 LIMIT 100")(
-    lambda x: fuzzy.fuzzy_review(fuzzy.fuzzy_pairs(x.contacts)))
+
+def fuzzy_rows(x):
+    return fuzzy.fuzzy_pairs(x.contacts).withColumn("pairs", F.col("pairs").cast("bigint"))
+
+
+query("dup_fuzzy", FUZZY)(fuzzy_rows)
+query("dup_fuzzy_review", f"SELECT *, row_number() OVER (ORDER BY similarity DESC, id_1, id_2) AS review_order FROM ({FUZZY}) f")(
+    lambda x: fuzzy.fuzzy_review(fuzzy_rows(x)))
 
 EXPECTED["first_names"] = """
 SELECT comp AS company, ln AS last, fn AS first, count(*) AS n, min(id) AS id FROM (
@@ -402,7 +409,8 @@ FROM lists l LEFT JOIN members m ON m.list_id = l.list_id LEFT JOIN contacts ON
                                  (F.col("hard_bounced") == "true") | F.col("unsubscribed_at").isNotNull()))
 query("list_validate", """
 SELECT list_id, count(*) AS members, count(*) FILTER (fit) AS deliverable, count(*) FILTER (bad) AS bad_address, count(*) FILTER (out) AS opted_out, count(*) FILTER (bounced) AS bounced,
-  count(address) - count(DISTINCT address) AS duplicates, count(DISTINCT address) FILTER (fit) AS clean_size, round(100.0::DOUBLE * count(*) FILTER (fit) / count(*), 4) AS deliverable_pct
+  count(address) - count(DISTINCT address) AS duplicates, count(DISTINCT address) FILTER (fit) AS clean_size, round(100.0::DOUBLE * count(*) FILTER (fit) / count(*), 4) AS deliverable_pct,
+  round(100.0::DOUBLE * count(DISTINCT address) FILTER (fit) / nullif(count(DISTINCT address) FILTER (NOT (out OR bounced)) + count(*) FILTER (address IS NULL AND NOT (out OR bounced)), 0), 4) AS clean_deliverable_pct
 FROM (SELECT *, NOT (bad OR out OR bounced) AS fit FROM (SELECT list_id, nullif(trim(lower(email)), '') AS address, NOT coalesce(regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+'), false) AS bad,
   unsubscribed_at IS NOT NULL AS out, hard_bounced = 'true' AS bounced FROM members JOIN contacts ON id = contact_id) j) f GROUP BY list_id""")(
     lambda x: lists.validate_lists(x.members, x.contacts))
@@ -452,11 +460,12 @@ def decisions(x):
 
 query("mkt_decision", "SELECT * FROM decisions")(decisions)
 query("mkt_savings", """
-SELECT marketing_contacts, high, medium, with_deals, revenue_at_risk, round(marketing_contacts * 0.4::DOUBLE, 2) AS monthly_cost, round(100.0::DOUBLE * marketing_contacts / 2000, 4) AS utilization_pct,
+SELECT marketing_contacts, high, medium, low, with_deals, revenue_at_risk, round(marketing_contacts * 0.4::DOUBLE, 2) AS monthly_cost, round(100.0::DOUBLE * marketing_contacts / 2000, 4) AS utilization_pct,
   round(high * 0.4::DOUBLE, 2) AS immediate_monthly, round((high + medium) * 0.4::DOUBLE, 2) AS potential_monthly, round((high + medium) * 0.4::DOUBLE * 12, 2) AS annual,
+  CASE WHEN high + medium > 0 THEN round(((high + medium) * 0.4::DOUBLE * 12 - revenue_at_risk) / ((high + medium) * 0.4::DOUBLE * 12), 4) END AS return_to_risk,
   CASE WHEN with_deals > 0 THEN 'Review high-value contacts first' ELSE 'Proceed' END AS recommendation
 FROM (SELECT count(*) AS marketing_contacts, count(*) FILTER (action = 'convert' AND confidence = 'high') AS high, count(*) FILTER (action = 'convert' AND confidence = 'medium') AS medium,
-  count(*) FILTER (action = 'convert' AND deals > 0) AS with_deals, CAST(coalesce(sum(CAST(won_value AS DECIMAL(18,2))) FILTER (action = 'convert'), 0) AS DOUBLE) AS revenue_at_risk FROM decisions) t""")(
+  count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (action = 'convert' AND deals > 0) AS with_deals, CAST(coalesce(sum(CAST(won_value AS DECIMAL(18,2))) FILTER (action = 'convert'), 0) AS DOUBLE) AS revenue_at_risk FROM decisions) t""")(
     lambda x: marketing.savings(decisions(x), SETTINGS))
 query("retention_breaches", f"""
 SELECT breach, count(*) AS contacts FROM (
@@ -506,12 +515,43 @@ def alert_spikes(x):
     return pipeline.spikes(weekly, 10, 10).withColumn("period", t.iso_timestamp(F.col("period")))
 
 
+@query("alert_forms", f"""
+SELECT kind, strftime(period, '{ISO}') AS period, n, before, round(change, 4) AS change_pct, 'drop' AS alert FROM (
+  SELECT *, 100.0::DOUBLE * (n - before) / before AS change FROM (SELECT *, lag(n) OVER (PARTITION BY kind ORDER BY period) AS before FROM (
+    SELECT event_type AS kind, date_trunc('day', event_time) AS period, count(*) AS n FROM contact_events WHERE event_type = 'FORM_SUBMITTED' GROUP BY 1, 2) c) l) d WHERE round(change, 4) < -30""")
+def alert_forms(x):
+    daily = pipeline.period_counts(x.contact_events.filter("event_type = 'FORM_SUBMITTED'"), "event_time", "event_type", "day")
+    return pipeline.spikes(daily, float("inf"), 30).withColumn("period", t.iso_timestamp(F.col("period")))
+
+
+@query("alert_membership", f"""
+SELECT kind, strftime(period, '{ISO}') AS period, n, before, round(change, 4) AS change_pct, CASE WHEN change > 0 THEN 'spike' ELSE 'drop' END AS alert FROM (
+  SELECT *, 100.0::DOUBLE * (n - before) / before AS change FROM (SELECT *, lag(n) OVER (PARTITION BY kind ORDER BY period) AS before FROM (
+    SELECT event_type AS kind, date_trunc('day', event_time) AS period, count(DISTINCT contact_id) AS n FROM contact_events GROUP BY 1, 2) c) l) d WHERE abs(round(change, 4)) > 20""")
+def alert_membership(x):
+    """Members of a list per kind of event that change by more than a fifth within a day."""
+    daily = x.contact_events.select(F.col("event_type").alias("kind"), F.date_trunc("day", F.col("event_time").cast("timestamp")).alias("period"), "contact_id").distinct()
+    counts = daily.groupBy("kind", "period").agg(F.count(F.lit(1)).alias("n"))
+    return pipeline.spikes(counts, 20, 20).withColumn("period", t.iso_timestamp(F.col("period")))
+
+
+@query("alert_score", f"""
+SELECT kind, strftime(period, '{ISO}') AS period, round(score, 4) AS score, round(before, 4) AS before FROM (SELECT *, lag(score) OVER (PARTITION BY kind ORDER BY period) AS before FROM (
+  SELECT 'contacts' AS kind, date_trunc('month', createdate) AS period, 100.0::DOUBLE * count(*) FILTER (phone <> '') / count(*) AS score FROM contacts WHERE createdate IS NOT NULL GROUP BY 2) s) l WHERE before - score > 10""")
+def alert_score(x):
+    """Months whose new contacts have a phone number less often than those of the month before."""
+    scores = x.contacts.filter("createdate IS NOT NULL").groupBy(F.lit("contacts").alias("kind"), F.date_trunc("month", F.col("createdate").cast("timestamp")).alias("period")).agg(
+        (F.lit(100.0) * F.count_if(F.coalesce(F.col("phone") != "", F.lit(False))) / F.count(F.lit(1))).alias("score"))
+    return pipeline.score_drops(scores).select("kind", t.iso_timestamp(F.col("period")).alias("period"), F.round("score", 4).alias("score"), F.round("before", 4).alias("before"))
+
+
+MODEL_PRICES = {"claude-sonnet-4-20250514": (3.0, 15.0, 3.0), "claude-3-haiku-20240307": (0.25, 1.25, 0.25)}
 PRICES = """
 SELECT *, i + o + h AS cost FROM (SELECT *, input_tokens / 1000000 * CASE WHEN haiku THEN 0.25::DOUBLE ELSE 3.0::DOUBLE END AS i, output_tokens / 1000000 * CASE WHEN haiku THEN 1.25::DOUBLE ELSE 15.0::DOUBLE END AS o,
   thinking_tokens / 1000000 * CASE WHEN haiku THEN 0.25::DOUBLE ELSE 3.0::DOUBLE END AS h FROM (SELECT *, model LIKE '%haiku%' AS haiku FROM call_log) m) p"""
 EXPECTED["priced"] = PRICES
 query("llm_cost", "SELECT conv_id, turn, round(i, 9) AS input_cost, round(o, 9) AS output_cost, round(h, 9) AS thinking_cost, round(cost, 9) AS cost_usd FROM priced")(
-    lambda x: x.call_log.select("conv_id", "turn", *pipeline.call_cost()).select(
+    lambda x: x.call_log.select("conv_id", "turn", *pipeline.call_cost(MODEL_PRICES)).select(
         "conv_id", "turn", *[F.round(c, 9).alias(c) for c in ("input_cost", "output_cost", "thinking_cost", "cost_usd")]))
 USAGE_SUMS = ("count(*) FILTER (NOT is_error) AS requests, " + ", ".join(
     f"CAST(coalesce(sum({c}) FILTER (NOT is_error), 0) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "thinking_tokens", "tool_calls"))
@@ -519,7 +559,7 @@ USAGE_SUMS = ("count(*) FILTER (NOT is_error) AS requests, " + ", ".join(
 query("llm_usage", f"""
 SELECT 'operation' AS scope, operation AS name, {USAGE_SUMS} FROM priced GROUP BY operation
 UNION ALL SELECT 'mode', mode, {USAGE_SUMS} FROM priced GROUP BY mode UNION ALL SELECT 'total', 'all', {USAGE_SUMS} FROM priced""")(
-    lambda x: pipeline.usage_rollup(x.call_log))
+    lambda x: pipeline.usage_rollup(x.call_log, MODEL_PRICES))
 
 # ---- across objects
 
@@ -592,3 +632,32 @@ def stream_bounces(x):
     none = F.lit(None).cast("bigint")
     return flagged.select(F.lit("contact").alias("part"), "contact_id", F.col("action").alias("what"), "hard", "soft").unionByName(
         kept.select(F.lit("member").alias("part"), "contact_id", F.col("list_id").alias("what"), none.alias("hard"), none.alias("soft")))
+
+
+# ---- the other audits by name
+
+query("dq_companies", "SELECT 'missing_required_field' AS type, id AS object_id, 'domain' AS field FROM companies WHERE CAST(id AS BIGINT) % 7 = 0")(
+    lambda x: modules.run_audits(["company-quality"], {"companies": x.companies.withColumn(
+        "domain", F.when(F.col("id").cast("bigint") % 7 != 0, F.col("domain")))}, CONFIG, AS_OF).select("type", "object_id", "field"))
+
+
+@query("other_audits", f"""
+SELECT 'marketing' AS module, 'convert_to_non_marketing' AS type, id AS object_id, concat('Marketing contact can be converted: ', replace(reason, '_', ' ')) AS description FROM (
+  SELECT id, CASE WHEN hard_bounced = 'true' THEN 'hard_bounced' WHEN unsubscribed_at IS NOT NULL THEN 'unsubscribed' WHEN lower(email) LIKE '%test%' THEN 'test_contact' END AS reason
+  FROM contacts WHERE hs_marketable_status = 'true') m WHERE reason IS NOT NULL
+UNION ALL SELECT 'lists', kind, list_id, CASE kind WHEN 'empty_list' THEN 'List has no members' WHEN 'unused_list' THEN 'List was not used in six months'
+    ELSE concat('List has ', CAST(invalid AS STRING), ' members who cannot be mailed') END FROM (
+  SELECT list_id, invalid, unnest([CASE WHEN members = 0 THEN 'empty_list' END, CASE WHEN last_used IS NULL OR last_used < TIMESTAMP '2023-08-01 00:00:00' THEN 'unused_list' END, CASE WHEN invalid > 0 THEN 'invalid_members' END]) AS kind
+  FROM (SELECT l.list_id, l.last_used, count(m.contact_id) AS members, count(m.contact_id) FILTER (c.id IS NULL OR c.hard_bounced = 'true' OR c.unsubscribed_at IS NOT NULL) AS invalid
+    FROM lists l LEFT JOIN members m ON m.list_id = l.list_id LEFT JOIN contacts c ON c.id = m.contact_id GROUP BY l.list_id, l.last_used) g) u WHERE kind IS NOT NULL""")
+def other_audits(x):
+    tables = {"contacts": x.contacts, "lists": x.lists, "members": x.members}
+    return modules.run_audits(["marketing", "lists"], tables, CONFIG, AS_OF).select("module", "type", "object_id", "description")
+
+
+@query("property_findings", """
+SELECT 'low_population' AS type, property AS object_id, CAST(round(100.0::DOUBLE * filled / records, 4) AS DOUBLE) AS fill_rate FROM (
+  SELECT 'unsubscribed_at' AS property, count(*) AS records, count(unsubscribed_at) AS filled FROM contacts) u WHERE 100.0 * filled / records < 5""")
+def property_findings(x):
+    found = modules.run_audits(["properties"], {"contacts": x.contacts.select("id", "unsubscribed_at", "company")}, CONFIG, AS_OF)
+    return found.select("type", "object_id", F.col("current_value").cast("double").alias("fill_rate"))

@@ -458,3 +458,9 @@ SELECT id, CASE WHEN lifecyclestage = 'lead' AND lastmodifieddate < TIMESTAMP '2
 def bulk_update(x):
     cold = (F.col("lifecyclestage") == "lead") & (F.col("lastmodifieddate") < F.lit("2001-01-01").cast("timestamp"))
     return apply.bulk_update(x.contacts, cold, {"lifecyclestage": "subscriber"}).select("id", "lifecyclestage")
+
+
+@query("bulk_preview", "SELECT count(*) AS matching, count(*) AS changing FROM contacts WHERE lifecyclestage = 'lead' AND lastmodifieddate < TIMESTAMP '2001-01-01 00:00:00'")
+def bulk_preview(x):
+    cold = (F.col("lifecyclestage") == "lead") & (F.col("lastmodifieddate") < F.lit("2001-01-01").cast("timestamp"))
+    return apply.preview_update(x.contacts, cold, {"lifecyclestage": "subscriber"})

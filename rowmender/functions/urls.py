@@ -12,11 +12,35 @@ _PORT = r"(:(0*(6553[0-5]|655[0-2]\d|65[0-4]\d\d|6[0-4]\d{3}|[1-5]\d{4}|\d{1,4})
 _ESCAPE = rf"%(?!{FORBIDDEN_ESCAPES})[2-9a-fA-F][0-9a-fA-F]"
 _NAME = rf"([^{FORBIDDEN_HOST}]|{_ESCAPE})+"
 _IPV6 = r"\[[0-9a-fA-F]*:[0-9a-fA-F:.]*\]"
-_OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # plain host names, which most values are, need no closer look
 COMMON = r"^(https?://)?([a-zA-Z0-9-]+\.)+[a-zA-Z]+(/[!-~]*)?\z"
 
 
+def _number(part: Column) -> Column:
+    """A decimal, octal (leading 0) or hexadecimal (leading 0x) part of an address; null when it is none."""
+    digits = F.regexp_replace(part, r"^0[xX]?", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    # longer numbers are too large in any case
+    small = F.length(digits) <= 16
+    read = (
+        F.when(part.rlike(r"^0[xX][0-9a-fA-F]*\z"), F.conv(digits, 16, 10))
+        .when(part.rlike(r"^0[0-7]*\z"), F.conv(digits, 8, 10))
+        .when(part.rlike(r"^[1-9]\d*\z"), part)
+    )
+    return F.when(small, read.try_cast("decimal(20,0)"))
+
+
+def is_ipv4(host: Column) -> Column:
+    """True for an address of up to four parts, the last of which fills the bytes that are left."""
+    parts = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+    numbers = F.transform(parts, _number)
+    count = F.size(parts)
+    last = F.element_at(numbers, -1)
+    first = F.slice(numbers, 1, F.greatest(count - 1, F.lit(0)))
+    room = F.pow(F.lit(256.0), 5 - count)
+    return F.coalesce((count <= 4) & F.forall(first, lambda n: F.coalesce(n <= 255, F.lit(False))) & (last < room), F.lit(False))
+
+
 def is_valid_url(c: Column) -> Column:
     """True when the text, given ``https://`` unless it starts with http, is a URL."""
     text = F.when(c.startswith("http"), c).otherwise(F.concat(F.lit("https://"), c))
@@ -27,7 +51,7 @@ def is_valid_url(c: Column) -> Column:
     host = F.regexp_replace(authority, r"^.*@", "")
     shaped = host.rlike(rf"^({_NAME}|{_IPV6}){_PORT}\z")
     # a host whose last label is a number must be an IPv4 address
-    numeric = host.rlike(r"(^|\.)\d+\.?(:\d*)?\z")
-    ipv4 = host.rlike(rf"^({_OCTET}(\.{_OCTET}){{3}}|{_OCTET}(\.{_OCTET}){{0,1}}\.\d{{1,7}}|\d{{1,9}})\.?(:\d*)?\z")
+    bare = F.regexp_replace(host, r":\d*\z", "")
+    numeric = bare.rlike(r"(^|\.)(\d+|0[xX][0-9a-fA-F]*)\.?\z")
     other_scheme = text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
-    return F.when(c.rlike(COMMON), True).when(web, shaped & (~numeric | ipv4)).otherwise(other_scheme)
+    return F.when(c.rlike(COMMON), True).when(web, shaped & (~numeric | is_ipv4(bare))).otherwise(other_scheme)

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowmender.config import DuplicateSettings
 from rowmender.functions import text as t
-from rowmender.operators.duplicates import match_keys
+from rowmender.operators.duplicates import match_keys, pairs_in
 from rowmender.operators.similar import similar_texts
-from rowmender.operators.skew import hot_counted, salted_join
+from rowmender.operators.skew import hot_counted, ordered_position, salted_join
 
 
 def _ordered(pairs: DataFrame, *rest) -> DataFrame:
@@ -25,30 +25,71 @@ def _ordered(pairs: DataFrame, *rest) -> DataFrame:
         first["id"].alias("id_1"), second["id"].alias("id_2"), first["n"].alias("n_1"), second["n"].alias("n_2"), *rest)
 
 
-def name_profiles(contacts: DataFrame, settings: DuplicateSettings) -> DataFrame:
-    keys = match_keys(contacts, settings.default_country_code)
-    known = keys.filter(F.col("company").isNotNull() & (F.col("name") != ""))
-    head = F.struct("id", "email_key", "phone_company_key", "name_company_key")
-    return known.groupBy("company", "name").agg(F.count(F.lit(1)).alias("n"), F.min(head).alias("h")).select(
-        "company", "name", "n", "h.*")
+EXACT_KEYS = ("email_key", "phone_company_key", "name_company_key")
+
+
+def name_profiles(members: DataFrame) -> DataFrame:
+    return members.groupBy("company", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+
+
+def exact_parts(members: DataFrame) -> DataFrame:
+    """Members per profile and value of each combination of exact keys, with the sign of inclusion and exclusion.
+
+    (company, name, part, sign, k0, k1, k2, n): for two profiles, the sum of sign * n * n over
+    equal combinations is the number of their member pairs that some exact key links.
+    """
+    entries = []
+    for part in range(1, 1 << len(EXACT_KEYS)):
+        used = [F.col(k) for i, k in enumerate(EXACT_KEYS) if part >> i & 1]
+        whole = F.lit(True)
+        for k in used:
+            whole = whole & k.isNotNull()
+        values = [*used, *[F.lit(None).cast("string")] * (len(EXACT_KEYS) - len(used))]
+        entries.append(F.when(whole, F.struct(
+            F.lit(part).alias("part"), F.lit(1 if len(used) % 2 else -1).alias("sign"),
+            *[F.coalesce(v, F.lit("")).alias(f"k{i}") for i, v in enumerate(values)])))
+    rows = members.select("company", "name", F.inline(F.array_compact(F.array(*entries))))
+    return rows.groupBy("company", "name", "part", "sign", "k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fuzzy_pairs(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
-    """Profiles of one company with similar names that no exact key links."""
-    close = similar_texts(
-        name_profiles(contacts, settings), "name", ["company"],
-        ["id", "n", "email_key", "phone_company_key", "name_company_key"],
-        settings.max_fuzzy_distance, settings.fuzzy_match_threshold)
-    exact = F.lit(False)
-    for key in ("email_key", "phone_company_key", "name_company_key"):
-        exact = exact | F.coalesce(F.col(f"row_1.{key}") == F.col(f"row_2.{key}"), F.lit(False))
+    """Profiles of one company with similar names, and how many of their member pairs no exact key links.
+
+    A profile whose own members are not all linked by exact keys is reported against itself.
+    """
+    keys = match_keys(contacts, settings.default_country_code)
+    members = keys.filter(F.col("company").isNotNull() & (F.col("name") != ""))
+    profiles = name_profiles(members)
+    close = similar_texts(profiles, "name", ["company"], ["id", "n"], settings.max_fuzzy_distance, settings.fuzzy_match_threshold)
+    parts = exact_parts(members)
+    value = ["company", "part", "k0", "k1", "k2"]
+    # only values that several profiles have can link two of them
+    shared = parts.groupBy(*value).agg(F.count(F.lit(1)).alias("_profiles")).filter("_profiles > 1").drop("_profiles")
+    common = parts.join(shared, value)
+    one = common.select(*value, "sign", F.col("name").alias("text_1"), F.col("n").alias("_n1"))
+    other = common.select(*value, F.col("name").alias("text_2"), F.col("n").alias("_n2"))
+    wide = "decimal(38,0)"
+    linked = (
+        close.select("company", "text_1", "text_2").join(one, ["company", "text_1"]).join(other, [*value, "text_2"])
+        .groupBy("company", "text_1", "text_2").agg(
+            F.sum((F.col("sign") * F.col("_n1")).cast("decimal(19,0)") * F.col("_n2").cast("decimal(19,0)")).cast(wide).alias("_linked")))
+    zero = F.lit(0).cast(wide)
+    product = (F.col("row_1.n").cast("decimal(19,0)") * F.col("row_2.n").cast("decimal(19,0)")).cast(wide)
+    apart = close.join(linked, ["company", "text_1", "text_2"], "left").withColumn("pairs", product - F.coalesce("_linked", zero))
+    own_links = parts.groupBy("company", "name").agg(F.sum(F.col("sign") * pairs_in(F.col("n"))).cast(wide).alias("_linked"))
+    row = F.struct("id", "n")
+    own = profiles.filter("n > 1").join(own_links, ["company", "name"], "left").select(
+        "company", row.alias("row_1"), row.alias("row_2"), F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"),
+        (pairs_in(F.col("n")).cast(wide) - F.coalesce("_linked", zero)).alias("pairs"))
+    found = apart.select(*own.columns).unionByName(own).filter("pairs > 0")
     confidence = F.when(F.col("distance") <= settings.max_fuzzy_distance, "medium").otherwise("low")
-    return _ordered(close.filter(~exact), "company", "distance", "similarity", confidence.alias("confidence"))
+    return _ordered(found, "company", "distance", "similarity", confidence.alias("confidence"), "pairs")
 
 
-def fuzzy_review(pairs: DataFrame, limit: int = 100) -> DataFrame:
-    """The best pairs for a reviewer; the number is a setting of the report."""
-    return pairs.orderBy(F.desc("similarity"), "id_1", "id_2").limit(limit)
+def fuzzy_review(pairs: DataFrame) -> DataFrame:
+    """All pairs, numbered in the order of review: the most similar first."""
+    ranked = ordered_position(pairs.withColumn("_order", -F.col("similarity")), ["_order", "id_1", "id_2"], "review_order")
+    return ranked.drop("_order")
 
 
 def nickname_pairs(contacts: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def list_hygiene(lists: DataFrame, members: DataFrame, contacts: DataFrame, as_o
 def validate_lists(members: DataFrame, contacts: DataFrame) -> DataFrame:
     """Per list, what would go wrong in a campaign, and the deliverable share before and after.
 
-    Duplicates are further members with an address that the list already has.
+    Cleaning drops opted-out and bounced members and merges duplicates; bad addresses wait for
+    a review, so they still count against ``clean_deliverable_pct``. Duplicates are further members with an address that the list already has.
     """
     from rowmender.operators.rules import EMAIL_PATTERN
 
@@ -83,9 +84,11 @@ def validate_lists(members: DataFrame, contacts: DataFrame) -> DataFrame:
     fit = ~(F.col("bad_address") | F.col("opted_out") | F.col("bounced"))
     # per address first: it takes the hot lists apart and finds the duplicates
     per_address = joined.groupBy("list_id", "address").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(fit).alias("fit"), *[F.count_if(f).alias(f) for f in flags])
+        F.count(F.lit(1)).alias("n"), F.count_if(fit).alias("fit"), F.count_if(~(F.col("opted_out") | F.col("bounced"))).alias("stay"), *[F.count_if(f).alias(f) for f in flags])
     counts = per_address.groupBy("list_id").agg(
         F.sum("n").alias("members"), F.sum("fit").alias("deliverable"), *[F.sum(f).alias(f) for f in flags],
         F.sum(F.when(F.col("address").isNotNull(), F.col("n") - 1).otherwise(0)).alias("duplicates"),
-        F.sum(F.when(F.col("address").isNotNull() & (F.col("fit") > 0), 1).otherwise(0)).alias("clean_size"))
-    return counts.withColumn("deliverable_pct", F.round(F.lit(100.0) * F.col("deliverable") / F.col("members"), 4))
+        F.sum(F.when(F.col("address").isNotNull() & (F.col("fit") > 0), 1).otherwise(0)).alias("clean_size"),
+        F.sum(F.when(F.col("address").isNull(), F.col("stay")).when(F.col("stay") > 0, 1).otherwise(0)).alias("_stay"))
+    after = F.when(F.col("_stay") > 0, F.round(F.lit(100.0) * F.col("clean_size") / F.col("_stay"), 4))
+    return counts.withColumn("clean_deliverable_pct", after).drop("_stay").withColumn("deliverable_pct", F.round(F.lit(100.0) * F.col("deliverable") / F.col("members"), 4))

@@ -103,16 +103,18 @@ def savings(decisions: DataFrame, settings: MarketingSettings = MarketingSetting
 
     total = decisions.agg(
         F.count(F.lit(1)).alias("marketing_contacts"), n("high").alias("high"), n("medium").alias("medium"),
+        F.count_if(F.col("confidence") == "low").alias("low"),
         F.count_if(convert & (F.col("deals") > 0)).alias("with_deals"),
         F.coalesce(F.sum(F.when(convert, F.col("won_value").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("revenue_at_risk"))
     unit = F.lit(settings.unit_cost)
     both = F.col("high") + F.col("medium")
     return total.select(
-        "marketing_contacts", "high", "medium", "with_deals", "revenue_at_risk",
+        "marketing_contacts", "high", "medium", "low", "with_deals", "revenue_at_risk",
         F.round(F.col("marketing_contacts") * unit, 2).alias("monthly_cost"),
         F.round(F.lit(100.0) * F.col("marketing_contacts") / settings.contact_limit, 4).alias("utilization_pct"),
         F.round(F.col("high") * unit, 2).alias("immediate_monthly"), F.round(both * unit, 2).alias("potential_monthly"),
         F.round(both * unit * 12, 2).alias("annual"),
+        F.when(both > 0, F.round((both * unit * 12 - F.col("revenue_at_risk")) / (both * unit * 12), 4)).alias("return_to_risk"),
         F.when(F.col("with_deals") > 0, "Review high-value contacts first").otherwise("Proceed").alias("recommendation"))
 
 

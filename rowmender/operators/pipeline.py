@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from rowmender.functions import text as t
 
-# fixed values: price per million tokens (input, output, thinking)
-PRICES = {
-    "claude-sonnet-4-20250514": (3.0, 15.0, 3.0),
-    "claude-3-haiku-20240307": (0.25, 1.25, 0.25),
-}
-
 
 def stuck_deals(deals: DataFrame, as_of, idle_days: int = 30) -> DataFrame:
     """Open deals without activity, by stage."""
@@ -64,26 +58,29 @@ def spikes(counts: DataFrame, rise_pct: float = 50.0, drop_pct: float = 30.0) ->
     return flagged.withColumn("alert", alert).filter(F.col("alert").isNotNull())
 
 
-def call_cost() -> list[Column]:
-    """Cost columns of a call, from its model and token counts."""
-    table = F.create_map(*[x for m, p in PRICES.items() for x in (F.lit(m), F.array(*map(F.lit, p)))])
-    prices = F.try_element_at(table, F.col("model"))
+def call_cost(prices: dict[str, tuple[float, float, float]]) -> list[Column]:
+    """Cost columns of a call, from its model and token counts.
+
+    ``prices`` gives a model's price of a million input, output and thinking tokens.
+    """
+    table = F.create_map(*[x for m, p in prices.items() for x in (F.lit(m), F.array(*map(F.lit, p)))])
+    own = F.try_element_at(table, F.col("model"))
 
     def part(tokens: str, i: int) -> Column:
-        return F.col(tokens) / F.lit(1_000_000) * prices[i]
+        return F.col(tokens) / F.lit(1_000_000) * own[i]
 
     a, b, c = part("input_tokens", 0), part("output_tokens", 1), part("thinking_tokens", 2)
     return [a.alias("input_cost"), b.alias("output_cost"), c.alias("thinking_cost"), (a + b + c).alias("cost_usd")]
 
 
-def usage_rollup(calls: DataFrame) -> DataFrame:
+def usage_rollup(calls: DataFrame, prices: dict[str, tuple[float, float, float]]) -> DataFrame:
     """Requests, tokens, tool calls, cost and errors by operation, by mode and in total.
 
     A failed call counts as an error and nothing else. The calls are counted per
     (operation, mode) first; the grouping sets then work on those few rows.
     """
     ok = ~F.col("is_error")
-    priced = calls.select("*", *call_cost())
+    priced = calls.select("*", *call_cost(prices))
     # whole micro-units add up without rounding drift
     micro = F.round(F.col("cost_usd") * 1e9).cast("bigint")
     sums = ["input_tokens", "output_tokens", "thinking_tokens", "tool_calls"]
@@ -98,3 +95,10 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     return sets.select(
         scope.alias("scope"), F.coalesce("operation", "mode", F.lit("all")).alias("name"), "requests", *sums,
         (F.col("_nano") / F.lit(1e9)).alias("cost_usd"), "errors")
+
+
+def score_drops(scores: DataFrame, points: float = 10.0) -> DataFrame:
+    """Periods whose score (kind, period, score) fell by more than ``points`` against the one before."""
+    w = Window.partitionBy("kind").orderBy("period")
+    with_before = scores.withColumn("before", F.lag("score").over(w))
+    return with_before.filter(F.col("before") - F.col("score") > points)

@@ -194,6 +194,15 @@ def bulk_changes(table: DataFrame, condition: Column, values: dict[str, str]) ->
     return table.filter(condition).select("id", F.inline(sets)).withColumn("seq", F.col("id"))
 
 
+def preview_update(table: DataFrame, condition: Column, values: dict[str, str]) -> DataFrame:
+    """One row: how many rows match, and how many of them a bulk update would change."""
+    differs = F.lit(False)
+    for name, value in values.items():
+        differs = differs | ~F.col(name).eqNullSafe(F.lit(value))
+    hit = F.coalesce(condition, F.lit(False))
+    return table.agg(F.count_if(hit).alias("matching"), F.count_if(hit & differs).alias("changing"))
+
+
 def bulk_update(table: DataFrame, condition: Column, values: dict[str, str]) -> DataFrame:
     """Update the matching rows in place: a projection, as the condition is in the row."""
     return table.withColumns({p: F.when(condition, F.lit(v)).otherwise(F.col(p)) for p, v in values.items()})

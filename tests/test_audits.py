@@ -58,7 +58,8 @@ def test_call_usage(spark):
         [("a", "reasoning", "claude-sonnet-4-20250514", 1_000_000, 1_000_000, 0, 1, False), ("a", "simple", "claude-3-haiku-20240307", 1_000_000, 0, 1_000_000, 0, False),
          ("b", "simple", "claude-3-haiku-20240307", 5, 5, 5, 5, True)],
         "operation string, mode string, model string, input_tokens long, output_tokens long, thinking_tokens long, tool_calls long, is_error boolean")
-    got = {(r.scope, r.name): (r.requests, r.cost_usd, r.errors) for r in pipeline.usage_rollup(df).collect()}
+    got = {(r.scope, r.name): (r.requests, r.cost_usd, r.errors) for r in pipeline.usage_rollup(
+        df, {"claude-sonnet-4-20250514": (3.0, 15.0, 3.0), "claude-3-haiku-20240307": (0.25, 1.25, 0.25)}).collect()}
     assert got == {("operation", "a"): (2, 18.5, 0), ("operation", "b"): (0, 0.0, 1), ("mode", "reasoning"): (1, 18.0, 0),
                    ("mode", "simple"): (1, 0.5, 1), ("total", "all"): (2, 18.5, 1)}
 

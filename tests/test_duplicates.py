@@ -159,8 +159,14 @@ def test_near_duplicates(spark):
         ("3", "c@x.co", "Robrt", "Smith", None, None, "ACME"), ("4", "d@y.co", "Robert", "Smith", None, None, "Acme"),
         ("5", "A@x.co", "Robertt", "Smith", None, None, "Acme")], SCHEMA)
     close = {(r.id_1, r.id_2): (r.n_1, r.n_2, r.distance) for r in fuzzy.fuzzy_pairs(df).collect()}
-    # 1 and 5 share an address, so an exact key has them already
-    assert close == {("1", "3"): (2, 1, 1), ("3", "5"): (1, 1, 2)}
+    # 1 and 5 share an address, so an exact key has them already, but not 4 and 5
+    assert close == {("1", "3"): (2, 1, 1), ("1", "5"): (2, 1, 1), ("3", "5"): (1, 1, 2)}
+    half = spark.createDataFrame([
+        ("1", "a@x.co", "Jon", "Smith", None, None, "Acme"), ("2", "a@x.co", "John", "Smith", None, None, "Acme"),
+        ("3", "c@x.co", "Jon", "Smith", None, None, "Acme"), ("4", "d@x.co", "John", "Smith", None, None, "Acme"),
+        ("5", None, "Ann", None, None, None, "Beta"), ("6", None, "Ann", "", None, None, "Beta")], SCHEMA)
+    assert {(r.id_1, r.id_2, r.distance, int(r.pairs)) for r in fuzzy.fuzzy_pairs(half).collect()} == {("1", "2", 1, 3), ("5", "5", 0, 1)}
+    assert [r.review_order for r in fuzzy.fuzzy_review(fuzzy.fuzzy_pairs(half)).orderBy("review_order").collect()] == [1, 2]
     nick = fuzzy.nickname_pairs(df).collect()
     assert [(r.id_1, r.id_2, r.n_1, r.nickname) for r in nick] == [("1", "2", 2, "bob")]
     twins = {r.domain: (r.n, r.head_id, r.domains, r.pairs) for r in fuzzy.name_domain_groups(df).collect()}

@@ -76,9 +76,9 @@ def test_pair_key_and_dates(spark):
 
 GOOD_URLS = ["example.com", "https://example.com/a?b=c#d", "http:example.com", "a_b.com", "user:pw@host:8080", "[::1]:80",
              "1.2.3.4", "localhost", "host:", "müller.de", "ftp.example.com", "httpbin:x", "example.com:65535", "a%C3%A9.com",
-             "  trailing.com "[2:], "256.com"]
+             "  trailing.com "[2:], "256.com", "4294967295", "01.2.3.4", "0x7f.1", "1.2.65535", "0x", "1.2.3.4."]
 BAD_URLS = ["not a url", "https://", "http", "httpfoo", "exa mple.com", "host:99999", "1.2.3.456", "a<b.com", "[::1", "host:abc",
-            "a%20b.com", "foo.123", ":80", "a|b"]
+            "a%20b.com", "foo.123", ":80", "a|b", "1.2.70000", "4294967296", "1.2.3.08", "1.2.3.4.5", "0x1ffffffff", "99999999999999999999999"]
 
 
 def test_urls(spark):
