@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowmender.functions import text as t
 
 
 def _limit(length: Column, max_distance: int, threshold: float | None) -> Column:
@@ -81,8 +80,10 @@ def similar_texts(df: DataFrame, text: str, block: Sequence[str], payload: Seque
     # with equal lengths both texts probe, so the text order keeps one direction
     different = (F.col("short_len") < F.col("len_2")) | (F.col("text_1") < F.col("text_2"))
     close = indexed.join(probing, [*block, "short_len", "k", "piece", "part"]).filter(different)
-    scored = close.withColumn("distance", F.levenshtein("text_1", "text_2")).withColumn(
-        "similarity", t.similarity(F.col("text_1"), F.col("text_2")))
+    # computed once, and only as far as the limit of the longer text
+    far = _limit(F.col("len_2"), max_distance, threshold)
+    near = close.withColumn("distance", F.call_function("levenshtein", F.col("text_1"), F.col("text_2"), far)).filter("distance >= 0")
+    scored = near.withColumn("similarity", F.lit(1.0) - F.col("distance") / F.col("len_2"))
     good = F.col("distance") <= max_distance
     if threshold is not None:
         good = good | (F.col("similarity") >= threshold)
