@@ -19,45 +19,78 @@ def missing_dependencies(actions: DataFrame) -> DataFrame:
     return salted_join(edges, ids, ["dependency"], "left_anti", spread=["action_id"])
 
 
+def follow_chains(single: DataFrame) -> DataFrame:
+    """Where each action with one dependency leads: (action_id, anchor, steps).
+
+    The anchor is the first action on the way that is not such an action itself.
+    Doubling the steps takes as many rounds as the logarithm of the longest chain; what
+    leads in a circle keeps an anchor that is still on the way.
+    """
+    jump = single.select("action_id", F.col("dependency").alias("anchor"), F.lit(1).cast("bigint").alias("steps"))
+    jump = cut_lineage(jump)
+    longest, reach = jump.count(), 1
+    while reach <= longest:
+        onward = jump.select(F.col("action_id").alias("anchor"), F.col("anchor").alias("_next"), F.col("steps").alias("_more"))
+        hot = hot_keys(jump, ["anchor"])
+        joined = salted_join(jump, onward, ["anchor"], "left", ["action_id"], hot)
+        further = cut_lineage(joined.select(
+            "action_id", F.coalesce("_next", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
+            F.col("_next").isNotNull().alias("_moved")))
+        jump, reach = further.drop("_moved"), 2 * reach
+        if further.filter("_moved").isEmpty():
+            break
+    return jump
+
+
 def dependency_levels(actions: DataFrame) -> DataFrame:
     """Level of each action: 0 without dependencies, else one above the highest of them.
 
-    Works in rounds, one per level. What no round can place either waits,
-    directly or not, for an action outside the plan, or is in or behind a cycle.
-    Each round touches the edges that are still open, and its inputs are
-    checkpointed so that no round repeats an earlier one.
+    Actions with a single dependency are contracted to where their chain leads, so long
+    chains cost few rounds. The actions with several dependencies are then placed in
+    rounds, each of which touches only links that are still open. What cannot be placed
+    either waits, directly or not, for an action outside the plan, or is in or behind a cycle.
     """
     ids = cut_lineage(actions.select("action_id").distinct())
     edges = cut_lineage(dependency_edges(actions))
-    hot = hot_keys(edges, ["dependency"])
-    known = ids.withColumnRenamed("action_id", "dependency")
-    all_edges = edges
-    absent = cut_lineage(
-        salted_join(edges, known, ["dependency"], "left_anti", ["action_id"], hot).select("action_id").distinct())
-
-    frontier = cut_lineage(ids.join(edges.select("action_id").distinct(), "action_id", "left_anti"))
-    placed = frontier.withColumn("level", F.lit(0))
-    level = 0
-    while not frontier.isEmpty():
-        level += 1
-        done = frontier.withColumnRenamed("action_id", "dependency").withColumn("_done", F.lit(True))
-        marked = salted_join(edges, done, ["dependency"], "left", ["action_id"], hot)
-        # one pass decides both: who lost an open edge, and who has none left
-        state = cut_lineage(marked)
-        edges = state.filter("_done IS NULL").select("action_id", "dependency")
-        moved = state.groupBy("action_id").agg(F.count("_done").alias("closed"), F.count(F.lit(1)).alias("open"))
-        frontier = cut_lineage(moved.filter("closed = open").select("action_id"))
-        placed = placed.unionByName(frontier.withColumn("level", F.lit(level)))
-
-    blocked, fresh = absent, absent
+    degrees = edges.groupBy("action_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = cut_lineage(edges.join(degrees, "action_id"))
+    chains = follow_chains(ranked.filter("_n = 1"))
+    # each link of the others, to the end of the chain it starts
+    ways = chains.select(F.col("action_id").alias("dependency"), "anchor", "steps")
+    several = ranked.filter("_n > 1").select("action_id", "dependency")
+    links = cut_lineage(salted_join(several, ways, ["dependency"], "left", ["action_id"]).select(
+        "action_id", F.coalesce("anchor", "dependency").alias("anchor"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    hot = hot_keys(links, ["anchor"])
+    outside = salted_join(
+        links.select("anchor").unionByName(chains.select("anchor")).distinct(), ids.withColumnRenamed("action_id", "anchor"), ["anchor"], "left_anti", ["anchor"])
+    outside = cut_lineage(outside)
+
+    roots = ids.join(edges.select("action_id").distinct(), "action_id", "left_anti")
+    frontier = cut_lineage(roots.withColumn("level", F.lit(0).cast("bigint")))
+    placed, open_links = frontier, links.withColumn("level", F.lit(None).cast("bigint"))
+    while not frontier.isEmpty() and not open_links.isEmpty():
+        reached = frontier.select(F.col("action_id").alias("anchor"), F.col("level").alias("_level"))
+        state = cut_lineage(salted_join(open_links, reached, ["anchor"], "left", ["action_id"], hot).select(
+            "action_id", "anchor", "steps", F.coalesce("level", F.col("_level") + F.col("steps")).alias("level")))
+        done = state.groupBy("action_id").agg(F.max("level").alias("level"), F.count("level").alias("_closed"), F.count(F.lit(1)).alias("_all"))
+        frontier = cut_lineage(done.filter("_closed = _all").select("action_id", "level"))
+        open_links = cut_lineage(state.join(frontier.select("action_id"), "action_id", "left_anti"))
+        placed = cut_lineage(placed.unionByName(frontier))
+
+    blocked = cut_lineage(links.join(outside, "anchor", "left_semi").select("action_id").distinct())
+    fresh = blocked
     while not fresh.isEmpty():
-        source = fresh.withColumnRenamed("action_id", "dependency")
-        reached = salted_join(all_edges, source, ["dependency"], "left_semi", ["action_id"], hot)
-        fresh = cut_lineage(reached.select("action_id").distinct().join(blocked, "action_id", "left_anti"))
-        blocked = blocked.unionByName(fresh)
-
-    waiting = ids.join(placed, "action_id", "left_anti")
-    reason = waiting.join(blocked.withColumn("_missing", F.lit(True)), "action_id", "left").select(
-        "action_id", F.lit(None).cast("int").alias("level"),
-        F.when(F.col("_missing"), "missing_dependency").otherwise("cyclic").alias("status"))
-    return placed.withColumn("status", F.lit("placed")).unionByName(reason)
+        source = fresh.withColumnRenamed("action_id", "anchor")
+        waiting = salted_join(links, source, ["anchor"], "left_semi", ["action_id"], hot).select("action_id").distinct()
+        fresh = cut_lineage(waiting.join(blocked, "action_id", "left_anti"))
+        blocked = cut_lineage(blocked.unionByName(fresh))
+
+    # the contracted actions take their level and their state from where they lead
+    ends = placed.select(F.col("action_id").alias("anchor"), F.col("level").alias("_level"))
+    lost = outside.unionByName(blocked.withColumnRenamed("action_id", "anchor")).withColumn("_missing", F.lit(True))
+    led = salted_join(salted_join(chains, ends, ["anchor"], "left", ["action_id"]), lost, ["anchor"], "left", ["action_id"])
+    single = led.select("action_id", (F.col("_level") + F.col("steps")).alias("level"), "_missing")
+    others = ids.join(chains.select("action_id"), "action_id", "left_anti").join(placed, "action_id", "left").join(
+        blocked.withColumn("_missing", F.lit(True)), "action_id", "left").select("action_id", "level", "_missing")
+    status = F.when(F.col("level").isNotNull(), "placed").when(F.col("_missing"), "missing_dependency").otherwise("cyclic")
+    return single.unionByName(others).select("action_id", F.col("level").cast("int").alias("level"), status.alias("status"))

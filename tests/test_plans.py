@@ -100,6 +100,15 @@ def test_dependency_levels(spark, hot_from):
     assert [(r.action_id, r.dependency) for r in order.missing_dependencies(df).collect()] == [("lost", "gone")]
 
 
+def test_long_chains_between_actions_with_several_dependencies(spark):
+    deps = {"c0": [], **{f"c{i}": [f"c{i - 1}"] for i in range(1, 40)}, "m": ["c39", "c3"], "n1": ["m"], "n2": ["n1"], "k": ["n2", "m", "c0"],
+            "g1": ["gone"], "g2": ["g1"], "g3": ["g2", "c0"], "g4": ["g3"], "o1": ["o2", "c0"], "o2": ["o1"], "o3": ["o2"]}
+    got = {r.action_id: (r.level, r.status) for r in order.dependency_levels(dep_table(spark, deps)).collect()}
+    assert {k: v[0] for k, v in got.items() if v[1] == "placed"} == {**{f"c{i}": i for i in range(40)}, "m": 40, "n1": 41, "n2": 42, "k": 43}
+    assert {k for k, v in got.items() if v[1] == "missing_dependency"} == {"g1", "g2", "g3", "g4"}
+    assert {k for k, v in got.items() if v[1] == "cyclic"} == {"o1", "o2", "o3"}
+
+
 def action(n, kind, object_id, prop=None, value=None, object_type="contact", reversible=True):
     return ("p", f"a{n}", f"{n:03d}", kind, "high", (object_type, object_id, "x"), ("d", prop, None, value), "r", "rule", None,
             reversible, False, [])
