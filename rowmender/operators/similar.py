@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-
 def _limit(length: Column, max_distance: int, threshold: float | None) -> Column:
     """Largest distance allowed when the longer text has this length."""
     fixed = F.lit(max_distance)
