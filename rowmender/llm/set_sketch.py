@@ -44,6 +44,8 @@ class SketchSettings:
     base: float = 1.02
     rate: float = 32.0
     intervals: int = 4094
+    chunk: int = 2048  # classes of a bucket that one task compares
+    task_rows: int = 2000  # about as many rows of smaller buckets share a task
     slack: float = 0.15  # how far below the limit an estimate may lie: over five deviations
 
     @property
@@ -139,12 +141,9 @@ def bands(classes: DataFrame, settings: SketchSettings) -> DataFrame:
     def make():
         def work(cols):
             out = {"bucket": [], "node": []}
-            size = 2 * settings.rows
             for node, regs in zip(cols["node"], cols["registers"]):
-                for band in range(settings.bands):
-                    digest = xxhash.xxh3_64_intdigest(regs[band * size : (band + 1) * size], seed=band)
-                    out["bucket"].append(digest - (1 << 63))
-                    out["node"].append(node)
+                out["bucket"] += band_keys(regs, settings)
+                out["node"] += [node] * settings.bands
             return out
 
         return work
@@ -195,9 +194,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, settings: SketchSettings) ->
         def work(cols):
             out = {"a": [], "b": []}
             for a, b, za, zb in zip(cols["a"], cols["b"], cols["za"], cols["zb"]):
-                x, y = shingled(a, za), shingled(b, zb)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * shared >= settings.percent * (len(x) + len(y) - shared):
+                if similar(shingled(a, za), shingled(b, zb), settings):
                     out["a"].append(a)
                     out["b"].append(b)
             return out
@@ -208,6 +205,97 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, settings: SketchSettings) ->
     return map_rows(both, make, f"a {kind}, b {kind}")
 
 
+def links_across(members: DataFrame, sets: DataFrame, classes: DataFrame, bodies: DataFrame, settings: SketchSettings) -> DataFrame:
+    """Links (a, b) between classes of a bucket whose components are still apart.
+
+    The two classes that all others of a bucket met are left out. A bucket, or two chunks of
+    a large one, is worked off in one task, which returns confirmed links only: a pair is
+    looked at in the first band that it shares, unless its components have met meanwhile.
+    """
+    apart = members.filter("node <> low and node <> high").join(sets.withColumnRenamed("id", "node"), "node", "left").select(
+        "bucket", "node", F.coalesce("set_id", "node").alias("set_id"))
+    split = apart.groupBy("bucket").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y")
+    split = split.select("bucket", F.ceil(F.col("m") / settings.chunk).cast("int").alias("chunks"))
+    apart, _ = written(apart.join(split, "bucket"), "apart")
+    slots = 1 + apart.count() // settings.task_rows
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "bucket", "node", "set_id", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
+    rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node").join(bodies, "node").withColumn(
+        "slot", F.pmod(F.xxhash64("bucket", "c1", "c2"), F.lit(slots)))
+    kind = classes.schema["node"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}"
+    return rows.groupBy("slot").applyInArrow(bucket_task(settings, pa_schema(members.sparkSession, schema)), schema)
+
+
+def band_keys(registers: bytes, settings: SketchSettings) -> list[int]:
+    size = 2 * settings.rows
+    return [xxhash.xxh3_64_intdigest(registers[i * size : (i + 1) * size], seed=i) - (1 << 63) for i in range(settings.bands)]
+
+
+def bucket_task(settings: SketchSettings, types: pa.Schema):
+    def close(bucket: int, rows: list[dict], crossing: bool, shingled) -> list[tuple]:
+        rows.sort(key=lambda r: r["node"])
+        keys = np.array([band_keys(r["registers"], settings) for r in rows])
+        registers = np.frombuffer(b"".join(r["registers"] for r in rows), "<u2").reshape(len(rows), -1)
+        sizes = np.array([r["n_shingles"] for r in rows], float)
+        chunks = np.array([r["own"] for r in rows])
+        numbers = {s: i for i, s in enumerate(sorted({r["set_id"] for r in rows}))}
+        sets = np.array([numbers[r["set_id"]] for r in rows])  # merged as links are found
+        band = int(np.argmax(keys[0] == bucket))
+        least = settings.percent / 100 - settings.slack
+        found = []
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            j = j[(sets[j] != sets[i]) & ((chunks[j] != chunks[i]) if crossing else True)]
+            j = j[(keys[j] == keys[i]).argmax(axis=1) == band]
+            if not len(j):
+                continue
+            equal = (registers[j] == registers[i]).sum(axis=1)
+            # equal registers never fall short of the similarity by more than chance does
+            likely = equal >= (least - 0.05) * settings.registers
+            j, equal = j[likely], equal[likely]
+            if not len(j):
+                continue
+            above = (registers[i] > registers[j]).sum(axis=1)
+            share = sizes[i] / (sizes[i] + sizes[j])
+            guess = likely_similarity(above, settings.registers - above - equal, equal, share, settings.base)
+            for k in j[guess >= least].tolist():
+                if sets[k] == sets[i]:
+                    continue
+                if similar(shingled(rows[i]), shingled(rows[k]), settings):
+                    found.append((rows[i]["node"], rows[k]["node"]))
+                    sets[sets == sets[k]] = sets[i]
+        return found
+
+    def step(table):
+        unpress = zstandard.ZstdDecompressor()
+        shingles = Shingles(settings.words)
+        memo: dict[object, np.ndarray] = {}
+
+        def shingled(row):
+            if row["node"] not in memo:
+                memo[row["node"]] = shingles(unpress.decompress(row["_z"]))
+            return memo[row["node"]]
+
+        groups: dict[tuple, list[dict]] = {}
+        for row in table.to_pylist():
+            groups.setdefault((row["bucket"], row["c1"], row["c2"]), []).append(row)
+        links: set[tuple] = set()
+        for (bucket, c1, c2), rows in sorted(groups.items()):
+            links.update(close(bucket, rows, c1 != c2, shingled))
+            if len(memo) > 10_000:
+                memo.clear()
+        return pa.Table.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=types)
+
+    return step
+
+
+def similar(x: np.ndarray, y: np.ndarray, settings: SketchSettings) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= settings.percent * (len(x) + len(y) - shared)
+
+
 def compressed(docs: DataFrame) -> DataFrame:
     """node and compressed text."""
     kind = docs.schema["node"].dataType.simpleString()
@@ -238,16 +326,7 @@ def components(docs: DataFrame, settings: SketchSettings = SketchSettings()) ->
     bodies, _ = written(bodies.dropDuplicates(["node"]), "bodies")
     links, _ = written(confirmed(first, bodies, settings), "near")
     sets, _ = written(connected(links.select(F.col("a").alias("id_1"), F.col("b").alias("id_2"))), "sets")
-    # classes of a bucket that are still apart, the two that all others met left out
-    apart = members.filter("node <> low and node <> high").join(sets.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", F.coalesce("set_id", "node").alias("set_id"))
-    split = apart.groupBy("bucket").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x < y").select("bucket")
-    apart = apart.join(split, "bucket")
-    left = apart.select("bucket", F.col("node").alias("a"), F.col("set_id").alias("sa"))
-    right = apart.select("bucket", F.col("node").alias("b"), F.col("set_id").alias("sb"))
-    rest = left.join(right, "bucket").filter("a < b and sa <> sb").select("a", "b").distinct()
-    more = confirmed(promising(rest, classes, settings), bodies, settings)
-    more, _ = written(more, "near")
+    more, _ = written(links_across(members, sets, classes, bodies, settings), "near")
     if not more.isEmpty():
         known = sets.select(F.col("set_id").alias("id_1"), F.col("id").alias("id_2"))
         sets = connected(known.unionByName(more.select(F.col("a").alias("id_1"), F.col("b").alias("id_2"))))

@@ -6,6 +6,7 @@ import pytest
 from rowmender.llm import set_sketch, subspace_join
 from rowmender.llm.set_sketch import SketchSettings, components, likely_similarity, register_values
 from rowmender.llm.subspace_join import SubspaceSettings, near_vectors
+from rowmender.operators import components as components_module
 from rowmender.operators.components import connected
 
 DOCS = "doc_id long, text string, low long, bucket string"
@@ -62,6 +63,22 @@ def test_components_equal_brute_force(spark):
         assert len(got) == len(rows)
 
 
+def test_classes_left_apart_are_compared(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):  # copies with very different numbers of changes around a text with a middle id
+        copy = list(base)
+        for _ in range(0 if i == 30 else rng.choice((2, 4, 5, 12))):
+            copy[rng.randrange(150)] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(copy), 1, "b"))
+    sets = {r[0]: brute_sets(r[1], 4) for r in rows}
+    want = smallest(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    for settings in (SketchSettings(words=4), SketchSettings(words=4, chunk=5, task_rows=20)):
+        got = components(spark.createDataFrame(rows, DOCS), settings).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = [(None, "a b c d e f", 1, "x"), (None, "a b c d e f", 1, "x"), (4, "a b c d e f", 1, "x"), (4, "a b c d e f", 1, "x"), (2, "A b c d e f", 1, "x")]
     got = [(r.doc_id, r.component_id, r.kept) for r in components(spark.createDataFrame(rows, DOCS)).collect()]
@@ -85,19 +102,16 @@ def test_sketches_merge_and_estimate():
         assert abs(found - true) < 0.12
 
 
-@pytest.mark.parametrize("shape", ["star", "path", "random", "none"])
-def test_connected(spark, shape):
+@pytest.mark.parametrize("finish", [0, 10_000])
+def test_connected(spark, finish, monkeypatch):
+    monkeypatch.setattr(components_module, "FINISH_LINKS", finish)
     rng = random.Random(4)
-    links = {
-        "star": [(500, i) for i in range(60)],
-        "path": [(i, i + 1) for i in range(70)],
-        "random": [(rng.randrange(120), rng.randrange(120)) for _ in range(80)],
-        "none": [],
-    }[shape]
-    ids = {x for a, b in links if a != b for x in (a, b)}
-    want = smallest(ids, [p for p in links if p[0] != p[1]])
+    links = [(1500, 1000 + i) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(40)]
+    links += [(rng.randrange(120), rng.randrange(120)) for _ in range(80)]
+    want = smallest({x for a, b in links if a != b for x in (a, b)}, [p for p in links if p[0] != p[1]])
     got = connected(spark.createDataFrame(links, "id_1 long, id_2 long")).collect()
     assert {r.id: r.set_id for r in got} == want and len(got) == len(want)
+    assert connected(spark.createDataFrame([], "id_1 long, id_2 long")).count() == 0
 
 
 def vectors():
