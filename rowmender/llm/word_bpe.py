@@ -8,7 +8,8 @@ words of one block and hash bucket travel as one row, so a frequent word costs o
 per block. Decoding looks every id up in the table of token bytes, which has as many
 entries as the vocabulary.
 
-Nulls count as empty texts; every row gives one row; other columns are left out.
+Nulls count as empty texts; every row gives one row; other columns are left out. ``docs``
+should be a table or a scan, so that a task that runs again sees the same rows in the same order.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rowmender.llm.common import map_rows, pa_schema, slices, written
+from rowmender.llm.common import map_rows, pa_schema, slices
 from rowmender.llm.pretokens import Split, rank_file
 
 BLOCK_CHARS = 16_000_000
@@ -51,12 +52,19 @@ def blocks(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         lists, words, ids, sizes, codes, chars, total = [], {}, [], [], [], 0, 0
 
+        def number(word):
+            return words.setdefault(word, len(words)).to_bytes(4, "little")
+
         def numbered(part):
-            return [words.setdefault(w, len(words)) for w in find(part)]
+            """The word numbers of a part of a text, as bytes."""
+            # letters after at most one blank are one pre-token; which ones are letters is the same everywhere below U+0250
+            if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()) and max(part) < "\u0250":
+                return number(part)
+            return b"".join(map(number, find(part)))
 
         def rows():
             if ids:
-                numbers = np.fromiter((c for part in codes for c in part), np.uint32)
+                numbers = np.frombuffer(b"".join(codes), "<u4")
                 lists.append((block, -1, list(ids), list(sizes), press.compress(planes(numbers))))
                 for x in (ids, sizes, codes):
                     x.clear()
@@ -65,13 +73,14 @@ def blocks(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
             nonlocal block, words, split
             rows()
             dealt = [[] for _ in range(buckets)]
-            for number, word in enumerate(words):
-                dealt[xxhash.xxh3_64_intdigest(word) % buckets].append((word.encode("utf-8", "surrogatepass"), number))
+            for word in words:
+                dealt[xxhash.xxh3_64_intdigest(word) % buckets].append(word)
             for bucket, own in enumerate(dealt):
                 if own:
                     own.sort()
-                    joined = b"".join(len(w).to_bytes(4, "little") + w for w, _ in own)
-                    lists.append((block, bucket, [], [n for _, n in own], press.compress(joined)))
+                    lengths = planes(np.array(list(map(len, own)), np.uint32))
+                    joined = len(own).to_bytes(4, "little") + lengths + "".join(own).encode("utf-8", "surrogatepass")
+                    lists.append((block, bucket, [], list(map(words.__getitem__, own)), press.compress(joined)))
             block += 1
             words = {}
             split = Split(numbered)
@@ -82,7 +91,7 @@ def blocks(docs: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
                 body = body or ""
                 found = split.parts(body)
                 ids.append(doc)
-                sizes.append(sum(map(len, found)))
+                sizes.append(sum(map(len, found)) // 4)
                 codes.extend(found)
                 chars += len(body)
                 total += len(body)
@@ -111,7 +120,7 @@ def encode_lists(lists: DataFrame, ranks_path: str) -> DataFrame:
 
         encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=rank_file(ranks_path), special_tokens={})
         press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        known: dict[bytes, list[int]] = {}
+        known: dict[str, list[int]] = {}
         current = -1
 
         def work(cols):
@@ -121,13 +130,14 @@ def encode_lists(lists: DataFrame, ranks_path: str) -> DataFrame:
                 if bucket != current:
                     known, current = {}, bucket
                 data, at, counts, ids = unpress.decompress(body), 0, [], []
-                while at < len(data):
-                    size = int.from_bytes(data[at : at + 4], "little")
-                    word = data[at + 4 : at + 4 + size]
-                    at += 4 + size
+                number = int.from_bytes(data[:4], "little")
+                text = data[4 + 4 * number :].decode("utf-8", "surrogatepass")
+                for size in from_planes(data[4 : 4 + 4 * number]).tolist():
+                    word = text[at : at + size]
+                    at += size
                     own = known.get(word)
                     if own is None:
-                        own = known[word] = encoder.encode_ordinary(word.decode("utf-8", "surrogatepass"))
+                        own = known[word] = encoder.encode_ordinary(word)
                     counts.append(len(own))
                     ids += own
                 out["block"].append(block)
@@ -152,7 +162,9 @@ def assemble(types: pa.Schema):
         size[numbers], begin[numbers] = counts, begins
         ids = ids.astype("<u4")
         batches = []
-        for docs, lengths, body in zip(*(documents.column(c).to_pylist() for c in ("docs", "sizes", "body"))):
+        for bucket, docs, lengths, body in zip(*(documents.column(c).to_pylist() for c in ("bucket", "docs", "sizes", "body"))):
+            if bucket >= 0:
+                continue
             codes = read(body)
             own = size[codes]
             ends = np.concatenate([[0], np.cumsum(own)])
@@ -172,11 +184,12 @@ def encode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str =
     """doc_id, n_tokens and ids (bytes of little-endian unsigned 32-bit numbers) of every row."""
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # written once: both kinds of rows must come from the same blocks, also after a lost executor
-    rows, _ = written(blocks(docs, buckets, doc_id, text), "word-blocks")
-    lists = rows.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = encode_lists(lists, ranks_path)
-    documents = rows.filter("bucket < 0").select("block", "docs", "sizes", "body")
+    # one shuffle serves both kinds of rows, so both branches read all of it and neither filters below it
+    rows = blocks(docs, buckets, doc_id, text).repartition("block")
+    listed = (F.col("bucket") >= 0) & (F.size("docs") == 0)
+    lists = rows.select(F.inline(F.when(listed, F.array(F.struct("block", "bucket", "sizes", "body")))))
+    encoded = encode_lists(lists.repartition("bucket").sortWithinPartitions("bucket"), ranks_path)
+    documents = rows.select("block", "bucket", "docs", "sizes", "body")
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids binary"
     types = pa_schema(spark, schema)
