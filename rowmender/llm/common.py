@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from rowmender.session import checkpoint_root, drop_path, scratch_path, written  # noqa: F401
 
 
+#: Texts are long, so fewer rows than usual travel to a Python worker at a time.
+ARROW_ROWS = 1000
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -164,7 +164,14 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``; ``pieces`` has doc_id, piece and length."""
+    """The pieces with ``sequence_id`` and ``offset``; ``pieces`` has doc_id, piece and length.
+
+    Token ids, if there are any, stay out of the numbering and are joined to the places afterwards.
+    """
+    if "ids" in pieces.columns:
+        whole, _ = written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+        places = pack(whole.select("__row", "doc_id", "piece", "length"), capacity).select("__row", "sequence_id", "offset")
+        return whole.join(places, "__row").drop("__row")
     pieces, _ = written(pieces, "pieces")
     # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
