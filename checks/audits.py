@@ -8,7 +8,7 @@ from checks.duplicates import pairs
 from checks.quality import CONFIG, ISSUE_FIELDS, quality_issues
 from checks.registry import query
 from checks.tables import AS_OF, EXPECTED
-from rowmender.config import CompanyProfile, MarketingSettings
+from rowmender.config import AuditConfig, CompanyProfile, MarketingSettings, QualityRules
 from rowmender.functions import text as t
 from rowmender.operators import (
     consistency, duplicates, fuzzy, issues, lists, marketing, masking, modules, pipeline, properties, search, sets,
@@ -661,3 +661,25 @@ SELECT 'low_population' AS type, property AS object_id, CAST(round(100.0::DOUBLE
 def property_findings(x):
     found = modules.run_audits(["properties"], {"contacts": x.contacts.select("id", "unsubscribed_at", "company")}, CONFIG, AS_OF)
     return found.select("type", "object_id", F.col("current_value").cast("double").alias("fill_rate"))
+
+# every property, and the spellings of industry with the configured mappings
+PROPERTIES = (
+    "email", "firstname", "lastname", "phone", "mobilephone", "company", "jobtitle", "industry", "company_size", "website", "country", "notes_last_contacted",
+    "hs_analytics_last_visit_timestamp", "lastmodifieddate", "hs_marketable_status", "hs_marketable_reason_type", "lifecyclestage", "source", "hs_email_open",
+    "hard_bounced", "unsubscribed_at", "createdate")
+EXPECTED["all_usage"] = " UNION ALL ".join(f"""
+SELECT '{c}' AS property, count(*) AS records, count(*) FILTER (CAST({c} AS STRING) <> '') AS filled FROM contacts""" for c in PROPERTIES)
+
+
+@query("property_audit", f"""
+SELECT 'low_population' AS type, property AS object_id, property AS field, CAST(round(100.0::DOUBLE * filled / records, 4) AS DOUBLE) AS fill_rate, NULL AS current_value, NULL AS suggested_value,
+  count(*) OVER () AS ids FROM all_usage WHERE 100.0 * filled / records < 5
+UNION ALL SELECT 'value_variant', 'industry', concat('industry=', variant), NULL, variant, standard, count(*) OVER () AS ids FROM ({VARIANTS}) v""")
+def property_audit(x):
+    config = AuditConfig(rules=QualityRules(industry_mappings=MAPPINGS))
+    found = modules.run_audits(["properties"], {"contacts": x.contacts}, config, AS_OF)
+    ids = found.groupBy("type").agg(F.countDistinct("issue_id").alias("ids"))
+    low = F.col("type") == "low_population"
+    return found.join(ids, "type").select(
+        "type", "object_id", "field", F.when(low, F.col("current_value").cast("double")).alias("fill_rate"),
+        F.when(~low, F.col("current_value")).alias("current_value"), "suggested_value", "ids")

@@ -41,10 +41,10 @@ def duplicate_contacts(tables: dict[str, DataFrame], config: AuditConfig, as_of)
 
 
 def as_issues(found: DataFrame, module: str, object_type: str, object_id: Column, kind: Column, severity: Column,
-              description: Column, current: Column, suggested: Column, confidence: Column, field: Column) -> DataFrame:
-    """Findings of an analysis in the columns of an issue table."""
+              description: Column, current: Column, suggested: Column, confidence: Column, field: Column, key: Column | None = None) -> DataFrame:
+    """Findings of an analysis in the columns of an issue table; ``key`` tells findings of one field apart."""
     return found.select(
-        issue_id(F.lit(module), kind, object_id, field).alias("issue_id"), F.lit(module).alias("module"), kind.alias("type"),
+        issue_id(F.lit(module), kind, object_id, field if key is None else key).alias("issue_id"), F.lit(module).alias("module"), kind.alias("type"),
         severity.alias("severity"), F.lit(object_type).alias("object_type"), object_id.alias("object_id"), description.alias("description"),
         current.cast("string").alias("current_value"), suggested.cast("string").alias("suggested_value"), confidence.alias("confidence"),
         F.lit("rule").alias("detection_method"), F.lit(None).cast("string").alias("reasoning"), field.alias("field"), F.lit(0).alias("rule_no"),
@@ -65,8 +65,8 @@ def property_findings(tables: dict[str, DataFrame], config: AuditConfig, as_of)
         variants = properties.value_variants(contacts, "industry", dict(config.rules.industry_mappings))
         out = out.unionByName(as_issues(
             variants, "properties", "property", F.lit("industry"), F.lit("value_variant"), F.lit("low"),
-            F.concat(F.lit('Value "'), F.col("value"), F.lit('" is a variant of "'), F.col("standard"), F.lit('"')), F.col("value"), F.col("standard"),
-            F.lit("high"), F.concat(F.lit("industry="), F.col("value"))))
+            F.concat(F.lit('Value "'), F.col("variant"), F.lit('" is a variant of "'), F.col("standard"), F.lit('"')), F.col("variant"), F.col("standard"),
+            F.lit("high"), F.concat(F.lit("industry="), F.col("variant")), F.concat_ws("=", "kind", "variant", "standard")))
     return out
 
 

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from rowmender.operators import lists, masking, pipeline, properties, search
+from rowmender.config import AuditConfig, QualityRules
+from rowmender.operators import lists, masking, modules, pipeline, properties, search
 from rowmender.session import scratch_path
 from rowmender.sources import scans
 from rowmender.streaming import jobs
@@ -99,3 +100,14 @@ def test_streams_in_several_batches(spark):
     hard = spark.createDataFrame([("c", 0, 1), ("d", 1, 0)], "contact_id string, hard long, soft long")
     flagged, left = jobs.bounced_members(members, hard)
     assert [tuple(r) for r in flagged.collect()] == [("d", 1, 0, "remove")] and [r.contact_id for r in left.collect()] == ["c"]
+
+
+def test_property_audit_finds_variants(spark):
+    names = ["Tech", "tech", "Tech", "Technology", "Technolgy", "IT", "", None]
+    df = spark.createDataFrame([(str(i), v, "x" if i == 9 else None) for i, v in enumerate(names * 5)], "id string, industry string, fax string")
+    config = AuditConfig(rules=QualityRules(industry_mappings={"IT": "Technology"}))
+    got = modules.run_audits(["properties"], {"contacts": df}, config, None).collect()
+    assert {(r.type, r.field, r.current_value, r.suggested_value) for r in got} == {
+        ("low_population", "fax", "2.5", None), ("value_variant", "industry=tech", "tech", "Tech"),
+        ("value_variant", "industry=it", "it", "Technology"), ("value_variant", "industry=technology", "technology", "Technolgy")}
+    assert len({r.issue_id for r in got}) == len(got) == 4
