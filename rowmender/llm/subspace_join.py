@@ -10,7 +10,8 @@ A pair is taken in the first block that brings it together, and its cosine is th
 in double precision on the vectors themselves.
 
 Equal vectors are one class, and classes are compared. A task compares two chunks of bounded
-size and returns numbers of links and one label per class, never the pairs. Vectors that
+size and returns numbers of links and one label per class; pairs are folded into these a
+batch at a time and never kept. Vectors that
 are null, zero, or hold a null or a non-finite component link with nothing; vectors of
 different lengths never link. Labels and other columns are not looked at.
 """
@@ -161,6 +162,25 @@ def dealt(classes: DataFrame, counts: dict, settings: SubspaceSettings) -> DataF
     return classes.select("node", "copies", "v").mapInArrow(run, schema)
 
 
+def roots(label: np.ndarray) -> None:
+    """Point every entry at the end of its chain; labels never exceed their own number."""
+    while True:
+        further = label[label]
+        if (further == label).all():
+            return
+        label[:] = further
+
+
+def fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[i] and b[i] under the smaller root; only this batch of pairs is held."""
+    while len(a):
+        roots(label)
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+
+
 def compare(settings: SubspaceSettings, types: pa.Schema):
     """The links between the home rows and the facing rows of a task."""
 
@@ -206,29 +226,15 @@ def compare(settings: SubspaceSettings, types: pa.Schema):
         ranks = np.array([rank[n] for n in nodes])
         links = np.zeros(len(nodes), np.int64)
         weight = np.array(copies, np.int64)
-        pairs_i, pairs_j = [], []
+        label = np.arange(len(rank))
         for i, j in close_pairs(g, block, turned[mine], turned[theirs], units[mine], units[theirs]):
             a, b = mine[i], theirs[j]
             ok = ~own_cell[j] | (ranks[a] < ranks[b])
             a, b = a[ok], b[ok]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            pairs_i.append(ranks[a])
-            pairs_j.append(ranks[b])
-        if not pairs_i:
-            return empty
-        a, b = np.concatenate(pairs_i), np.concatenate(pairs_j)
-        if not len(a):
-            return empty
-        label = np.arange(len(rank))
-        while True:
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
+            fold(label, ranks[a], ranks[b])
+        roots(label)
         total = np.zeros(len(rank), np.int64)
         np.add.at(total, ranks, links)
         names = sorted(rank, key=rank.get)

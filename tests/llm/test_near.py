@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowmender.llm import set_sketch, subspace_join
@@ -143,6 +145,31 @@ def test_vectors_equal_brute_force(spark, settings):
     assert near_vectors(table.limit(0), settings).count() == 0
 
 
+def test_pairs_are_folded_a_batch_at_a_time():
+    rng = np.random.Generator(np.random.PCG64(5))
+    n = 3000
+    x = (rng.normal(size=16) + 0.01 * rng.normal(size=(n, 16))).astype("<f4")
+    settings, types = SubspaceSettings(), pa.schema([("node", pa.int64()), ("links", pa.int64()), ("label", pa.int64())])
+    g = subspace_join.Geometry(16, settings)
+    cell = " ".join(map(str, g.cells(g.turned(subspace_join.unit([x[0].tobytes()])), 0)[0]))
+    both = [(f"16 0 {cell} 0 0", 0, home, i, 1, x[i].tobytes()) for home in (True, False) for i in range(n)]
+    table = pa.table(dict(zip(("task", "b", "home", "node", "copies", "v"), map(list, zip(*both)))))
+    tracemalloc.start()
+    got = subspace_join.compare(settings, types)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got and {r["label"] for r in got} == {0}
+    assert peak < 150_000_000  # kept pairs took 292 MB
+    # many batches, random links: the same sets as one by one
+    pairs = rng.integers(0, 400, (500, 2))
+    label = np.arange(400)
+    for part in np.array_split(pairs, 50):
+        subspace_join.fold(label, part[:, 0], part[:, 1])
+    subspace_join.roots(label)
+    want = smallest(range(400), [tuple(p) for p in pairs.tolist()])
+    assert label.tolist() == [want[i] for i in range(400)]
+
+
 def test_settings_find_near_pairs_almost_surely():
     s = SketchSettings()
     assert (1 - 0.8**s.rows) ** s.bands < 1e-5
