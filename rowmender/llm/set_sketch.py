@@ -209,23 +209,24 @@ def links_across(members: DataFrame, sets: DataFrame, classes: DataFrame, bodies
     """Links (a, b) between classes of a bucket whose components are still apart.
 
     The two classes that all others of a bucket met are left out. A bucket, or two chunks of
-    a large one, is worked off in one task, which returns confirmed links only: a pair is
-    looked at in the first band that it shares, unless its components have met meanwhile.
+    a large one, is a group of its own; only small buckets share one. It returns confirmed links
+    only: a pair is looked at in the first band that it shares, unless its components have met meanwhile.
     """
     apart = members.filter("node <> low and node <> high").join(sets.withColumnRenamed("id", "node"), "node", "left").select(
         "bucket", "node", F.coalesce("set_id", "node").alias("set_id"))
     split = apart.groupBy("bucket").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count(F.lit(1)).alias("m")).filter("x < y")
-    split = split.select("bucket", F.ceil(F.col("m") / settings.chunk).cast("int").alias("chunks"))
+    small = (F.col("m") <= settings.chunk) & (F.col("m") <= settings.task_rows // 16)
+    split = split.select("bucket", F.ceil(F.col("m") / settings.chunk).cast("int").alias("chunks"), small.alias("small"))
     apart, _ = written(apart.join(split, "bucket"), "apart")
-    slots = 1 + apart.count() // settings.task_rows
+    slots = 1 + apart.filter("small").count() // settings.task_rows
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "bucket", "node", "set_id", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
+        "bucket", "node", "set_id", "own", "small", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
     rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node").join(bodies, "node").withColumn(
-        "slot", F.pmod(F.xxhash64("bucket", "c1", "c2"), F.lit(slots)))
+        "slot", F.when(F.col("small"), F.pmod(F.xxhash64("bucket"), F.lit(slots)))).withColumn("alone", F.when(~F.col("small"), F.col("bucket")))
     kind = classes.schema["node"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
-    return rows.groupBy("slot").applyInArrow(bucket_task(settings, pa_schema(members.sparkSession, schema)), schema)
+    return rows.groupBy("slot", "alone", "c1", "c2").applyInArrow(bucket_task(settings, pa_schema(members.sparkSession, schema)), schema)
 
 
 def band_keys(registers: bytes, settings: SketchSettings) -> list[int]:

@@ -4,6 +4,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowmender.llm import set_sketch, subspace_join
 from rowmender.llm.set_sketch import SketchSettings, components, likely_similarity, register_values
@@ -81,6 +82,22 @@ def test_classes_left_apart_are_compared(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_tasks_of_a_hot_bucket_hold_two_chunks(spark, monkeypatch):
+    n, settings = 600, SketchSettings(words=4, chunk=20, task_rows=20)
+    members = spark.createDataFrame([(7, i, -1, n) for i in range(n)] + [(100 + i // 2, 1000 + i, -1, 9999) for i in range(200)], "bucket long, node long, low long, high long")
+    sets = spark.createDataFrame([], "id long, set_id long")
+    classes = members.select("node", F.lit(1).alias("n_shingles"), F.lit(b"").alias("registers"))
+    bodies = members.select("node", F.lit(b"").alias("_z"))
+
+    def sizes(settings, types):
+        return lambda table: pa.Table.from_pydict({"a": [table.num_rows], "b": [len(set(table.column("bucket").to_pylist()))]}, schema=types)
+
+    monkeypatch.setattr(set_sketch, "bucket_task", sizes)
+    got = set_sketch.links_across(members, sets, classes, bodies, settings).collect()
+    assert sum(r.a for r in got) == n * 30 + 200  # each class of the hot bucket meets all 30 chunks
+    assert max(r.a for r in got) < 3 * 2 * settings.chunk  # chunks are dealt by hash
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = [(None, "a b c d e f", 1, "x"), (None, "a b c d e f", 1, "x"), (4, "a b c d e f", 1, "x"), (4, "a b c d e f", 1, "x"), (2, "A b c d e f", 1, "x")]
     got = [(r.doc_id, r.component_id, r.kept) for r in components(spark.createDataFrame(rows, DOCS)).collect()]
