@@ -1,17 +1,24 @@
 """Licence notices in texts, by the Dice coefficient over word bigrams.
 
-A text as a whole and each of its lines are normalised to lower-case words and compared
-with templates: twice the number of shared distinct bigrams over the sum of both numbers. As
+A text as a whole, each of its lines, and windows of its words are normalised to lower-case words and
+compared with templates: twice the number of shared distinct bigrams over the sum of both numbers. As
 the shared ones are at most the smaller number, templates whose number of bigrams
 differs too much cannot reach the threshold and are not compared; templates are found through
 their bigrams.
 
+Windows run over line ends, so notices in longer lines, wrapped over lines, or inside longer files are
+found. They start and end with a bigram of the template and have as many bigrams as its upper bound at most; of
+overlapping ones that with more shared bigrams counts, and a line or text that is a notice
+yields only to a window that shares more. Only starts with enough bigrams of the template within the
+bound are looked at, so the work is linear in the text.
+
 Nulls count as empty texts; repeated rows are scanned alike; of templates that tie, the
 first by name is reported; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -31,6 +38,17 @@ TEMPLATES = {
     "bsd-3-clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        # the whole licence
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+        "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
@@ -59,6 +77,14 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        # the whole licence
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
@@ -81,6 +107,7 @@ class Matcher:
     def __init__(self, templates: dict[str, Iterable[str]], threshold: float):
         self.threshold = threshold
         self.sizes: list[tuple[str, int]] = []
+        self.pairs: list[set[tuple[str, str]]] = []
         self.holders: dict[tuple[str, str], list[int]] = {}
         for name in sorted(templates):
             for text in templates[name]:
@@ -88,12 +115,14 @@ class Matcher:
                 for pair in own:
                     self.holders.setdefault(pair, []).append(len(self.sizes))
                 self.sizes.append((name, len(own)))
+                self.pairs.append(own)
         # dice >= t needs a size of at least t / (2 - t) times the other one
         self.ratio = threshold / (2 - threshold)
         self.smallest = self.ratio * min((n for _, n in self.sizes), default=0)
         self.largest = max((n for _, n in self.sizes), default=0) / self.ratio
 
-    def best(self, words: list[str]) -> tuple[str, float] | None:
+    def best(self, words: list[str]) -> tuple[str, float, int] | None:
+        """Licence, coefficient and number of shared bigrams of the best template."""
         # a set of bigrams is no larger than the number of words less one
         if len(words) - 1 < self.smallest:
             return None
@@ -112,24 +141,81 @@ class Matcher:
                 continue
             dice = 2 * shared[i] / (size + other)
             if dice >= self.threshold and (found is None or dice > found[1]):
-                found = name, dice
+                found = name, dice, shared[i]
         return found
 
+    def windows(self, words: list[str]) -> list[tuple[int, float, int, int, str]]:
+        """(shared, dice, first, last bigram, licence): the best window from each start, for each template."""
+        pairs = list(zip(words, words[1:]))
+        hits: dict[int, list[int]] = {}
+        for at in [i for i, pair in enumerate(pairs) if pair in self.holders]:
+            for i in self.holders[pairs[at]]:
+                hits.setdefault(i, []).append(at)
+        out = []
+        for i, places in hits.items():
+            (name, other), own = self.sizes[i], self.pairs[i]
+            need, most = math.ceil(self.ratio * other - 1e-9), math.floor(other / self.ratio + 1e-9)
+            for lo, far in zip(places, places[need - 1 :]):
+                if far - lo >= most:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                shared, top = 0, None
+                for at in range(lo, min(lo + most, len(pairs))):
+                    pair = pairs[at]
+                    if pair in own:
+                        shared += pair not in seen
+                        seen.add(pair)
+                        dice = 2 * shared / (len(seen) + other)
+                        if dice >= self.threshold and (top is None or dice > top[1]):
+                            top = shared, dice, lo, at, name
+                    else:
+                        seen.add(pair)
+                if top:
+                    out.append(top)
+        return out
+
 
 def scan(text: str, matcher: Matcher) -> list[tuple[int, int, str, float]]:
-    """(start, end, licence, dice) of each line, or the whole text, that is a notice."""
+    """(start, end, licence, dice) of each line, the whole text, or window of words that is a notice."""
     out, at = [], 0
     lines = text.split("\n")
+    words: list[str] = []
+    units = []  # shared bigrams, first and last bigram of the notices so far
     for line in lines:
-        found = matcher.best(TOKENS(line.lower()))
-        if found:
-            out.append((at, at + len(line), *found))
+        own = TOKENS(line.lower())
+        if found := matcher.best(own):
+            out.append((at, at + len(line), *found[:2]))
+            units.append((found[2], len(words), len(words) + len(own) - 2))
+        words += own
         at += len(line) + 1
-    if len(lines) > 1 and (found := matcher.best(TOKENS(text.lower()))):
-        out.append((0, len(text), *found))
+    if len(lines) > 1 and (found := matcher.best(words)):
+        out.append((0, len(text), *found[:2]))
+        units.append((found[2], 0, len(words) - 2))
+    if windows := matcher.windows(words):
+        held = [0] * len(words)
+        for shared, lo, hi in units:
+            held[lo : hi + 1] = [max(shared, x) for x in held[lo : hi + 1]]
+        taken = []
+        for shared, dice, lo, hi, name in sorted(windows, key=lambda w: (-w[0], -w[1], *w[2:])):
+            if max(held[lo : hi + 1]) < shared:
+                held[lo : hi + 1] = [math.inf] * (hi + 1 - lo)
+                taken.append((lo, hi, name, dice))
+        if taken:
+            places = word_places(text)
+            out += [(places[lo][0], places[hi + 1][1], name, dice) for lo, hi, name, dice in taken]
     return sorted(out)
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word in the text itself; a few letters grow in lower case."""
+    lower = text.lower()
+    found = [m.span() for m in re.finditer(r"[^\W_]+", lower)]
+    if len(lower) == len(text):
+        return found
+    origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    return [(origin[lo], origin[hi - 1] + 1) for lo, hi in found]
+
+
 def find_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str, Iterable[str]] = TEMPLATES) -> DataFrame:
     """doc_id, number of notices, best licence with its coefficient, and all notices as licence:start:end."""
 

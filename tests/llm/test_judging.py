@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -163,3 +164,31 @@ def test_licences(spark):
         assert got[i].spans == ",".join(f"{n}:{lo}:{hi}" for lo, hi, n in sorted(want))
     assert [got[i].license for i in (9, 10, 11)] == ["apache-2.0", "mit", "gpl-3.0"]
     assert license_scan.find_licenses(docs(spark, [])).count() == 0
+
+
+def test_licences_inside_longer_texts():
+    rng = random.Random(8)
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, 0.8)
+    filler = lambda n: " ".join(rng.choice(("of", "the", "software", "value", "license", "is", "under", "alpha")) for _ in range(n))
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    t = license_scan.TEMPLATES
+    cases = [("mit", "Copyright 2020 Example Corp. Released under the MIT License."), ("mit", "MIT License\n\nCopyright (c) 2020 İ. Someone\n\n" + wrap(t["mit"][-1])),
+             ("bsd-3-clause", wrap(t["bsd-3-clause"][-1], " * ") + "\n" + filler(400))]
+    cases += [(n, filler(120) + "\n" + wrap(text, "# ") + "\n" + wrap(filler(700))) for n in t for text in t[n]]
+    cases += [("apache-2.0", filler(50) + " " + t["apache-2.0"][0] + " " + filler(50)), (None, filler(900)), (None, "x"), (None, "")]
+    for want, text in cases:
+        found = license_scan.scan(text, matcher)
+        assert want in {f[2] for f in found} if want else not found, (want, text, found)
+        for lo, hi, name, dice in found:
+            own = license_scan.bigrams(text[lo:hi])
+            assert dice >= 0.8 and dice == max(2 * len(own & b) / (len(own) + len(b)) for b in map(license_scan.bigrams, t[name]))
+        # brute force: every window of words that is a notice overlaps one that was found
+        places = license_scan.word_places(text)
+        words = license_scan.TOKENS(text.lower())
+        pairs = list(zip(words, words[1:]))
+        for b in (license_scan.bigrams(t["mit"][0]), license_scan.bigrams(t["gpl-3.0"][1])):
+            for i in range(len(pairs)):
+                for n in range(len(b) * 2 // 3, len(b) * 3 // 2 + 1):
+                    own = set(pairs[i : i + n])
+                    if i + n <= len(pairs) and 2 * len(own & b) >= 0.8 * (len(own) + len(b)):
+                        assert any(lo < places[i + n][1] and places[i][0] < hi for lo, hi, _, _ in found)
