@@ -1,4 +1,4 @@
-"""The queries of this package over the test tables; none can be written in SQL, tests hold them against brute force."""
+"""The queries of this package over the test tables; where SQL cannot express one, tests hold it against brute force."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmender.llm import additive, hyper_language, license_scan, line_crf, packing, secret_scan, set_sketch, subspace_join, suffix_index, word_bpe
+from rowmender.llm import additive, benchmark_leaks, hyper_language, license_scan, line_crf, packing, secret_scan, set_sketch, subspace_join, suffix_index, word_bpe
+from rowmender.llm import oracles
 from rowmender.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_benchmark_decontamination": oracles.LEAKS}
 CAPACITY = 2048
 
 
@@ -83,3 +84,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(texts(spark, sf_dir))
+
+
+@query
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_leaks.find_leaks(texts(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
