@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmender.llm import additive, benchmark_leaks, hyper_language, license_scan, line_crf, packing, secret_scan, set_sketch, subspace_join, suffix_index, word_bpe
+from rowmender.llm import additive, benchmark_leaks, conversation_trie, hyper_language, importance, license_scan, line_crf, packing, secret_scan, set_sketch, subspace_join, suffix_index, word_bpe
 from rowmender.llm import oracles
 from rowmender.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op11_benchmark_decontamination": oracles.LEAKS}
+ORACLES: dict[str, str] = {"op11_benchmark_decontamination": oracles.LEAKS, "op12_conversation_trie": oracles.TRIE, "op13_importance_resampling": oracles.IMPORTANCE}
 CAPACITY = 2048
 
 
@@ -92,3 +92,14 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.draw(texts(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
