@@ -92,6 +92,25 @@ def frequent(docs: DataFrame, settings: SampleSettings) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema).groupBy("kind", "feature").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, settings: SampleSettings = SampleSettings()) -> DataFrame:
+    """(word, n): the words that no task's counters lost, with their counts."""
+    schema = "word string, n bigint"
+    types, most = pa_schema(docs.sparkSession, schema), settings.counters
+
+    def run(batches):
+        words = Counters(most)
+        for part in slices(batches):
+            for text in bytes_column(part, "text"):
+                words.add(words_of(text))
+        words.shrink()
+        rows = list(words.counts.items())
+        for at in range(0, len(rows), 10_000):
+            some = rows[at: at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], schema=types)
+
+    return docs.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def most_frequent(counts: DataFrame, kind: int, most: int) -> list[bytes]:
     """At most ``most`` of the largest features of a kind, found by a histogram of their counts."""
     own = counts.filter(F.col("kind") == kind)

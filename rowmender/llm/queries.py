@@ -83,7 +83,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(texts(spark, sf_dir))
+    docs = texts(spark, sf_dir)
+    return secret_scan.find_secrets(docs, words=secret_scan.corpus_words(docs))
 
 
 @query

@@ -2,10 +2,15 @@
 
 Three patterns find secrets by their form. Beside them, every value that follows a name
 such as ``password`` or ``credential`` and a ``:`` or ``=`` is rated by the number of guesses an
-attacker needs: a dynamic program cuts it into common words, dates, repeats, walks over the
-keyboard and brute-force spans so that the sum of the logarithms is smallest. A value that
-is costly to guess is a finding (kind ``guess``), unless a pattern has it already; words, dates
-or filler in that place are cheap and are left alone.
+attacker needs: a dynamic program cuts it into words, dates, repeats, walks over the
+keyboard and brute-force spans so that the sum of the logarithms is smallest. A repeat costs what
+its block costs alone, by the same program. A value that is costly to guess is a finding (kind
+``guess``), unless a pattern has it already; words, dates or filler in that place are cheap and
+are left alone. A quoted value with blanks is as costly as its costliest word, so sentences are
+left alone too; a passphrase of plain words is not told from them.
+
+The words are those that passwords are often made of, and the frequent words of the corpus
+(:func:`corpus_words`), at most ``WORDS`` of them, counted over all documents.
 
 Nulls count as empty texts; offsets are code points, ends exclusive; repeated rows are
 scanned alike; other columns are left out.
@@ -16,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowmender.llm.common import map_rows
+from rowmender.llm.common import drop_path, map_rows, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -43,9 +49,12 @@ SWAPS = str.maketrans("@4310$57!", "aaeiosstl")
 DATE = re.compile(r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|(?:19|20)\d{6}|(?:19|20)\d{2})", re.A)
 
 DATE_COST = math.log10(365 * 120)
+DATE_LENGTHS = range(4, 11)
 WALK_COST = math.log10(94 * 4)
 PART_COST = 0.3  # each further part doubles the orders to be tried
-LONGEST_WORD = max(map(len, COMMON))
+PERIODS = range(2, 9)  # lengths of a block that repeats
+SHORTEST_WORD, LONGEST_WORD = 3, 24
+WORDS = 30_000
 
 
 def keyboard_neighbours() -> set[tuple[str, str]]:
@@ -61,7 +70,6 @@ def keyboard_neighbours() -> set[tuple[str, str]]:
 
 
 ADJACENT = keyboard_neighbours()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 
 
 def symbol_cost(c: str) -> float:
@@ -69,68 +77,132 @@ def symbol_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000)
 
 
-def word_cost(part: str) -> float | None:
-    low = part.lower()
-    rank = RANK.get(low)
-    swapped = 0.0
-    if rank is None:
-        rank = RANK.get(low.translate(SWAPS))
-        swapped = 0.6
-    if rank is None:
-        return None
-    case = 0.0 if part == low else 0.3 if part[1:] == low[1:] or part.isupper() else 0.3 * sum(map(str.isupper, part))
-    return math.log10(rank + 1) + swapped + case
+class Guesser:
+    """Guess costs with a ranked list of words, most frequent first."""
+
+    def __init__(self, words: Sequence[str] = ()) -> None:
+        self.rank: dict[str, int] = {}
+        for w in (*COMMON, *words):
+            if SHORTEST_WORD <= len(w) <= LONGEST_WORD:
+                self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.blocks: dict[str, float] = {}
+
+    def block_cost(self, block: str) -> float:
+        """The cost of a short text alone, kept for the next time."""
+        found = self.blocks.get(block)
+        if found is None:
+            if len(self.blocks) > 100_000:
+                self.blocks.clear()
+            found = self.blocks[block] = self.cost(block)
+        return found
+
+    def word_cost(self, part: str) -> float | None:
+        low = part.lower()
+        rank, swapped = self.rank.get(low), 0.0
+        if rank is None:
+            rank, swapped = self.rank.get(low.translate(SWAPS)), 0.6
+        if rank is None:
+            return None
+        case = 0.0 if part == low else 0.3 if part[1:] == low[1:] or part.isupper() else 0.3 * sum(map(str.isupper, part))
+        return math.log10(rank + 1) + swapped + case
+
+    def cost(self, value: str) -> float:
+        """Decimal logarithm of the guesses that the cheapest segmentation needs.
+
+        Runs, walks and repeats may begin at several places. Of two beginnings the earlier one
+        gains on the later one as the end moves on, because log(n) flattens, so a beginning
+        that is no cheaper when it comes up never is, and few are kept.
+        """
+        n = len(value)
+        best = [0.0] + [math.inf] * n
+        brute = math.inf  # the cheapest way that ends in an open brute-force span
+        low = value.lower()
+        dates: dict[int, list[int]] = {}
+        for start in range(n):
+            if value[start].isdigit():
+                for size in DATE_LENGTHS:
+                    if start + size <= n and DATE.fullmatch(value, start, start + size):
+                        dates.setdefault(start + size, []).append(start)
+        runs: list[tuple[int, float]] = []
+        walks: list[tuple[int, float]] = []
+        blocks: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        run = walk = 0  # where the run and the walk that are under way begin
+
+        def cheapest(begun: list[tuple[int, float]], start: int, base: float, end: int, unit: int) -> float:
+            """Take in a beginning, and the cheapest of all for this end."""
+            found = min((b + math.log10((end - s) // unit) for s, b in begun), default=math.inf)
+            own = base + math.log10((end - start) // unit)
+            if own < found:
+                begun.append((start, base))
+            return min(own, found)
+
+        for end in range(1, n + 1):
+            at = end - 1
+            brute = min(best[at] + PART_COST, brute) + symbol_cost(value[at])
+            cost = brute
+            for start in range(max(0, end - self.longest), end - SHORTEST_WORD + 1):
+                own = self.word_cost(value[start:end])
+                if own is not None:
+                    cost = min(cost, best[start] + PART_COST + own)
+            for start in dates.get(end, ()):
+                cost = min(cost, best[start] + PART_COST + DATE_COST)
+            if at and value[at] != value[at - 1]:
+                run, runs = at, []
+            if end - run >= 3:
+                cost = min(cost, cheapest(runs, end - 3, best[end - 3] + PART_COST + symbol_cost(value[at]), end, 1))
+            if at and (low[at - 1], low[at]) not in ADJACENT:
+                walk, walks = at, []
+            if end - walk >= 3:
+                cost = min(cost, cheapest(walks, end - 3, best[end - 3] + PART_COST + WALK_COST, end, 1))
+            for period in PERIODS:
+                if 2 * period > end:
+                    break
+                chain = (period, end % period)
+                if value[end - period : end] == value[end - 2 * period : end - period]:
+                    start = end - 2 * period
+                    base = best[start] + PART_COST + self.block_cost(value[end - period : end])
+                    cost = min(cost, cheapest(blocks.setdefault(chain, []), start, base, end, period))
+                else:
+                    blocks.pop(chain, None)
+            best[end] = cost
+        return best[n]
+
+    def value_cost(self, value: str) -> float:
+        """The cost of a value, or of its costliest word if it has blanks."""
+        return max((self.cost(part) for part in value.split()), default=0.0)
+
+
+PLAIN = Guesser()
 
 
 def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses the cheapest segmentation needs; linear in the length."""
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)  # the best that ends in an open brute-force span
-    low = value.lower()
-    # how far an equal-character run and a keyboard walk that end at each place reach back
-    same, walk = [1] * n, [1] * n
-    for i in range(1, n):
-        if value[i] == value[i - 1]:
-            same[i] = same[i - 1] + 1
-        if (low[i - 1], low[i]) in ADJACENT:
-            walk[i] = walk[i - 1] + 1
-    dates: dict[int, list[int]] = {}
-    for start in range(n):
-        if value[start].isdigit() and (found := DATE.match(value, start)):
-            dates.setdefault(found.end(), []).append(start)
-    block = [None] * (n + 1)  # period of a repeat that is under way at a place
-    for end in range(1, n + 1):
-        brute[end] = min(best[end - 1] + PART_COST, brute[end - 1]) + symbol_cost(value[end - 1])
-        cost = brute[end]
-        for start in range(max(0, end - LONGEST_WORD), end - 2):
-            own = word_cost(value[start:end])
-            if own is not None:
-                cost = min(cost, best[start] + PART_COST + own)
-        for start in dates.get(end, ()):
-            cost = min(cost, best[start] + PART_COST + DATE_COST)
-        run = same[end - 1]
-        if run >= 3:
-            cost = min(cost, best[end - run] + PART_COST + symbol_cost(value[end - 1]) + math.log10(run))
-        steps = walk[end - 1]
-        if steps >= 3:
-            cost = min(cost, best[end - steps] + PART_COST + WALK_COST + math.log10(steps))
-        for period in range(2, 9):  # a repeat of the two to eight characters before
-            if end >= 2 * period and value[end - period : end] == value[end - 2 * period : end - period]:
-                before = block[end - period]
-                if before is not None and before[0] == period:
-                    origin, times, seed = before[1], before[2] + 1, before[3]
-                else:
-                    origin, times, seed = end - 2 * period, 2, best[end - period] - best[end - 2 * period]
-                whole = best[origin] + PART_COST + max(seed, 1.0) + math.log10(times)
-                if block[end] is None:
-                    block[end] = (period, origin, times, seed)
-                cost = min(cost, whole)
-        best[end] = cost
-    return best[n]
+    return PLAIN.cost(value)
 
 
-def scan(text: str, min_cost: float = 10.0, min_length: int = 8) -> list[tuple[int, int, str, float]]:
+def corpus_words(docs: DataFrame, most: int = WORDS, text: str = "text") -> list[str]:
+    """At most ``most`` of the most frequent words of three letters and more, most frequent first.
+
+    Counted over all documents by bounded counters in each task; the driver gets the words
+    that a histogram of their counts admits.
+    """
+    from rowmender.llm.importance import SampleSettings, frequent_words
+
+    counts, path = written(frequent_words(docs.select(F.col(f"`{text}`").alias("text")), SampleSettings(counters=4 * most)), "word-counts")
+    letters = counts.filter(F.col("word").rlike(f"^[a-z]{{{SHORTEST_WORD},{LONGEST_WORD}}}$"))
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, least = most, None
+    for level, number in sorted(letters.groupBy(step.alias("level")).agg(F.count(F.lit(1))).collect(), reverse=True):
+        room -= number
+        if room < 0:
+            break
+        least = level
+    kept = [] if least is None else letters.filter(step >= least).collect()
+    drop_path(docs.sparkSession, path)
+    return [r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))]
+
+
+def scan(text: str, min_cost: float = 10.0, min_length: int = 8, guesser: Guesser = PLAIN) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, guess cost or 0) of every finding, by start and kind."""
     found: list[tuple[int, int, str, float]] = []
     low = text.lower()
@@ -138,13 +210,13 @@ def scan(text: str, min_cost: float = 10.0, min_length: int = 8) -> list[tuple[i
         taken = []
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 8:
-                found.append((*m.span(), "assign", guess_cost(m[2])))
+                found.append((*m.span(), "assign", guesser.cost(m[2])))
                 taken.append(m.span())
         for m in CONTEXT.finditer(text):
             group = next(i for i in (1, 2, 3) if m[i] is not None)
             lo, hi = m.span(group)
             if hi - lo >= min_length and not any(a < hi and lo < b for a, b in taken):
-                cost = guess_cost(m[group])
+                cost = guesser.value_cost(m[group])
                 if cost >= min_cost:
                     found.append((lo, hi, "guess", cost))
     if "AKIA" in text:
@@ -172,14 +244,19 @@ def redact(text: str, found: list[tuple], mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, min_cost: float = 10.0, min_length: int = 8, with_text: bool = False) -> DataFrame:
-    """One row per document: counts, ``base_sha256``, ``spans``, ``highest_cost`` and, on demand, ``redacted``."""
+def find_secrets(docs: DataFrame, min_cost: float = 10.0, min_length: int = 8, with_text: bool = False, words: Sequence[str] = ()) -> DataFrame:
+    """One row per document: counts, ``base_sha256``, ``spans``, ``highest_cost`` and, on demand, ``redacted``.
+
+    ``words`` are words that are cheap to guess beside the built-in ones, such as :func:`corpus_words`.
+    """
+    words = list(words)
 
     def make():
+        guesser = Guesser(words)
         names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "highest_cost", "redacted")
 
         def one(text):
-            found = scan(text or "", min_cost, min_length)
+            found = scan(text or "", min_cost, min_length, guesser)
             base = [f for f in found if f[2] != "guess"]
             counts = [sum(f[2] == kind for f in found) for kind in KINDS]
             digest = hashlib.sha256(joined(base).encode()).hexdigest()
@@ -197,12 +274,15 @@ def find_secrets(docs: DataFrame, min_cost: float = 10.0, min_length: int = 8, w
     return map_rows(docs.select("doc_id", "text"), make, schema)
 
 
-def keep_redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_redacted(docs: DataFrame, text: str = "text", words: Sequence[str] = ()) -> DataFrame:
     """The rows with every secret of ``text`` replaced; all columns stay."""
+    words = list(words)
 
     @F.pandas_udf("string")
-    def redacted(texts):
-        return texts.map(lambda t: t if t is None else redact(t, scan(t)))
+    def redacted(parts):
+        guesser = Guesser(words)  # once per task
+        for texts in parts:
+            yield texts.map(lambda t: t if t is None else redact(t, scan(t, guesser=guesser)))
 
     redacted_columns = [redacted(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return docs.select(*redacted_columns)

@@ -17,13 +17,17 @@ together, and each byte that such a string covers is removed.
 A key with very many distinct segments would overload its shard. Its strings are spread
 by their own 128-bit hash and counted instead, with the same outcome.
 
+With ``unit="words"`` a text is the sequence of its words instead, four hashed bytes to a
+word; whole words are then removed, each with the blanks behind it.
+
 Nulls count as empty texts; texts shorter than ``length`` keep all bytes; repeated rows
-are repeats of each other. All columns but the text pass through, save those that have
-the name of an added one.
+are repeats of each other. All columns but the text pass through, whatever their names,
+save those that have the name of an added one.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +46,8 @@ ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
 @dataclass(frozen=True)
 class RepeatSettings:
-    length: int = 400
+    length: int = 400  # bytes, or four for each word
+    unit: str = "bytes"
     gram: int = 200  # at most ``length``; smaller values make fewer but less selective segments
     batches: int = 4
     longest_segment: int = 1024
@@ -50,6 +55,43 @@ class RepeatSettings:
     shard_windows: int = 100_000
 
 
+#: Bytes that stand for a word; chance equality of 50 such words in a row is out of the question.
+SYMBOL = 4
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_settings(count: int, **settings) -> RepeatSettings:
+    """Settings for repeats of ``count`` words and more."""
+    return RepeatSettings(length=SYMBOL * count, gram=SYMBOL * count // 2, unit="words", **settings)
+
+
+def symbols(body: bytes, unit: str) -> bytes:
+    """What is searched for repeats: the bytes of the text, or those that stand for its words."""
+    if unit == "bytes":
+        return body
+    known: dict[bytes, bytes] = {}
+    out = []
+    for word in WORD.findall(body):
+        code = known.get(word)
+        if code is None:
+            code = known[word] = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")[:SYMBOL]
+        out.append(code)
+    return b"".join(out)
+
+
+def byte_runs(body: bytes, runs: list[list[int]], unit: str) -> list[list[int]]:
+    """Runs of symbol bytes as runs of bytes of the text."""
+    if unit == "bytes" or not runs:
+        return runs
+    starts = [m.start() for m in WORD.finditer(body)] + [len(body)]
+    out = []
+    for lo, hi in runs:
+        first, last = -(-lo // SYMBOL), hi // SYMBOL
+        if last > first:
+            out.append([starts[first], starts[last]])
+    return out
+
+
 def signed(digest: int) -> int:
     return digest - (1 << 64) if digest >= 1 << 63 else digest
 
@@ -82,9 +124,10 @@ def mark(docs: DataFrame, settings: RepeatSettings) -> DataFrame:
             out = {c: [] for c in ("_id", "_t", "k", "c", "s", "n", "inner")}
             for doc, text in zip(cols["_id"], cols["_text"]):
                 body = utf8(text)
+                t = signed(xxhash.xxh3_64_intdigest(body))
+                body = symbols(body, settings.unit)
                 if len(body) < settings.length:
                     continue
-                t = signed(xxhash.xxh3_64_intdigest(body))
                 for key, start, count, inner in segments(body, settings.length, settings.gram, settings.longest_segment, powers):
                     content = xxhash.xxh3_64_intdigest(body[start : start + count + settings.length - 1])
                     for name, value in (("_id", doc), ("_t", t), ("k", key), ("c", signed(content)), ("s", start), ("n", count), ("inner", inner)):
@@ -240,7 +283,7 @@ def spread_repeats(pieces: DataFrame, settings: RepeatSettings) -> DataFrame:
     return strings.join(often, ["h1", "h2"]).select("k", "c", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
-def cut_pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
+def cut_pieces(wanted: DataFrame, packed: DataFrame, length: int, unit: str = "bytes") -> DataFrame:
     """The texts of the wanted segments (_id, _t, and columns k, c, s, n, shard, batch, hot)."""
     lists = wanted.groupBy("_id", "_t").agg(F.collect_list(F.struct("k", "c", "s", "n", "shard", "batch", "hot")).alias("want"))
     joined = packed.join(lists, packed["_id"].eqNullSafe(lists["_id"]) & (packed["__t"] == lists["_t"])).select("want", "__z")
@@ -251,7 +294,7 @@ def cut_pieces(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
         def work(cols):
             out = {c: [] for c in ("k", "c", "shard", "batch", "hot", "body")}
             for want, z in zip(cols["want"], cols["__z"]):
-                body = unpress.decompress(z)
+                body = symbols(unpress.decompress(z), unit)
                 for w in want:
                     for name in ("k", "c", "shard", "batch", "hot"):
                         out[name].append(w[name])
@@ -267,7 +310,12 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     """The rows without ``text``, plus ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``."""
     spark = docs.sparkSession
     length = settings.length
+    # columns get names of their own, so that none can clash with a helper's
     docs = docs.drop(*ADDED)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    doc_id, text = (inner[[n.lower() for n in names].index(c.lower())] for c in (doc_id, text))
+    docs = docs.toDF(*inner)
     plain = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     marks, marks_path = written(mark(plain, settings), "segments")
     # keys that occur once hold no repeat
@@ -286,7 +334,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     packed = pack_texts(docs, text)
     slim = pack_texts(docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`")), text)
     # repeated rows give a segment twice; one of each is enough
-    pieces, pieces_path = written(cut_pieces(wanted, slim, length), "index-pieces")
+    pieces, pieces_path = written(cut_pieces(wanted, slim, length, settings.unit), "index-pieces")
     cool = pieces.filter("not hot").dropDuplicates(["k", "c"])
     found, paths = index_repeats(cool, settings)
     found = found.unionByName(spread_repeats(pieces.filter("hot").dropDuplicates(["k", "c"]), settings))
@@ -297,10 +345,11 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     spans = spans.withColumn("__spans", F.flatten(F.transform(
         "__spans", lambda x: F.transform(x["runs"], lambda r: F.struct((x["s"] + r["lo"]).alias("from"), (x["s"] + r["hi"] + length).alias("to"))))))
     joined = packed.join(spans, packed[doc_id].eqNullSafe(spans["__span_id"]) & (packed["__t"] == spans["__span_t"]), "left")
-    return carve(joined.drop("__span_id", "__span_t", "__t"))
+    carved = carve(joined.drop("__span_id", "__span_t", "__t"), settings.unit)
+    return carved.toDF(*[n for n, i in zip(names, inner) if i != text], *ADDED)
 
 
-def carve(rows: DataFrame) -> DataFrame:
+def carve(rows: DataFrame, unit: str = "bytes") -> DataFrame:
     """Cut the spans out of the packed texts."""
     kept = [c for c in rows.columns if c not in ("__z", "__spans")]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"])
@@ -319,6 +368,7 @@ def carve(rows: DataFrame) -> DataFrame:
                         gone[-1][1] = max(gone[-1][1], span[1])
                     else:
                         gone.append([*span])
+                gone = byte_runs(body, gone, unit)
                 for lo, hi in gone:
                     rest.append(body[at:lo])
                     at = hi

@@ -142,6 +142,57 @@ def test_guess_costs():
     assert cost("P@ssw0rd") < 4
 
 
+def cheapest(guesser, value, known):
+    """The guess cost by trying every first part of what is left; parts are told by their definition."""
+    import math
+
+    if not value:
+        return 0.0
+    if value in known:
+        return known[value]
+    found = math.inf
+    for n in range(1, len(value) + 1):
+        part, low = value[:n], value[:n].lower()
+        own = [sum(map(secret_scan.symbol_cost, part))]
+        if (word := guesser.word_cost(part)) is not None and n >= 3:
+            own.append(word)
+        if secret_scan.DATE.fullmatch(part):
+            own.append(secret_scan.DATE_COST)
+        if n >= 3 and len(set(part)) == 1:
+            own.append(secret_scan.symbol_cost(part[0]) + math.log10(n))
+        if n >= 3 and all(pair in secret_scan.ADJACENT for pair in zip(low, low[1:])):
+            own.append(secret_scan.WALK_COST + math.log10(n))
+        for period in secret_scan.PERIODS:
+            if n >= 2 * period and n % period == 0 and part == part[:period] * (n // period):
+                own.append(cheapest(guesser, part[:period], known) + math.log10(n // period))
+        found = min(found, secret_scan.PART_COST + min(own) + cheapest(guesser, value[n:], known))
+    known[value] = found
+    return found
+
+
+def test_guess_costs_equal_an_exhaustive_search():
+    rng = random.Random(12)
+    guesser = secret_scan.Guesser(["river", "evening", "documentation"])
+    pieces = ["abc", "pass", "password", "the", "2024", "20240102", "1-2-1999", "qwe", "asdf", "xx", "xxxx", "ab", "abab", "a", "7", "$", "é", "T0ken", "RIVER", "tttt", "24", "2020"]
+    values = ["abcxxxxabcxxxxabcxxxx", "20202420242020242024the", "testttt", "aaaaaaa", "ababababab", "qwertyqwerty", "20240101", ""]
+    values += ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7)))[:26] for _ in range(1500)]
+    values += ["".join(rng.choice("ab1q") for _ in range(rng.randrange(1, 22))) for _ in range(500)]
+    for value in values:
+        assert abs(guesser.cost(value) - cheapest(guesser, value, {})) < 1e-9, value
+
+
+def test_prose_in_credential_contexts_is_left_alone(spark):
+    corpus = ["the documentation of responsibility by a quiet river in the evening, with some documentation and responsibility " + str(i) for i in range(20)]
+    texts = ['credentials: documentation', 'pwd: responsibility', 'secret: "a quiet evening by the river"', "pwd: 'Xk#9v!q2LmZ'", 'credentials: "by the Xk#9v!q2LmZ river"']
+    words = secret_scan.corpus_words(docs(spark, corpus + texts))
+    assert {"documentation", "responsibility", "river"} <= set(words) and not any(w in words for w in ("by", "xk"))
+    assert len(secret_scan.corpus_words(docs(spark, corpus + texts), 5)) <= 5 and secret_scan.corpus_words(docs(spark, [])) == []
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs(spark, texts), words=words).collect()}
+    assert [bool(found[i]) for i in range(5)] == [False, False, False, True, True]
+    kept = secret_scan.keep_redacted(docs(spark, texts), words=words).orderBy("doc_id").collect()
+    assert [r.text == t for r, t in zip(kept, texts)] == [True, True, True, False, False]
+
+
 def test_licences(spark):
     texts = [*ODD, "Intro.\nLicensed under the Apache License, Version 2.0.\nend", "released UNDER the mit license", "This work is licensed under the GNU General Public License, version 3."]
     got = {r.doc_id: r for r in license_scan.find_licenses(docs(spark, texts)).collect()}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from rowmender.llm import set_sketch, subspace_join
 from rowmender.llm.set_sketch import SketchSettings, components, likely_similarity, register_values
 from rowmender.llm.subspace_join import SubspaceSettings, near_vectors
-from rowmender.operators import components as components_module
 from rowmender.operators.components import connected
 
 DOCS = "doc_id long, text string, low long, bucket string"
@@ -121,9 +120,9 @@ def test_sketches_merge_and_estimate():
         assert abs(found - true) < 0.12
 
 
-@pytest.mark.parametrize("finish", [0, 10_000])
-def test_connected(spark, finish, monkeypatch):
-    monkeypatch.setattr(components_module, "FINISH_LINKS", finish)
+@pytest.mark.parametrize("hot", [8, 100_000])
+def test_connected(spark, hot, hot_from):
+    hot_from(hot)
     rng = random.Random(4)
     links = [(1500, 1000 + i) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(40)]
     links += [(rng.randrange(120), rng.randrange(120)) for _ in range(80)]
