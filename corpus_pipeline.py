@@ -14,6 +14,8 @@ from rowmender.llm import additive, packing, secret_scan, set_sketch, suffix_ind
 from rowmender.llm.common import load, written
 
 CAPACITY = 2048
+#: A passage of over 50 words that recurs is cut.
+PASSAGE_WORDS = 51
 ORACLE_SQL = None
 
 
@@ -35,16 +37,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that recur; a letter cut in two goes, and so do texts with nothing left."""
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNotNull().alias("had_text")).alias("row")
-    done = suffix_index.remove_repeats(docs.select("doc_id", "text", others)).filter("n_removed = 0 or n_removed < n_bytes")
-    text = F.when(F.col("row.had_text"), suffix_index.readable(F.col("kept"))).alias("text")
-    return recounted(done.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
+    """Texts without passages of more than 50 words that recur anywhere; texts of which no word is left go."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select("doc_id", "text", others, F.col("text").isNotNull().alias("had_text"))
+    done = suffix_index.remove_repeats(rows, suffix_index.word_settings(PASSAGE_WORDS))
+    done = done.withColumn("text", F.when(F.col("had_text"), suffix_index.readable(F.col("kept")))).filter(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return recounted(done.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets replaced by a mark."""
-    return recounted(secret_scan.keep_redacted(docs))
+    """Texts with their secrets replaced by a mark; frequent words of the documents count as cheap to guess."""
+    return recounted(secret_scan.keep_redacted(docs, words=secret_scan.corpus_words(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
