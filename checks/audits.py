@@ -18,6 +18,12 @@ from rowmender.streaming import jobs
 
 ISO = "%Y-%m-%dT%H:%M:%S.%gZ"
 
+# every property of a contact
+PROPERTIES = (
+    "email", "firstname", "lastname", "phone", "mobilephone", "company", "jobtitle", "industry", "company_size", "website", "country", "notes_last_contacted",
+    "hs_analytics_last_visit_timestamp", "lastmodifieddate", "hs_marketable_status", "hs_marketable_reason_type", "lifecyclestage", "source", "hs_email_open",
+    "hard_bounced", "unsubscribed_at", "createdate")
+
 # ---- access paths
 
 
@@ -56,9 +62,14 @@ def crm(x):
     return {"contact": x.contacts, "company": x.companies, "deal": x.deals}
 
 
-@query("property_catalogue", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{o}', '{c}', '{c.replace('_', ' ').capitalize()}', '{k}')" for o, columns in KINDS.items() for c, k in columns.items())
-    + ") v(object_type, name, label, type)")
+SOURCES = {"contact": "contacts", "company": "companies", "deal": "deals"}
+
+
+@query("property_catalogue", "\nUNION ALL ".join(
+    f"SELECT '{o}' AS object_type, '{c}' AS name, '{c.replace('_', ' ').capitalize()}' AS label, '{k}' AS type, count(*) AS records, "
+    f"count(*) FILTER (CAST({c} AS STRING) <> '') AS filled, count(DISTINCT {c}) FILTER (CAST({c} AS STRING) <> '') AS distinct_values, "
+    f"count(DISTINCT {c}) FILTER (CAST({c} AS STRING) <> '') BETWEEN 1 AND 10 AND '{k}' = 'string' AS is_choice FROM {SOURCES[o]}"
+    for o, columns in KINDS.items() for c, k in columns.items()))
 def property_catalogue(x):
     tables = {o: df.withColumns({c: F.col(c).cast("timestamp") for c, k in KINDS[o].items() if k == "timestamp"}) for o, df in crm(x).items()}
     return scans.property_catalogue(tables)
@@ -103,6 +114,16 @@ def engagement_summary(x):
     return scans.engagement_summary(x.contacts).withColumn("last_activity", t.iso_timestamp(F.col("last_activity")))
 
 
+@query("engagement_counters", f"""
+SELECT id, strftime(coalesce(notes_last_contacted, lastmodifieddate), '{ISO}') AS last_activity, coalesce(sent, 0) AS emails_sent, coalesce(opened, 0) AS emails_opened,
+  coalesce(clicked, 0) AS emails_clicked, coalesce(forms, 0) AS form_submissions, coalesce(views, 0) AS page_views FROM contacts c
+LEFT JOIN (SELECT contact_id, count(*) FILTER (event_type IN ('DELIVERED', 'OPENED', 'CLICKED')) AS sent, count(*) FILTER (event_type = 'OPENED') AS opened, count(*) FILTER (event_type = 'CLICKED') AS clicked,
+  count(*) FILTER (event_type = 'FORM_SUBMITTED') AS forms, count(*) FILTER (event_type IN ('OPENED', 'CLICKED', 'FORM_SUBMITTED')) AS views FROM contact_events GROUP BY contact_id) e ON e.contact_id = c.id""")
+def engagement_counters(x):
+    """The five counters from the events of the contacts."""
+    return scans.engagement_summary(scans.with_counters(x.contacts, x.contact_events)).withColumn("last_activity", t.iso_timestamp(F.col("last_activity")))
+
+
 query("marketing_status", "SELECT id, hs_marketable_status = 'true' AS is_marketing, coalesce(hs_marketable_reason_type, 'unknown') AS status FROM contacts")(
     lambda x: scans.marketing_status(x.contacts).select("id", "is_marketing", "status"))
 
@@ -239,6 +260,19 @@ SELECT g.name, g.domain, g.n, g.id, min(h.id) AS head_id, count(*) AS domains,
 FROM domain_groups g JOIN domain_groups h ON h.name = g.name GROUP BY g.name, g.domain, g.n, g.id HAVING count(*) > 1""")(
     lambda x: fuzzy.name_domain_groups(x.contacts).withColumn("pairs", F.col("pairs").cast("bigint")))
 
+query("dup_domain", """
+SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2, CASE WHEN a.id < b.id THEN a.n ELSE b.n END AS n_1, CASE WHEN a.id < b.id THEN b.n ELSE a.n END AS n_2,
+  CASE WHEN a.name = b.name THEN 'same_name' ELSE 'similar_name' END AS kind, a.domain, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance,
+  1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS similarity
+FROM domain_groups a JOIN domain_groups b ON a.domain = b.domain AND (a.name < b.name OR (a.name = b.name AND a.n > 1))
+WHERE levenshtein(a.name, b.name) <= 2 OR 1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.85""")(
+    lambda x: fuzzy.domain_pairs(x.contacts))
+query("dup_name_company_links", """
+SELECT h.id AS id_1, p.id AS id_2, h.n AS n_1, p.n AS n_2, p.nm AS name, h.comp AS company_1, p.comp AS company_2, companies FROM name_companies p
+JOIN (SELECT *, count(*) OVER (PARTITION BY nm) AS companies, row_number() OVER (PARTITION BY nm ORDER BY id) AS r FROM name_companies) h ON h.nm = p.nm AND h.r = 1 WHERE companies > 1 AND p.id <> h.id""")(
+    lambda x: fuzzy.name_company_links(x.contacts))
+EXPECTED["name_companies"] = "SELECT comp, nm, count(*) AS n, min(id) AS id FROM dup_keys WHERE comp <> '' AND trim(nm) <> '' GROUP BY comp, nm"
+
 query("similar_contacts", """
 SELECT id, CAST(rank AS INTEGER) AS rank, other_id, distance FROM (
   SELECT a.id, b.id AS other_id, CAST(levenshtein(a.nm, b.nm) AS INTEGER) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY levenshtein(a.nm, b.nm), b.id) AS rank
@@ -260,14 +294,13 @@ reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r
 SELECT id, least(id, min(other)) AS set_id FROM reach GROUP BY id"""
 query("dup_sets", "SELECT * FROM dup_set_rows")(lambda x: sets.duplicate_sets(x.contacts))
 
-PRIMARY_FIELDS = ("email", "firstname", "phone", "company", "website", "lastmodifieddate")
-FILLED = " + ".join(f"CASE WHEN CAST({c} AS STRING) <> '' THEN 1 ELSE 0 END" for c in PRIMARY_FIELDS)
+FILLED = " + ".join(f"CASE WHEN CAST({c} AS STRING) <> '' THEN 1 ELSE 0 END" for c in PROPERTIES)
 query("dup_primary", f"""
 SELECT set_id, id AS primary_id, CAST(filled AS INTEGER) AS filled, members FROM (
   SELECT s.set_id, s.id, {FILLED} AS filled, count(*) OVER (PARTITION BY set_id) AS members,
     row_number() OVER (PARTITION BY set_id ORDER BY {FILLED} DESC, coalesce(lastmodifieddate, TIMESTAMP '1970-01-01 00:00:00') DESC, s.id) AS r
   FROM dup_set_rows s JOIN contacts c ON c.id = s.id) p WHERE r = 1""")(
-    lambda x: sets.primaries(sets.duplicate_sets(x.contacts), x.contacts.select("id", *PRIMARY_FIELDS)))
+    lambda x: sets.primaries(sets.duplicate_sets(x.contacts), x.contacts))
 
 # ---- issues across audits
 
@@ -307,16 +340,15 @@ FROM quality_issues JOIN contacts ON id = object_id GROUP BY type, source""")(
 
 # ---- properties
 
-USED = ("email", "firstname", "phone", "mobilephone", "company", "jobtitle", "industry", "website", "lifecyclestage", "unsubscribed_at")
 EXPECTED["usage"] = " UNION ALL ".join(f"""
-SELECT '{c}' AS property, count(*) AS records, count(*) FILTER (CAST({c} AS STRING) <> '') AS filled, count(DISTINCT {c}) FILTER (CAST({c} AS STRING) <> '') AS distinct_values FROM contacts""" for c in USED)
+SELECT '{c}' AS property, count(*) AS records, count(*) FILTER (CAST({c} AS STRING) <> '') AS filled, count(DISTINCT {c}) FILTER (CAST({c} AS STRING) <> '') AS distinct_values FROM contacts""" for c in PROPERTIES)
 USAGE = """
 SELECT *, round(100.0::DOUBLE * filled / records, 4) AS fill_rate,
   CASE WHEN 100.0 * filled / records > 50 THEN 'keep' WHEN 100.0 * filled / records < 10 AND property <> 'mobilephone' THEN 'deprecate' ELSE 'review' END AS verdict FROM usage"""
 
 
 def usage(x):
-    return properties.property_usage(x.contacts, USED, required=["mobilephone"])
+    return properties.property_usage(x.contacts, PROPERTIES, required=["mobilephone"])
 
 
 query("property_usage", USAGE)(usage)
@@ -571,6 +603,10 @@ def by_domain(x):
 query("associate_by_domain", """
 SELECT c.id, o.domain, o.id AS company_id FROM (SELECT id, split_part(lower(email), '@', 2) AS domain FROM contacts WHERE regexp_full_match(email, '[^@]+@[^@]+')) c
 JOIN companies o ON o.domain = c.domain""")(by_domain)
+query("associate_unlinked", """
+SELECT c.id, o.domain, o.id AS company_id FROM (SELECT id, split_part(lower(email), '@', 2) AS domain FROM contacts WHERE regexp_full_match(email, '[^@]+@[^@]+')) c
+JOIN companies o ON o.domain = c.domain WHERE c.id NOT IN (SELECT from_id FROM edges)""")(
+    lambda x: consistency.associate_by_domain(x.contacts, x.companies, x.edges))
 query("cross_object_checks", """
 SELECT id, 'customer_without_won_deal' AS "check" FROM contacts WHERE lifecyclestage = 'customer' AND id NOT IN (SELECT contact_id FROM deals WHERE stage = 'closedwon')
 UNION ALL SELECT id, 'contact_without_company' FROM contacts WHERE id NOT IN (SELECT from_id FROM edges)""")(
@@ -586,7 +622,7 @@ LEFT JOIN (SELECT contact_id, count(*) AS n FROM members GROUP BY 1) l ON l.cont
 SELECT id_1, id_2, match_type, a.filled AS filled_1, a.events AS events_1, a.deals AS deals_1, a.lists AS lists_1, b.filled AS filled_2, b.events AS events_2, b.deals AS deals_2, b.lists AS lists_2
 FROM dup_links JOIN pair_metrics a ON a.id = id_1 JOIN pair_metrics b ON b.id = id_2""")
 def pair_profile(x):
-    numbers = consistency.contact_metrics(x.contacts.select("id", *PRIMARY_FIELDS), x.contact_events, x.deals, x.members)
+    numbers = consistency.contact_metrics(x.contacts, x.contact_events, x.deals, x.members)
     return consistency.pair_profile(pairs(x).select("id_1", "id_2", "match_type"), numbers)
 
 
@@ -656,17 +692,12 @@ def other_audits(x):
 
 
 @query("property_findings", """
-SELECT 'low_population' AS type, property AS object_id, CAST(round(100.0::DOUBLE * filled / records, 4) AS DOUBLE) AS fill_rate FROM (
-  SELECT 'unsubscribed_at' AS property, count(*) AS records, count(unsubscribed_at) AS filled FROM contacts) u WHERE 100.0 * filled / records < 5""")
+SELECT 'low_population' AS type, property AS object_id, CAST(round(100.0::DOUBLE * filled / records, 4) AS DOUBLE) AS fill_rate FROM all_usage WHERE 100.0 * filled / records < 5""")
 def property_findings(x):
-    found = modules.run_audits(["properties"], {"contacts": x.contacts.select("id", "unsubscribed_at", "company")}, CONFIG, AS_OF)
+    found = modules.run_audits(["properties"], {"contacts": x.contacts}, CONFIG, AS_OF).filter("type = 'low_population'")
     return found.select("type", "object_id", F.col("current_value").cast("double").alias("fill_rate"))
 
 # every property, and the spellings of industry with the configured mappings
-PROPERTIES = (
-    "email", "firstname", "lastname", "phone", "mobilephone", "company", "jobtitle", "industry", "company_size", "website", "country", "notes_last_contacted",
-    "hs_analytics_last_visit_timestamp", "lastmodifieddate", "hs_marketable_status", "hs_marketable_reason_type", "lifecyclestage", "source", "hs_email_open",
-    "hard_bounced", "unsubscribed_at", "createdate")
 EXPECTED["all_usage"] = " UNION ALL ".join(f"""
 SELECT '{c}' AS property, count(*) AS records, count(*) FILTER (CAST({c} AS STRING) <> '') AS filled FROM contacts""" for c in PROPERTIES)
 

@@ -172,6 +172,51 @@ def plan_levels(x):
     return order.dependency_levels(seed_actions(x))
 
 
+EXPECTED["graph_links"] = """
+SELECT concat('g', CAST(o_orderkey AS STRING)) AS action_id, dependency FROM (
+  SELECT o_orderkey, unnest(list_distinct(list_filter([
+    CASE WHEN o_orderkey % 4 <> 0 THEN concat('g', CAST(o_orderkey - 1 AS STRING)) END,
+    CASE WHEN o_orderkey % 4 = 2 AND o_orderkey % 60 <> 2 THEN concat('g', CAST(o_orderkey - 2 AS STRING)) END,
+    CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 40 <> 0 THEN concat('g', CAST(o_orderkey - 1 AS STRING)) END,
+    CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 40 <> 0 THEN concat('g', CAST(o_orderkey - 2 AS STRING)) END,
+    CASE WHEN o_orderkey % 331 = 330 THEN 'g-missing' END,
+    CASE WHEN o_orderkey % 499 = 0 AND o_orderkey % 4 <> 3 THEN concat('g', CAST(o_orderkey + 1 AS STRING)) END], lambda d: d IS NOT NULL))) AS dependency
+  FROM orders) o"""
+
+
+def graph_actions(x):
+    """Actions of the orders with up to three dependencies: ladders of forty, with gaps and circles."""
+    k = F.col("o_orderkey")
+
+    def on(test, step):
+        return F.when(test, F.concat(F.lit("g"), (k + step).cast("string")))
+
+    fork = (k % 4 == 0) & (k % 40 != 0)
+    links = [on(k % 4 != 0, -1), on((k % 4 == 2) & (k % 60 != 2), -2), on(fork, -1), on(fork, -2),
+             F.when(k % 331 == 330, F.lit("g-missing")), on((k % 499 == 0) & (k % 4 != 3), 1)]
+    return x.orders.select(F.concat(F.lit("g"), k.cast("string")).alias("action_id"), F.array_distinct(F.array_compact(F.array(*links))).alias("dependencies"))
+
+
+@query("plan_levels_graph", """
+WITH RECURSIVE node AS (SELECT concat('g', CAST(o_orderkey AS STRING)) AS action_id FROM orders),
+lost(action_id) AS (
+  SELECT action_id FROM graph_links WHERE dependency NOT IN (SELECT action_id FROM node)
+  UNION SELECT g.action_id FROM graph_links g JOIN lost l ON g.dependency = l.action_id),
+way(action_id, dependency) AS (
+  SELECT action_id, dependency FROM graph_links WHERE dependency IN (SELECT action_id FROM node)
+  UNION SELECT w.action_id, g.dependency FROM way w JOIN graph_links g ON g.action_id = w.dependency WHERE g.dependency IN (SELECT action_id FROM node)),
+ring AS (SELECT DISTINCT action_id FROM way WHERE action_id = dependency),
+bad AS (SELECT action_id FROM lost UNION SELECT action_id FROM ring UNION SELECT w.action_id FROM way w JOIN ring r ON r.action_id = w.dependency),
+deep(action_id, level) AS (
+  SELECT action_id, 0 FROM node WHERE action_id NOT IN (SELECT action_id FROM graph_links)
+  UNION SELECT g.action_id, d.level + 1 FROM graph_links g JOIN deep d ON g.dependency = d.action_id WHERE g.action_id NOT IN (SELECT action_id FROM bad))
+SELECT n.action_id, CAST(max(level) AS INTEGER) AS level, CASE WHEN n.action_id IN (SELECT action_id FROM lost) THEN 'missing_dependency'
+  WHEN n.action_id IN (SELECT action_id FROM bad) THEN 'cyclic' ELSE 'placed' END AS status
+FROM node n LEFT JOIN deep d ON d.action_id = n.action_id GROUP BY n.action_id""")
+def plan_levels_graph(x):
+    return order.dependency_levels(graph_actions(x))
+
+
 @query("plan_conflicts", """
 SELECT plan_id, 'contact' AS object_type, object_id, property, count(*) AS actions, 'same_property' AS kind FROM actions WHERE property IS NOT NULL GROUP BY plan_id, object_id, property HAVING count(*) > 1
 UNION ALL
@@ -188,6 +233,42 @@ def plan_batches(x):
     return build.audit_batches(both_plans(x).withColumn("source_audit", module)).select("action_id", "batch")
 
 
+@query("plan_three_batches", """
+SELECT action_id, CASE plan_id WHEN 'plan-quality' THEN 1 WHEN 'plan-duplicates' THEN 2 END AS batch FROM actions
+UNION ALL SELECT sha256(concat('action|plan-marketing|', sha256(concat('marketing|convert_to_non_marketing|', id)))), 3 FROM (
+  SELECT id, CASE WHEN hard_bounced = 'true' THEN 'hard_bounced' WHEN unsubscribed_at IS NOT NULL THEN 'unsubscribed' WHEN lower(email) LIKE '%test%' THEN 'test_contact' END AS reason
+  FROM contacts WHERE hs_marketable_status = 'true') m WHERE reason IS NOT NULL""")
+def plan_three_batches(x):
+    """The plans of three audits run together: corrections, then merges, then marketing changes."""
+    from checks.quality import CONFIG
+    from rowmender.operators import modules
+
+    found = modules.run_audits(["marketing"], {"contacts": x.contacts}, CONFIG, AS_OF)
+    module = F.when(F.col("plan_id") == "plan-quality", "data-quality").when(F.col("plan_id") == "plan-duplicates", "duplicates").otherwise("marketing")
+    together = both_plans(x).unionByName(build.build_actions(found, "plan-marketing"))
+    return build.audit_batches(together.withColumn("source_audit", module)).select("action_id", "batch")
+
+
+@query("plan_methods", """
+SELECT 'kept' AS part, object_id, detection_method, confidence, reasoning FROM actions WHERE plan_id = 'plan-quality' AND confidence = 'medium'
+UNION ALL SELECT 'kept', contact_id, 'ai_reasoning', confidence, reasoning FROM outside_findings WHERE confidence = 'medium' AND contact_id IN (SELECT contact_id FROM expected_cases WHERE needs_reasoning)
+UNION ALL SELECT 'ai', contact_id, m, confidence, reasoning FROM outside_findings, (SELECT unnest(['ai_reasoning', 'ai_exploratory']) AS m) k
+  WHERE contact_id IN (SELECT contact_id FROM expected_cases WHERE CASE m WHEN 'ai_reasoning' THEN needs_reasoning ELSE needs_exploration END)""")
+def plan_methods(x):
+    """A plan of all three detection methods: what rules and reasoning found at medium confidence, and all of the models."""
+    from checks.quality import outside_findings, review_cases
+
+    cases = review_cases(x)
+    found = [issues.attach_findings(cases.filter(need), outside_findings(x), method) for need, method in (
+        ("needs_reasoning", "ai_reasoning"), ("needs_exploration", "ai_exploratory"))]
+    plan = quality_plan(x)
+    for part in found:
+        plan = plan.unionByName(build.build_actions(part, "plan-findings"))
+    shown = ["target.object_id", "detection_method", "confidence", "reasoning"]
+    kept = build.filter_actions(plan, ["medium"], ["rule", "ai_reasoning"])
+    return kept.select(F.lit("kept").alias("part"), *shown).unionByName(build.ai_made(plan).select(F.lit("ai").alias("part"), *shown))
+
+
 EXPECTED["seed_stops"] = """
 SELECT p.*, f.first_seq, CASE WHEN f.first_seq IS NOT NULL THEN concat('a', CAST(f.first_seq AS STRING)) END AS resume_from
 FROM plan_seed p LEFT JOIN (SELECT plan_id, min(seq) AS first_seq FROM plan_seed WHERE status = 'failed' GROUP BY plan_id) f ON f.plan_id = p.plan_id"""
@@ -324,6 +405,24 @@ def apply_merges(x):
     return apply.apply_merges(x.contacts.select("id", *MERGED), moves, MERGED)
 
 
+RECENT = ("email", "phone", "jobtitle", "website")
+
+
+def _latest(p: str) -> str:
+    return f"coalesce(arg_max(s.{p}, (s.lastmodifieddate, s.id)) FILTER (s.{p} <> '' AND s.lastmodifieddate IS NOT NULL), arg_max(s.{p}, s.id) FILTER (s.{p} <> '')) AS {p}"
+
+
+@query("merge_recent", f"""
+SELECT c.id, {', '.join(f"coalesce(v.{p}, c.{p}) AS {p}" for p in RECENT)} FROM contacts c
+LEFT JOIN (SELECT survivor, {', '.join(map(_latest, RECENT))} FROM (
+    SELECT survivor, id AS member FROM merge_moves UNION SELECT survivor, survivor FROM merge_moves) m JOIN contacts s ON s.id = m.member GROUP BY survivor) v ON v.survivor = c.id
+WHERE c.id NOT IN (SELECT id FROM merge_moves)""")
+def merge_recent(x):
+    """Merges that keep the value of the contact that was modified last."""
+    moves = apply.survivors(apply.merge_actions(merge_plan(x)))
+    return apply.apply_merges(x.contacts.select("id", *RECENT, "lastmodifieddate"), moves, RECENT, policy="recent").drop("lastmodifieddate")
+
+
 @query("merge_side_tables", """
 SELECT DISTINCT 'edge' AS kind, coalesce(survivor, from_id) AS contact_id, to_id AS other_id FROM edges LEFT JOIN merge_moves m ON m.id = from_id
 UNION ALL SELECT DISTINCT 'list', coalesce(survivor, contact_id), list_id FROM members LEFT JOIN merge_moves m ON m.id = contact_id""")

@@ -96,6 +96,24 @@ SELECT concat('a', CAST(o_orderkey AS STRING)) AS action_id, o_orderkey AS seq,
   (o_orderkey % 7 <> 0) AS is_reversible,
   concat('plan-', o_orderpriority) AS plan_id, CAST(o_custkey AS STRING) AS object_id, o_orderdate AS executed_at
 FROM orders""",
+    # stages of a deal by the lines of its order: now and then one is skipped or taken back
+    "deal_history": """
+SELECT CAST(l_orderkey AS STRING) AS deal_id, l_linenumber AS seq, l_shipdate AS entered_at,
+  CASE CAST(CASE WHEN l_partkey % 5 = 0 THEN l_linenumber WHEN l_partkey % 7 = 0 THEN l_linenumber - 2 ELSE l_linenumber - 1 END AS INT)
+    WHEN -1 THEN 'lead' WHEN 0 THEN 'qualified' WHEN 1 THEN 'demo' WHEN 2 THEN 'proposal' ELSE 'closedwon' END AS stage
+FROM lineitem""",
+    # a contact joins a list at its first event there; one in three leaves at its last
+    "member_moves": """
+SELECT list_id, contact_id, first_at AS moved_at, 1 AS step FROM (
+  SELECT concat(event_type, '-', CAST(CAST(floor((extract(day FROM ts) - 1) / 6.0) AS INT) AS STRING)) AS list_id, CAST(user_id AS STRING) AS contact_id,
+    min(ts) AS first_at FROM events GROUP BY 1, 2) a
+UNION ALL SELECT list_id, contact_id, last_at, -1 FROM (
+  SELECT concat(event_type, '-', CAST(CAST(floor((extract(day FROM ts) - 1) / 6.0) AS INT) AS STRING)) AS list_id, CAST(user_id AS STRING) AS contact_id,
+    min(ts) AS first_at, max(ts) AS last_at FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2) b WHERE last_at > first_at""",
+    # events in the order in which they arrive: most at once, some one or two deliveries late
+    "deliveries": """
+SELECT *, least(5, CAST(floor((extract(day FROM event_time) - 1) / 5.0) AS INT) + CASE WHEN id % 10 = 0 THEN 2 WHEN id % 15 = 0 THEN 1 ELSE 0 END) AS delivery
+FROM (SELECT event_id AS id, event_type, ts AS event_time FROM events) e""",
     "call_log": """
 SELECT conv_id, turn, CASE CAST(conv_id % 3 AS INT) WHEN 0 THEN 'data-quality-reasoning' WHEN 1 THEN 'data-quality-exploration' ELSE 'duplicates' END AS operation,
   CASE WHEN conv_id % 2 = 0 THEN 'reasoning' ELSE 'exploratory' END AS mode,

@@ -21,6 +21,8 @@ class QualityRules:
     stale_contact_days: int = 365
     min_engagement_months: int = 12
     industry_mappings: dict[str, str] = field(default_factory=dict)
+    # names of registered rules to run beside the built-in ones
+    custom_rules: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

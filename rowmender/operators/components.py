@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from rowmender.operators import skew
 from rowmender.operators.skew import hot_counted, salted_join
 from rowmender.session import drop_path, written
 
 
-# So few links are finished in one task; more than that never meet in one place.
-FINISH_LINKS = 10_000
-
-
-def finished(links: DataFrame) -> DataFrame:
-    """(id, parent) with the smallest id of each component, for at most ``FINISH_LINKS`` links."""
-    kind = links.schema["a"].dataType
-    arrow_kind = to_arrow_type(kind)
-
-    def solve(table):
-        root = {}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-            root.setdefault(a, a)
-            root.setdefault(b, b)
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-        ids = sorted(root)
-        return pa.table({"id": pa.array(ids, arrow_kind), "parent": pa.array([find(x) for x in ids], arrow_kind)})
-
-    solved = links.groupBy(F.lit(0).alias("all")).applyInArrow(solve, f"id {kind.simpleString()}, parent {kind.simpleString()}")
-    return solved
-
-
 def oriented(links: DataFrame) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     return links.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct()
@@ -60,31 +29,34 @@ def connected(links: DataFrame) -> DataFrame:
     they shrink by a constant factor per round whatever the shape. The first order is that of
     the ids, which finishes stars around their smallest id at once; the later ones are
     hashes, which keep long chains short. Ids that many links share are salted. Each round
-    writes what is left, and deletes the links of the round before; a last handful of
-    links is finished in one task. The choices of all rounds are then followed backwards.
+    writes what is left, and deletes the links of the round before; the choices of all
+    rounds are then followed backwards. An id can be hot only among very many links, so
+    only then are the hot ones looked for.
     """
     spark = links.sparkSession
     left, path = written(oriented(links.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))), "links")
     choices: list[tuple[DataFrame, list]] = []
+    paths: list[str] = []
+
+    def hot_ids(counts: DataFrame, key: str, rows: str) -> list:
+        return hot_counted(counts, [key], rows) if 2 * number >= skew.MIN_HOT_ROWS else []
+
     while (number := left.count()) > 0:
-        if number <= FINISH_LINKS:
-            parents, _ = written(finished(left), "parents")
-            followers = hot_counted(parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), ["parent"], "n")
-            choices.append((parents, followers))
-            break
         turn = len(choices)
         rank = (lambda c: F.struct(F.col(c).alias("id"))) if not turn else (lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id")))
         ends = left.select(F.col("a").alias("id"), rank("b").alias("r")).unionByName(left.select(F.col("b").alias("id"), rank("a").alias("r")))
         nearest = ends.groupBy("id").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("links"))
-        parents, _ = written(nearest.select("id", F.least(F.col("r"), rank("id"))["id"].alias("parent"), "links"), "parents")
-        hot = hot_counted(parents, ["id"], "links")
-        followers = hot_counted(parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), ["parent"], "n")
+        parents, parents_path = written(nearest.select("id", F.least(F.col("r"), rank("id"))["id"].alias("parent"), "links"), "parents")
+        paths.append(parents_path)
+        hot = hot_ids(parents, "id", "links")
+        followers = hot_ids(parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", "n")
         parents = parents.drop("links")
         redrawn = relabel(relabel(left, "a", parents, hot), "b", parents, hot)
         smaller, smaller_path = written(oriented(redrawn), "links")
         choices.append((parents, followers))
         drop_path(spark, path)
         left, path = smaller, smaller_path
+    drop_path(spark, path)
     if not choices:
         return links.select(F.col("id_1").alias("id"), F.col("id_2").alias("set_id")).limit(0)
     roots, _ = choices[-1]
@@ -93,6 +65,9 @@ def connected(links: DataFrame) -> DataFrame:
         onward = roots.select(F.col("id").alias("parent"), "root")
         roots = salted_join(parents, onward, ["parent"], "left", ["id"], followers).select("id", F.coalesce("root", "parent").alias("root"))
     roots, _ = written(roots, "roots")
+    for path in paths:
+        drop_path(spark, path)
     least = roots.groupBy("root").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("n"))
-    joined = salted_join(roots, least.drop("n"), ["root"], "inner", ["id"], hot_counted(least, ["root"], "n"))
+    number = roots.count()
+    joined = salted_join(roots, least.drop("n"), ["root"], "inner", ["id"], hot_ids(least, "root", "n"))
     return joined.select("id", F.least("_least", "root").alias("set_id"))

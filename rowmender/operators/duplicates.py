@@ -134,14 +134,12 @@ def pairs_in(n: Column) -> Column:
     return half.cast("decimal(19,0)") * (n - 1 + n.bitwiseAND(F.lit(1))).cast("decimal(19,0)")
 
 
-def pair_counts(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
-    """Exact number of pairs per match type, without listing any pair.
+def combined_keys(keys: DataFrame, settings: DuplicateSettings, keep: list[str] | None = None) -> DataFrame:
+    """Each contact's single and combined keys with the sign of inclusion-exclusion.
 
-    A group of n holds n(n-1)/2 pairs. Pairs that an earlier key type already
-    has are the pairs of the combined key, so they are subtracted.
+    Rows of (part, match_type, sign, k0, k1, k2); pairs of a type are the signed pairs of its parts.
     """
     tiers = enabled_tiers(settings)
-    keys = match_keys(contacts, settings.default_country_code)
     e, p, n = F.col("email_key"), F.col("phone_company_key"), F.col("name_company_key")
 
     parts: list[tuple[str, int, list[Column]]] = []
@@ -170,8 +168,18 @@ def pair_counts(contacts: DataFrame, settings: DuplicateSettings = DuplicateSett
             *[k.alias(f"k{i}") for i, k in enumerate(padded)]))
 
     entries = [entry(i, *p) for i, p in enumerate(parts)]
+    return keys.select(*(keep or []), F.inline(F.array_compact(F.array(*entries))))
+
+
+def pair_counts(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
+    """Exact number of pairs per match type, without listing any pair.
+
+    A group of n holds n(n-1)/2 pairs. Pairs that an earlier key type already
+    has are the pairs of the combined key, so they are subtracted.
+    """
+    keys = match_keys(contacts, settings.default_country_code)
     sizes = (
-        keys.select(F.inline(F.array_compact(F.array(*entries))))
+        combined_keys(keys, settings)
         .groupBy("part", "match_type", "sign", "k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
     )

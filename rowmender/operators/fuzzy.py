@@ -145,6 +145,42 @@ def name_domain_groups(contacts: DataFrame) -> DataFrame:
         "name", "domain", "n", "id", "head_id", "domains", "pairs")
 
 
+def domain_pairs(contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
+    """Near duplicates by e-mail domain: one name twice in a domain, similar names in a domain.
+
+    Contacts of one name and domain are one profile of ``n`` contacts under the smallest id. A
+    profile of several is reported against itself (``same_name``); two profiles of a domain whose
+    names are close against each other (``similar_name``).
+    """
+    rows = contacts.select(
+        "id", t.normalize_name(F.concat_ws(" ", t.nonempty("firstname"), t.nonempty("lastname"))).alias("name"),
+        t.email_domain("email").alias("domain")).filter("trim(name) <> '' AND domain <> ''")
+    profiles = rows.groupBy("domain", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    row = F.struct("id", "n")
+    same = profiles.filter("n > 1").select(
+        F.lit("same_name").alias("kind"), "domain", row.alias("row_1"), row.alias("row_2"), F.lit(0).alias("distance"), F.lit(1.0).alias("similarity"))
+    close = similar_texts(profiles, "name", ["domain"], ["id", "n"], settings.max_fuzzy_distance, settings.fuzzy_match_threshold)
+    near = close.select(F.lit("similar_name").alias("kind"), "domain", "row_1", "row_2", "distance", "similarity")
+    return _ordered(same.unionByName(near), "kind", "domain", "distance", "similarity")
+
+
+def name_company_links(contacts: DataFrame) -> DataFrame:
+    """Names that occur in several companies: each (name, company) linked to the first one.
+
+    Contacts of one name and company are one profile; ``companies`` is the number of profiles
+    of the name.
+    """
+    keys = match_keys(contacts).filter(F.col("company").isNotNull() & (F.trim("name") != ""))
+    profiles = name_profiles(keys)
+    heads = profiles.groupBy("name").agg(
+        F.count(F.lit(1)).alias("companies"), F.min(F.struct("id", "company", "n")).alias("head")).filter("companies > 1")
+    hot = hot_counted(heads, ["name"], "companies")
+    joined = salted_join(profiles, heads, ["name"], "inner", ["company"], hot).filter("id <> head.id")
+    return joined.select(
+        F.col("head.id").alias("id_1"), F.col("id").alias("id_2"), F.col("head.n").alias("n_1"), F.col("n").alias("n_2"),
+        "name", F.col("head.company").alias("company_1"), F.col("company").alias("company_2"), "companies")
+
+
 def similar_contacts(targets: DataFrame, contacts: DataFrame, limit: int = 10,
                      max_distance: int = 2) -> DataFrame:
     """For each target contact, up to ``limit`` contacts of its company with a like name.

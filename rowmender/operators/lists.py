@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
-from rowmender.operators.skew import hot_counted, position_within, salted_join
+from rowmender.operators.skew import grid_join, hot_counted, position_within, salted_join
 
 
 def list_overlap(members: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -24,23 +24,26 @@ def list_overlap(members: DataFrame, threshold: float = 80.0) -> DataFrame:
     ranked = salted_join(members, degrees, ["contact_id"], "inner", ["list_id"], hot_people)
     placed = position_within(ranked, ["list_id"], ["degree", "contact_id"])
     placed = salted_join(placed, sizes, ["list_id"], "inner", ["contact_id"], hot_lists)
-    needed = F.floor(F.col("size") * F.lit(threshold / 100.0) + F.lit(1e-9)) + 1
-    prefix = placed.filter(F.col("position") <= F.col("size") - needed + 1).select(
-        F.col("list_id").alias("list_1"), "contact_id")
-    others = members.select(F.col("list_id").alias("list_2"), "contact_id")
-    met = prefix.join(others, "contact_id").filter("list_1 <> list_2")
-    pairs = met.select(F.least("list_1", "list_2").alias("list_1"), F.greatest("list_1", "list_2").alias("list_2")).distinct()
+    needed = (F.floor(F.col("size") * F.lit(threshold / 100.0) + F.lit(1e-9)) + 1).alias("needed")
+    prefix = placed.select("*", needed).filter(F.col("position") <= F.col("size") - F.col("needed") + 1).select(
+        F.col("list_id").alias("list_1"), "contact_id", F.col("size").alias("size_1"), "needed")
+    others = placed.select(F.col("list_id").alias("list_2"), "contact_id", F.col("size").alias("size_2"))
+    # a contact of very many lists on both sides is split both ways; a list that is too small cannot hold enough
+    met = grid_join(prefix, others, ["contact_id"], ["list_1"], ["list_2"]).filter("list_1 <> list_2 and size_2 >= needed")
+    first = F.col("list_1") < F.col("list_2")
 
-    s1 = sizes.select(F.col("list_id").alias("list_1"), F.col("size").alias("size_1"))
-    s2 = sizes.select(F.col("list_id").alias("list_2"), F.col("size").alias("size_2"))
-    sized = salted_join(pairs, s1, ["list_1"], "inner", spread=["list_2"])
-    sized = salted_join(sized, s2, ["list_2"], "inner", spread=["list_1"])
+    def ordered(a: str, b: str) -> Column:
+        return F.when(first, F.col(a)).otherwise(F.col(b))
+
+    sized = met.select(
+        *[ordered(f"{c}_1", f"{c}_2").alias(f"{c}_1") for c in ("list", "size")],
+        *[ordered(f"{c}_2", f"{c}_1").alias(f"{c}_2") for c in ("list", "size")]).distinct()
     # count from the members of the smaller list
     small_first = F.col("size_1") <= F.col("size_2")
     driven = sized.select(
         "*", F.when(small_first, F.col("list_1")).otherwise(F.col("list_2")).alias("_small"),
         F.when(small_first, F.col("list_2")).otherwise(F.col("list_1")).alias("_large"))
-    walked = driven.join(members.withColumnRenamed("list_id", "_small"), "_small")
+    walked = grid_join(driven, members.withColumnRenamed("list_id", "_small"), ["_small"], ["_large"], ["contact_id"])
     shared = walked.join(members.withColumnRenamed("list_id", "_large"), ["_large", "contact_id"], "left_semi")
     counted = shared.groupBy("list_1", "list_2", "size_1", "size_2").agg(F.count(F.lit(1)).alias("shared"))
     part_1, part_2 = (F.lit(100.0) * F.col("shared") / F.col(s) for s in ("size_1", "size_2"))

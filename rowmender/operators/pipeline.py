@@ -46,13 +46,13 @@ def period_counts(events: DataFrame, time: str, kind: str, period: str = "week")
 
 
 def spikes(counts: DataFrame, rise_pct: float = 50.0, drop_pct: float = 30.0) -> DataFrame:
-    """Periods that rose or fell too much against the one before.
+    """Periods that rose or fell too much against the one before; after a nought there is no rate.
 
     The input has one row per kind and period, so a window holds one kind's periods.
     """
     w = Window.partitionBy("kind").orderBy("period")
     with_before = counts.withColumn("before", F.lag("n").over(w))
-    change = F.lit(100.0) * (F.col("n") - F.col("before")) / F.col("before")
+    change = F.try_divide(F.lit(100.0) * (F.col("n") - F.col("before")), F.col("before"))
     flagged = with_before.withColumn("change_pct", F.round(change, 4))
     alert = F.when(F.col("change_pct") > rise_pct, "spike").when(F.col("change_pct") < -drop_pct, "drop")
     return flagged.withColumn("alert", alert).filter(F.col("alert").isNotNull())

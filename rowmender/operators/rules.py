@@ -5,6 +5,7 @@ All rules are evaluated in one pass over the table; no rule shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -101,6 +102,42 @@ def typos() -> list[Rule]:
     ]
 
 
+#: Makes the rules of one name from the table, the date of the audit and the settings.
+RuleMaker = Callable[[DataFrame, Column, QualityRules], "Rule | list[Rule]"]
+_REGISTERED: dict[str, tuple[tuple[str, ...], RuleMaker]] = {}
+
+
+def register_rule(name: str, properties: Sequence[str] = ()) -> Callable[[RuleMaker], RuleMaker]:
+    """Make a rule of one's own known by name; ``properties`` are the columns that it reads.
+
+    An audit runs it if ``QualityRules.custom_rules`` names it. A name can be taken once.
+    """
+    def keep(make: RuleMaker) -> RuleMaker:
+        if name in _REGISTERED and _REGISTERED[name][1] is not make:
+            raise ValueError(f"a rule named {name!r} is registered already")
+        _REGISTERED[name] = (tuple(properties), make)
+        return make
+
+    return keep
+
+
+def unregister_rule(name: str) -> None:
+    _REGISTERED.pop(name, None)
+
+
+def named_properties(names: Sequence[str]) -> list[str]:
+    """The columns that the named rules read."""
+    unknown = [n for n in names if n not in _REGISTERED]
+    if unknown:
+        raise ValueError(f"unknown rules: {', '.join(unknown)}; known are: {', '.join(sorted(_REGISTERED)) or 'none'}")
+    return [p for n in names for p in _REGISTERED[n][0]]
+
+
+def named_rules(names: Sequence[str], df: DataFrame, as_of: Column, rules: QualityRules) -> list[Rule]:
+    made = [_REGISTERED[n][1](df, as_of, rules) for n in names]
+    return [r for one in made for r in (one if isinstance(one, list) else [one])]
+
+
 def contact_rules(df: DataFrame, as_of: Column, rules: QualityRules) -> list[Rule]:
     return [
         *[missing_required(f) for f in rules.required_contact_fields],
@@ -109,6 +146,7 @@ def contact_rules(df: DataFrame, as_of: Column, rules: QualityRules) -> list[Rul
         invalid_url(),
         stale_contact(df, as_of, rules.stale_contact_days),
         *typos(),
+        *named_rules(rules.custom_rules, df, as_of, rules),
     ]
 
 
@@ -155,7 +193,7 @@ def run_rules(df: DataFrame, rules: list[Rule], module: str, object_type: str =
 
 def audit_contacts(contacts: DataFrame, as_of, rules: QualityRules = QualityRules()) -> DataFrame:
     """All rule findings of a contact table, one row each."""
-    df = require_columns(contacts, [*rules.required_contact_fields, *RULE_PROPERTIES])
+    df = require_columns(contacts, [*rules.required_contact_fields, *RULE_PROPERTIES, *named_properties(rules.custom_rules)])
     return run_rules(df, contact_rules(df, t.as_timestamp(as_of), rules), MODULE)
 
 

@@ -60,5 +60,47 @@ def page(df: DataFrame, sorts: Sequence[tuple[str, str]] = (), limit: int = 100,
     return df.orderBy(*order, "id").offset(after).limit(limit)
 
 
+def _direction(order: str) -> bool:
+    return order.upper().startswith("DESC")
+
+
+def keyset_order(sorts: Sequence[tuple[str, str]]) -> list[Column]:
+    """The sort columns and the id that makes them unique, empty values last."""
+    return [F.col(c).desc_nulls_last() if _direction(d) else F.col(c).asc_nulls_last() for c, d in sorts] + [F.col("id").asc()]
+
+
+def behind(sorts: Sequence[tuple[str, str]], cursor: Sequence[Any]) -> Column:
+    """Rows that come after the row whose sort values and id are ``cursor``.
+
+    Plain comparisons alone, so that a scan can skip files and row groups before it.
+    """
+    wanted, same = F.lit(False), F.lit(True)
+    for (c, d), value in zip([*sorts, ("id", "ASC")], cursor):
+        column = F.col(c)
+        if value is not None:
+            further = column < F.lit(value) if _direction(d) else column > F.lit(value)
+            wanted = wanted | (same & (further | column.isNull()))
+        same = same & column.eqNullSafe(F.lit(value))
+    return wanted
+
+
+def page_behind(df: DataFrame, sorts: Sequence[tuple[str, str]] = (), limit: int = 100,
+                cursor: Sequence[Any] | None = None) -> DataFrame:
+    """The next ``limit`` rows behind a cursor, or the first ones; the order is total by the id.
+
+    No rows before the cursor are sorted or counted, so a deep page costs what the first one does.
+    """
+    rows = df if cursor is None else df.filter(behind(sorts, cursor))
+    return rows.orderBy(*keyset_order(sorts)).limit(limit)
+
+
+def next_cursor(rows: DataFrame, sorts: Sequence[tuple[str, str]] = (), limit: int = 100) -> tuple | None:
+    """The cursor behind a full page (its last row's sort values and id), None behind the last page."""
+    names = [c for c, _ in sorts] + ["id"]
+    # the page is at most ``limit`` rows
+    keys = [tuple(r) for r in rows.select(*names).collect()]
+    return keys[-1] if len(keys) == limit else None
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))

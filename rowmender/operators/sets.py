@@ -26,6 +26,47 @@ def duplicate_sets(contacts: DataFrame, settings: DuplicateSettings = DuplicateS
     return connected(links_of_groups(group_members(keys, enabled_tiers(settings))))
 
 
+def update_sets(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``sets`` (id, set_id) brought up to date with new ``links`` (id_1, id_2).
+
+    Every end of a new link stands for its set, or for itself; only these sets are
+    contracted, and only labels that change are looked up. The links behind the old sets are not
+    read again. As before, a set has its smallest id.
+    """
+    labels = sets.select(F.col("id"), "set_id")
+    ends = links.select("id_1", "id_2").filter("id_1 <> id_2")
+    for end in ("id_1", "id_2"):
+        own = labels.select(F.col("id").alias(end), F.col("set_id").alias(f"_{end}"))
+        ends = salted_join(ends, own, [end], "left", ["id_1", "id_2"])
+    met = cut_lineage(ends.select("id_1", "id_2", F.coalesce("_id_1", "id_1").alias("s_1"), F.coalesce("_id_2", "id_2").alias("s_2")))
+    moved = cut_lineage(connected(met.select(F.col("s_1").alias("id_1"), F.col("s_2").alias("id_2"))))
+    changed = moved.filter("id <> set_id").select(F.col("id").alias("set_id"), F.col("set_id").alias("_new"))
+    kept = salted_join(labels, changed, ["set_id"], "left", ["id"]).select("id", F.coalesce("_new", "set_id").alias("set_id"))
+    # ids that were in no set so far
+    fresh = met.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct().join(labels.select("id"), "id", "left_anti")
+    return kept.unionByName(fresh.join(moved, "id"))
+
+
+def new_links(recent: DataFrame, contacts: DataFrame, settings: DuplicateSettings = DuplicateSettings()) -> DataFrame:
+    """Links that connect ``recent`` contacts with each other and with ``contacts``, by the exact keys.
+
+    Of every key that a recent contact has, the smallest id among all contacts is enough;
+    other keys are left before the grouping.
+    """
+    tiers = enabled_tiers(settings)
+    keys = ["tier", "key"]
+    arrived = group_members(match_keys(recent, settings.default_country_code), tiers).select(*keys, "id")
+    present = group_members(match_keys(contacts, settings.default_country_code), tiers).select(*keys, "id")
+    asked = arrived.select(*keys).distinct()
+    known = salted_join(present, asked, keys, "left_semi", ["id"])
+    heads = cut_lineage(known.unionByName(arrived).groupBy(*keys).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
+    joined = salted_join(arrived, heads.drop("n"), keys, "inner", ["id"])
+    own = joined.filter("id <> head").select(F.col("head").alias("id_1"), F.col("id").alias("id_2"))
+    # a recent contact may be the smallest of a key: it takes over the former head
+    former = known.groupBy(*keys).agg(F.min("id").alias("id_2")).join(heads, keys).filter("head <> id_2")
+    return own.unionByName(former.select(F.col("head").alias("id_1"), "id_2")).distinct()
+
+
 def completeness(df: DataFrame, properties: list[str] | None = None) -> Column:
     """How many properties of the row are filled."""
     names = [c for c in df.columns if c != "id"] if properties is None else properties

@@ -80,6 +80,41 @@ def salted_join(
     return joined if keep_salt else joined.drop("_salt")
 
 
+# A cell of a grid join holds about this many rows of either side.
+CELL_ROWS = 10_000
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_left: Sequence[str], spread_right: Sequence[str],
+              cell_rows: int | None = None) -> DataFrame:
+    """Inner join where both sides may have very many rows of a key.
+
+    A heavy key becomes a grid: its left rows are dealt to rows of cells and copied along them,
+    its right rows to columns, by the counts of both sides, so that a pair meets in one cell
+    and no cell holds more than about ``cell_rows`` rows of either side. At most
+    ``MAX_HOT_KEYS`` keys are split; without heavy keys this is a plain join.
+    """
+    keys, most = list(keys), cell_rows or CELL_ROWS
+    n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl"))
+    n_right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr"))
+    both = n_left.join(n_right, keys).filter((F.col("_nl") > most) | (F.col("_nr") > most))
+    heavy = both.orderBy(F.desc(F.col("_nl").cast("double") * F.col("_nr")), *keys).limit(MAX_HOT_KEYS).collect()
+    if not heavy:
+        return left.join(right, keys)
+    fields = [left.schema[k] for k in keys]
+    grid = [(*r[:-2], -(-r[-2] // most), -(-r[-1] // most)) for r in heavy]
+    table = F.broadcast(left.sparkSession.createDataFrame(grid, StructType([*fields, StructField("_rows", LongType()), StructField("_columns", LongType())])))
+
+    def dealt(df: DataFrame, own: str, other: str, spread: Sequence[str]) -> DataFrame:
+        """Salt ``own`` by content, and a copy for every salt of ``other``."""
+        mine = F.when(F.col(own).isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*spread), F.col(own)))
+        copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(other), F.lit(1)) - 1)
+        salted = df.join(table, keys, "left").withColumn(f"_s{own}", mine)
+        return salted.withColumn(f"_s{other}", F.explode(copies)).drop(own, other)
+
+    cells = [*keys, "_s_rows", "_s_columns"]
+    return dealt(left, "_rows", "_columns", spread_left).join(dealt(right, "_columns", "_rows", spread_right), cells).drop("_s_rows", "_s_columns")
+
+
 def ordered_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Number the rows 1..n in the order of ``order``, without a one-task window.
 

@@ -49,12 +49,29 @@ def created_after(df: DataFrame, instant, column: str = "createdate") -> DataFra
     return df.filter(F.col(column) >= t.as_timestamp(instant))
 
 
-def property_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
-    """Definitions of the properties of each object type; read from the schemas alone."""
-    rows = [(object_type, c, c.replace("_", " ").capitalize(), kind)
-            for object_type, df in tables.items() for c, kind in df.dtypes if c != "id"]
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "object_type string, name string, label string, type string")
+def property_catalogue(tables: dict[str, DataFrame], choices: int = 10) -> DataFrame:
+    """Definitions of the properties of each object type, with what their rows hold.
+
+    Name, label and type come from the schema; the numbers of rows, of filled ones and of
+    distinct values from one pass over each table, counted per value first. A text property
+    with at most ``choices`` values is a choice.
+    """
+    out = None
+    for object_type, df in tables.items():
+        kinds = {c: kind for c, kind in df.dtypes if c != "id"}
+        entries = F.array(*[F.struct(F.lit(c).alias("name"), t.nonempty(F.col(c).cast("string")).alias("value")) for c in kinds])
+        counts = df.select(F.inline(entries)).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        stats = counts.groupBy("name").agg(
+            F.sum("n").alias("records"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
+            F.count("value").alias("distinct_values"))
+        labels = F.create_map(*[F.lit(x) for c in kinds for x in (c, c.replace("_", " ").capitalize())])
+        types = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])
+        is_choice = (types[F.col("name")] == "string") & F.col("distinct_values").between(1, choices)
+        rows = stats.select(
+            F.lit(object_type).alias("object_type"), "name", labels[F.col("name")].alias("label"), types[F.col("name")].alias("type"),
+            "records", "filled", "distinct_values", is_choice.alias("is_choice"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def property_values(tables: dict[str, DataFrame], options: dict[str, Sequence[str]]) -> DataFrame:
@@ -105,6 +122,25 @@ def engagement_summary(contacts: DataFrame) -> DataFrame:
         t.parse_int_prefix(F.col(p).cast("string")).alias(n) for n, p in counters.items()])
 
 
+#: Which events make up each engagement counter.
+COUNTED = {
+    "hs_email_delivered": ("DELIVERED", "OPENED", "CLICKED"), "hs_email_open": ("OPENED",), "hs_email_click": ("CLICKED",),
+    "form_submissions": ("FORM_SUBMITTED",), "hs_analytics_num_page_views": ("OPENED", "CLICKED", "FORM_SUBMITTED"),
+}
+
+
+def with_counters(contacts: DataFrame, events: DataFrame, counted: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``contacts`` with their engagement counters taken from the events instead of stored texts.
+
+    Events are counted per contact before the join, so it has one row on either side.
+    """
+    counted = COUNTED if counted is None else counted
+    numbers = events.groupBy(F.col("contact_id").alias("id")).agg(
+        *[F.count_if(F.col("event_type").isin(*kinds)).alias(f"_{name}") for name, kinds in counted.items()])
+    joined = contacts.drop(*counted).join(numbers, "id", "left")
+    return joined.withColumns({name: F.coalesce(f"_{name}", F.lit(0)).cast("string") for name in counted}).drop(*[f"_{name}" for name in counted])
+
+
 def marketing_status(contacts: DataFrame) -> DataFrame:
     """Marketing flag as a boolean; both spellings of it are understood."""
     df = require_columns(contacts, ["hs_marketable_status", "hs_marketable_reason_type", "hs_marketable_until_renewal"])
