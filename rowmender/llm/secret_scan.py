@@ -276,13 +276,13 @@ def find_secrets(docs: DataFrame, min_cost: float = 10.0, min_length: int = 8, w
 
 def keep_redacted(docs: DataFrame, text: str = "text", words: Sequence[str] = ()) -> DataFrame:
     """The rows with every secret of ``text`` replaced; all columns stay."""
-    words = list(words)
+    words, made = list(words), []
 
     @F.pandas_udf("string")
-    def redacted(parts):
-        guesser = Guesser(words)  # once per task
-        for texts in parts:
-            yield texts.map(lambda t: t if t is None else redact(t, scan(t, guesser=guesser)))
+    def redacted(texts):
+        if not made:  # once per task
+            made.append(Guesser(words))
+        return texts.map(lambda t: t if t is None else redact(t, scan(t, guesser=made[0])))
 
     redacted_columns = [redacted(F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return docs.select(*redacted_columns)
