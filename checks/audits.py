@@ -605,8 +605,8 @@ SELECT c.id, o.domain, o.id AS company_id FROM (SELECT id, split_part(lower(emai
 JOIN companies o ON o.domain = c.domain""")(by_domain)
 query("associate_unlinked", """
 SELECT c.id, o.domain, o.id AS company_id FROM (SELECT id, split_part(lower(email), '@', 2) AS domain FROM contacts WHERE regexp_full_match(email, '[^@]+@[^@]+')) c
-JOIN companies o ON o.domain = c.domain WHERE c.id NOT IN (SELECT from_id FROM edges)""")(
-    lambda x: consistency.associate_by_domain(x.contacts, x.companies, x.edges))
+JOIN companies o ON o.domain = c.domain WHERE c.id NOT IN (SELECT from_id FROM edges WHERE CAST(to_id AS BIGINT) % 7 = 0)""")(
+    lambda x: consistency.associate_by_domain(x.contacts, x.companies, x.edges.filter(F.col("to_id").cast("bigint") % 7 == 0)))
 query("cross_object_checks", """
 SELECT id, 'customer_without_won_deal' AS "check" FROM contacts WHERE lifecyclestage = 'customer' AND id NOT IN (SELECT contact_id FROM deals WHERE stage = 'closedwon')
 UNION ALL SELECT id, 'contact_without_company' FROM contacts WHERE id NOT IN (SELECT from_id FROM edges)""")(

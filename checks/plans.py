@@ -234,19 +234,11 @@ def plan_batches(x):
 
 
 @query("plan_three_batches", """
-SELECT action_id, CASE plan_id WHEN 'plan-quality' THEN 1 WHEN 'plan-duplicates' THEN 2 END AS batch FROM actions
-UNION ALL SELECT sha256(concat('action|plan-marketing|', sha256(concat('marketing|convert_to_non_marketing|', id)))), 3 FROM (
-  SELECT id, CASE WHEN hard_bounced = 'true' THEN 'hard_bounced' WHEN unsubscribed_at IS NOT NULL THEN 'unsubscribed' WHEN lower(email) LIKE '%test%' THEN 'test_contact' END AS reason
-  FROM contacts WHERE hs_marketable_status = 'true') m WHERE reason IS NOT NULL""")
+SELECT action_id, CASE WHEN type = 'set_marketing_status' THEN 3 WHEN plan_id = 'plan-quality' THEN 1 ELSE 2 END AS batch FROM actions""")
 def plan_three_batches(x):
-    """The plans of three audits run together: corrections, then merges, then marketing changes."""
-    from checks.quality import CONFIG
-    from rowmender.operators import modules
-
-    found = modules.run_audits(["marketing"], {"contacts": x.contacts}, CONFIG, AS_OF)
-    module = F.when(F.col("plan_id") == "plan-quality", "data-quality").when(F.col("plan_id") == "plan-duplicates", "duplicates").otherwise("marketing")
-    together = both_plans(x).unionByName(build.build_actions(found, "plan-marketing"))
-    return build.audit_batches(together.withColumn("source_audit", module)).select("action_id", "batch")
+    """The actions of three audits run together: corrections, then merges, then marketing changes."""
+    module = F.when(F.col("type") == "set_marketing_status", "marketing").when(F.col("plan_id") == "plan-quality", "data-quality").otherwise("duplicates")
+    return build.audit_batches(both_plans(x).withColumn("source_audit", module)).select("action_id", "batch")
 
 
 @query("plan_methods", """

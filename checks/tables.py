@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,9 +141,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: str | None = None
 
     def base(n: str) -> DataFrame:
         path = f"{sf_dir}/{n}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = spark.read.parquet(path).schema
-        df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+        try:
+            key = (path, os.path.getmtime(path))
+        except OSError:  # a path that only Spark reads may change unseen
+            key = None
+        schema = _SCHEMAS.get(key) or spark.read.parquet(path).schema
+        if key is not None:
+            _SCHEMAS[key] = schema
+        df = spark.read.schema(schema).parquet(path)
         return read_files(spark, sf_dir, df.schema, f"{n}.parquet") if n == stream else df
 
     if name in BASE:

@@ -26,6 +26,7 @@ ACTION_TYPES = {
 REVERSIBLE = ("update_property", "remove_from_list", "set_marketing_status", "create_association")
 FORMAT_PROPERTIES = {"invalid_email_format": "email", "invalid_phone_format": "phone", "invalid_url_format": "website"}
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
+# fixed values: what speaks for a recommendation, by confidence and by method
 CONFIDENCE_FACTORS = {
     "high": ("Clear pattern match", "Supported by data analysis"),
     "medium": ("Requires human review", "Some ambiguity in data"),

@@ -40,11 +40,17 @@ def local_session(cores: int | str = "*", app: str = "rowmender", partitions: in
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session: ``spark.checkpoint.dir``, else one below the warehouse."""
+    """The shared folder of the session: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    On a cluster a warehouse on a local disk is not shared, so it is refused.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = f"{warehouse}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
