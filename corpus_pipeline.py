@@ -41,8 +41,10 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     rows = docs.select("doc_id", "text", others, F.col("text").isNotNull().alias("had_text"))
     done = suffix_index.remove_repeats(rows, suffix_index.word_settings(PASSAGE_WORDS))
-    done = done.withColumn("text", F.when(F.col("had_text"), suffix_index.readable(F.col("kept")))).filter(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return recounted(done.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
+    # whole words are cut, so what stays is valid text
+    done = done.withColumn("text", F.when(F.col("had_text"), F.col("kept").cast("string")))
+    left = done.filter(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return recounted(left.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
