@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
+from rowmender.operators.skew import ordered_position
 
 
 def _words(c: Column) -> Column:
@@ -102,5 +103,20 @@ def next_cursor(rows: DataFrame, sorts: Sequence[tuple[str, str]] = (), limit: i
     return keys[-1] if len(keys) == limit else None
 
 
+def pages_behind(df: DataFrame, sorts: Sequence[tuple[str, str]] = (), limit: int = 100,
+                 cursor: Sequence[Any] | None = None) -> DataFrame:
+    """All pages behind a cursor, or all there are: the rows with their ``page`` (from 0) and ``row`` (from 1).
+
+    The same pages as :func:`page_behind` gives one after the other, each from the cursor of the one before,
+    but the rows are sorted once, by ranges, however many pages there are. Rows that agree in all sort values
+    and the id are all listed.
+    """
+    rows = df if cursor is None else df.filter(behind(sorts, cursor))
+    placed = ordered_position(rows, keyset_order(sorts), "_place")
+    before = F.col("_place") - 1
+    page, row = F.floor(before / limit).cast("int"), (F.pmod(before, F.lit(limit)) + 1).cast("int")
+    return placed.select(*df.columns, page.alias("page"), row.alias("row"))
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))

@@ -176,6 +176,41 @@ def test_pages_behind_a_cursor_give_the_whole_order(spark, sorts):
     assert search.next_cursor(df.limit(0), sorts, 10) is None
 
 
+@pytest.mark.parametrize("sorts", [[], [("a", "DESCENDING"), ("b", "ASCENDING")]])
+def test_all_pages_at_once_are_those_of_the_cursors(spark, sorts):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(f"{i:03d}", rng.choice([None, 1, 2, 3]), rng.choice([None, "x", "y"])) for i in range(57)], "id string, a int, b string")
+    first = search.page_behind(df, sorts, 10)
+    start = cursor = search.next_cursor(first, sorts, 10)
+    want = []
+    for number in range(5):
+        page = search.page_behind(df, sorts, 10, cursor)
+        want += [(r.id, number, row) for row, r in enumerate(page.collect(), 1)]
+        cursor = search.next_cursor(page, sorts, 10)
+    listed = lambda rows: sorted((r.page, r.row, r.id) for r in rows.collect())
+    assert listed(search.pages_behind(df, sorts, 10, start)) == sorted((p, n, i) for i, p, n in want) and len(want) == 47
+    # copies at the end of a page are not lost
+    whole = search.pages_behind(df.unionByName(df), sorts, 9)
+    assert [(r.page, r.row) for r in whole.orderBy("page", "row").collect()] == [(i // 9, i % 9 + 1) for i in range(114)]
+    assert whole.groupBy("id").count().filter("count <> 2").isEmpty()
+
+
+def test_the_work_of_a_search_does_not_grow_with_its_pages(spark, monkeypatch):
+    from checks import history
+
+    class Tables:
+        contacts = spark.range(2000).select(
+            F.col("id").cast("string").alias("id"), F.concat(F.lit("c"), F.col("id") % 7).alias("company"),
+            F.lit("2024-01-01").cast("timestamp").alias("lastmodifieddate"), F.lit("lead").alias("lifecyclestage"))
+
+    calls, one = [], search.page_behind
+    monkeypatch.setattr(search, "page_behind", lambda *a: calls.append(a) or one(*a))
+    rows = history.search_after(Tables()).collect()
+    assert len(calls) <= 2
+    want = sorted(range(2000), key=lambda i: (-(i % 7), str(i)))
+    assert [int(r.id) for r in sorted(rows, key=lambda r: (r.page, r.row))] == want and max(r.page for r in rows) == 13
+
+
 def test_a_cursor_reaches_the_scan(spark):
     path = scratch_path(spark, "pages")
     spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 10).alias("a")).write.parquet(path)
