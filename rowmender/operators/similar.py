@@ -9,6 +9,10 @@ A piece of a word that very many texts share would bring all of these together.
 with such a piece are cut finer, into k+m pieces, of which m stay unchanged, so two of any k+2
 do; the k+2 rarest are taken, and two of them together are the key of the join. The
 pieces of the common word are then left out, as long as the rest of the text has enough.
+
+Texts that are too short for that, and those within one change, have few spellings with k changes
+undone, so they meet by these: letters that one text has alone are deleted, letters that differ are masked,
+and what is left must be equal. A common word is then never a key by itself.
 """
 
 from __future__ import annotations
@@ -17,12 +21,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowmender.operators.skew import spread_rows, tasks_for
 from rowmender.session import cut_lineage
 
 #: A piece of more texts than this makes them be cut finer.
 HOT_TEXTS = 200
 #: Pieces above the distance of texts that are cut finer: at least and at most.
 EXTRA, MOST_EXTRA = 4, 8
+#: Texts meet by what is left of them within one change up to this length, and within so many changes if they are short.
+ONE_CHANGE_LENGTH, MOST_CHANGES = 64, 3
+#: Texts in a task that lists their pieces or spellings.
+TEXTS_PER_TASK = 10_000
+#: Stands for a letter that differs.
+MASK = "\x00"
 
 
 def _limit(length: Column, max_distance: int, threshold: float | None) -> Column:
@@ -51,6 +62,43 @@ def _fine_pieces(short_len: Column, k: Column) -> Column:
     return F.least(F.floor(short_len / 2).cast("int"), k + MOST_EXTRA)
 
 
+def _few_spellings(short_len: Column, k: Column) -> Column:
+    """Whether what is left after k changes is listed: some hundred spellings at most."""
+    return ((k == 1) & (short_len <= ONE_CHANGE_LENGTH)) | (k.between(2, MOST_CHANGES) & ~_fine(short_len, k))
+
+
+def _left_over(text: Column, deleted: int, masked: int) -> Column:
+    """The spellings of a text with so many letters deleted and so many masked."""
+    found = F.array(text)
+    for mark in [""] * deleted + [MASK] * masked:
+        found = F.array_distinct(F.flatten(F.transform(found, _replaced_once(mark))))
+    return found
+
+
+def _replaced_once(mark: str):
+    """A text with each one of its letters replaced, or itself if it has none."""
+    def texts(x: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(x))
+        return F.when(x == "", F.array(x)).otherwise(F.transform(places, lambda i: F.overlay(x, F.lit(mark), i, F.lit(1))))
+    return texts
+
+
+def left_overs(text: Column, k: Column, gap: Column, longer: bool) -> Column:
+    """What is left of a text when it is matched with one that is ``gap`` letters longer (or shorter, for the ``longer`` one).
+
+    Within k changes the shorter text loses d letters, the longer one d + gap, and at most k - gap - 2d differ.
+    """
+    def spelled(deleted: int, spellings: Column) -> Column:
+        return F.transform(spellings, lambda x: F.struct(F.lit(deleted).alias("deleted"), x.alias("spelling")))
+
+    cases = F.array().cast("array<struct<deleted:int,spelling:string>>")
+    for n in range(1, MOST_CHANGES + 1):
+        for g in range(n + 1):
+            lists = [spelled(d, _left_over(text, d + g if longer else d, n - g - 2 * d)) for d in range((n - g) // 2 + 1)]
+            cases = F.when((k == n) & (gap == g), F.concat(*lists)).otherwise(cases)
+    return cases
+
+
 def similar_texts(df: DataFrame, text: str, block: Sequence[str], payload: Sequence[str],
                   max_distance: int = 0, threshold: float | None = None) -> DataFrame:
     """Pairs of different texts of one block whose distance or similarity is close enough.
@@ -76,6 +124,8 @@ def candidates(df: DataFrame, text: str, block: Sequence[str], payload: Sequence
     """Pairs that share a piece, or two rare ones, at fitting places; a pair may come several times."""
     rows = df.select(*block, F.col(text).alias("text"), F.length(text).cast("int").alias("len"),
                      F.struct(*payload).alias("row"))
+    # several lists are made of them
+    rows = spread_rows(cut_lineage(rows), TEXTS_PER_TASK)
     length = F.col("len")
     k = _limit(length, max_distance, threshold)
 
@@ -94,7 +144,7 @@ def candidates(df: DataFrame, text: str, block: Sequence[str], payload: Sequence
     indexed = short.select("*", index_entries(F.col("k") + 1))
     spot = [*block, "short_len", "k"]
     common = indexed.groupBy(*spot, "piece", "part").agg(F.count(F.lit(1)).alias("texts")).filter(
-        (F.col("texts") > HOT_TEXTS) & _fine(F.col("short_len"), F.col("k")))
+        (F.col("texts") > HOT_TEXTS) & (_fine(F.col("short_len"), F.col("k")) | _few_spellings(F.col("short_len"), F.col("k"))))
     common = cut_lineage(common.drop("texts"))
     longer = rows.select(*block, F.col("text").alias("text_2"), length.alias("len_2"), F.col("row").alias("row_2"), k.alias("k"))
     # with equal lengths both texts probe, so the text order keeps one direction
@@ -106,11 +156,31 @@ def candidates(df: DataFrame, text: str, block: Sequence[str], payload: Sequence
     crowded = cut_lineage(indexed.join(common, [*spot, "piece", "part"], "left_semi").select(*spot, "text_1").distinct())
     plain = indexed.join(crowded, [*spot, "text_1"], "left_anti")
     one = plain.join(single_probes(longer, block), [*spot, "piece", "part"])
-    finer = short.join(crowded, [*spot, "text_1"], "left_semi")
+    whole = _few_spellings(F.col("short_len"), F.col("k"))
+    finer = short.join(crowded.filter(~whole), [*spot, "text_1"], "left_semi")
     keys = rare_pairs(finer.select("*", index_entries(_fine_pieces(F.col("short_len"), F.col("k")))), spot)
     both = ["piece_1", "part_1", "piece_2", "part_2"]
-    two = finer.join(keys, [*spot, "text_1"]).join(pair_probes(longer, block, crowded.select(*spot).distinct()), [*spot, *both])
-    return one.filter(different).select(*kept).unionByName(two.filter(different).select(*kept))
+    two = finer.join(keys, [*spot, "text_1"]).join(pair_probes(longer, block, crowded.filter(~whole).select(*spot).distinct()), [*spot, *both])
+
+    spelled = crowded.filter(whole)
+    listed = short.join(spelled, [*spot, "text_1"], "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("gap"))
+    listed = listed.select(*spot, "gap", "text_1", "row_1", F.inline(left_overs(F.col("text_1"), F.col("k"), F.col("gap"), False)))
+    probes = spelling_probes(longer, block, spelled.select(*spot).distinct())
+    alike = [*spot, "gap", "deleted", "spelling"]
+    tasks = tasks_for(spelled.count(), TEXTS_PER_TASK)
+    if tasks > 1:
+        # few bytes make many pairs
+        listed, probes = listed.repartition(tasks, *alike), probes.repartition(tasks, *alike)
+    three = listed.join(probes, alike)
+    parts = [x.filter(different).select(*kept) for x in (one, two, three)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def spelling_probes(longer: DataFrame, block: Sequence[str], spots: DataFrame) -> DataFrame:
+    """What is left of the longer texts, for the lengths in ``spots``."""
+    gaps = longer.select("*", F.explode(F.sequence(F.lit(0), F.least("k", "len_2"))).alias("gap"))
+    wanted = gaps.withColumn("short_len", F.col("len_2") - F.col("gap")).join(spots, [*block, "short_len", "k"], "left_semi")
+    return wanted.select(*block, "text_2", "len_2", "row_2", "k", "short_len", "gap", F.inline(left_overs(F.col("text_2"), F.col("k"), F.col("gap"), True)))
 
 
 def single_probes(longer: DataFrame, block: Sequence[str]) -> DataFrame:

@@ -262,6 +262,21 @@ def test_a_common_word_does_not_bring_all_names_together(spark):
     assert all(frozenset(p) in pairs for p in zip(names[0:400:2] + names[1:400:2], near))
 
 
+@pytest.mark.parametrize("sizes, limits", [((4_000, 8_000), (0, 0.85)), ((1_500, 3_000), (2, None))])
+def test_short_texts_with_a_common_word_stay_linear(spark, sizes, limits):
+    joined = []
+    for n in sizes:
+        df = spark.createDataFrame([(f"acme {i * 7 + 1000}", i) for i in range(n)], "name string, id int").repartition(8)
+        found = similar.candidates(df, "name", [], ["id"], *limits).select("text_1", "text_2").cache()
+        joined.append(found.count())
+        pairs = {frozenset(r) for r in found.distinct().collect()}
+        found.unpersist()
+        # 70 numbers further on, one or two letters differ
+        assert {frozenset((f"acme {x}", f"acme {x + 700}")) for x in range(1000, 1000 + 7 * (n - 100), 7) if str(x)[-3] in "012"} <= pairs
+    # all with all would be four times as many
+    assert joined[1] < 3 * joined[0]
+
+
 @pytest.mark.parametrize("limits", [(2, None), (1, None), (0, 0.8), (3, 0.85)])
 def test_finer_pieces_find_all_pairs(spark, monkeypatch, limits):
     monkeypatch.setattr(similar, "HOT_TEXTS", 3)
