@@ -13,7 +13,7 @@ from rowmender.config import DuplicateSettings
 from rowmender.functions import text as t
 from rowmender.operators.duplicates import match_keys, pairs_in
 from rowmender.operators.similar import similar_texts
-from rowmender.operators.skew import hot_counted, ordered_position, salted_join
+from rowmender.operators.skew import hot_counted, ordered_position, salted_join, spread_rows
 
 
 def _ordered(pairs: DataFrame, *rest) -> DataFrame:
@@ -57,7 +57,8 @@ def fuzzy_pairs(contacts: DataFrame, settings: DuplicateSettings = DuplicateSett
 
     A profile whose own members are not all linked by exact keys is reported against itself.
     """
-    keys = match_keys(contacts, settings.default_country_code)
+    # seven keys of each contact are counted
+    keys = match_keys(spread_rows(contacts), settings.default_country_code)
     members = keys.filter(F.col("company").isNotNull() & (F.col("name") != ""))
     profiles = name_profiles(members)
     close = similar_texts(profiles, "name", ["company"], ["id", "n"], settings.max_fuzzy_distance, settings.fuzzy_match_threshold)
