@@ -206,3 +206,24 @@ def test_primary(spark):
     groups = spark.createDataFrame([("1", "1"), ("2", "1"), ("4", "1"), ("3", "1")], "id string, set_id string")
     row = sets.primaries(groups, people).first()
     assert (row.primary_id, row.members, row.filled) == ("3", 4, 3)
+
+
+def test_tasks_that_widen_contacts_hold_few_rows(spark, monkeypatch):
+    from rowmender.operators import consistency, skew
+    from rowmender.session import scratch_path
+
+    path = scratch_path(spark, "one-file")
+    spark.createDataFrame(rows(200, 4), SCHEMA).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    listed = lambda found: sorted(map(str, found.collect()))
+    whole = listed(d.pair_counts(df)), listed(fuzzy.fuzzy_pairs(df))
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 30)
+    counted = d.pair_counts(df)
+    assert "RoundRobinPartitioning(7)" in counted._jdf.queryExecution().executedPlan().toString()
+    close = fuzzy.fuzzy_pairs(df)
+    assert "RoundRobinPartitioning(7)" in close._jdf.queryExecution().executedPlan().toString()
+    assert (listed(counted), listed(close)) == whole and whole[0]
+    # the inputs of the profile are not read again when its rows are
+    numbers = df.select("id", F.length("firstname").alias("filled"))
+    profile = consistency.pair_profile(d.exact_pairs(df).select("id_1", "id_2", "match_type"), numbers)
+    assert path not in profile._jdf.queryExecution().executedPlan().toString() and profile.count() > 0
