@@ -18,6 +18,7 @@ from rowmender.functions import text as t
 from rowmender.operators.duplicates import KEY_PROPERTIES, match_keys
 from rowmender.operators.properties import standardise
 from rowmender.operators.rules import audit_contacts
+from rowmender.session import drop_path, written
 from rowmender.sources.kept import Change, KeptTables, buckets_of
 
 
@@ -125,6 +126,9 @@ def upsert(tables: KeptTables, order: str, buckets: int, settings: DuplicateSett
     A new contact with the name and company of an earlier one is marked as its potential
     duplicate. Only the partitions of the addresses and names that arrive are read and written, and
     a batch is staged as a whole before it is applied, once.
+
+    The arrivals and what they meet in the table are written once per batch and read from there. The
+    joins are sort-merge joins, so that neither the table nor the batch passes through the driver.
     """
     inner = [n for n in tables.schemas[CONTACTS].names if n not in ("id", order, "email_key", "potential_duplicate", "bucket")]
 
@@ -133,35 +137,48 @@ def upsert(tables: KeptTables, order: str, buckets: int, settings: DuplicateSett
         tables.recover()
         if tables.done(tag):
             return
-        arrived = keyed(batch.select("id", order, *inner), settings)
-        fresh = buckets_of(folded(arrived, order, inner), "email_key", buckets)
+        paths: list[str] = []
+
+        def once(df: DataFrame, name: str) -> DataFrame:
+            table, path = written(df, name)
+            paths.append(path)
+            return table
+
+        try:
+            tables.change(tag, changes(keyed(batch.select("id", order, *inner), settings), number, once))
+        finally:
+            for path in paths:
+                drop_path(tables.spark, path)
+
+    def changes(arrived: DataFrame, number: int, once: Callable[[DataFrame, str], DataFrame]) -> dict[str, Change]:
+        fresh = once(buckets_of(folded(arrived, order, inner), "email_key", buckets), "arrived")
         touched = fresh.select("bucket").distinct()
         known = tables.rows_of(CONTACTS, touched)
         mine = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
         # rows without an address are never joined
-        met = fresh.join(mine, (fresh["email_key"] == mine["_email_key"]) & (fresh["bucket"] == mine["_bucket"]), "full")
+        met = once(fresh.join(mine, (fresh["email_key"] == mine["_email_key"]) & (fresh["bucket"] == mine["_bucket"]), "full"), "met")
         is_new, is_old = F.col("_id").isNull(), F.col("id").isNull()
 
-        new = met.filter(is_new).select(fresh["*"])
+        new = met.filter(is_new).select(*fresh.columns)
         names = buckets_of(new.filter("name_key is not null").select("name_key", "id", order), "name_key", buckets)
         first = names.groupBy("name_key", "bucket").agg(F.min_by("id", F.struct(order, "id")).alias("id"))
         known_names = tables.rows_of(NAMES, first.select("bucket").distinct())
         heads = first.alias("n").join(known_names.alias("k"), ["name_key", "bucket"], "full").select(
             "name_key", F.coalesce("k.id", "n.id").alias("id"), "bucket")
-        marks = new.select("id", "name_key").join(heads.select("name_key", F.col("id").alias("head")), "name_key").filter("id <> head").select(
+        marks = new.select("id", "name_key").join(heads.select("name_key", F.col("id").alias("head")).hint("merge"), "name_key").filter("id <> head").select(
             F.col("id").alias("new_id"), "head")
 
         merged = [F.when(is_old, F.col(f"_{c}")).when(is_new, F.col(c)).otherwise(F.when(filled(F.col(c)), F.col(c)).otherwise(F.col(f"_{c}"))).alias(c) for c in inner]
         rows = met.select(
             F.coalesce("_id", "id").alias("id"), F.coalesce(f"_{order}", order).alias(order), *merged, F.coalesce("_email_key", "email_key").alias("email_key"),
             F.col("_potential_duplicate"), F.coalesce("_bucket", "bucket").alias("bucket"), F.when(is_new, F.col("id")).alias("_new"))
-        marked = rows.join(marks, rows["_new"] == marks["new_id"], "left").withColumn("potential_duplicate", F.coalesce("head", "_potential_duplicate"))
+        marked = rows.join(marks.hint("merge"), rows["_new"] == marks["new_id"], "left").withColumn("potential_duplicate", F.coalesce("head", "_potential_duplicate"))
         # each arrival that is not the contact itself
         target = met.filter("id is not null").select("email_key", F.coalesce("_id", "id").alias("target")).filter("email_key is not null")
-        log = arrived.select("email_key", F.col("id").alias("arrival_id")).join(target, "email_key").filter("arrival_id <> target").select(
+        log = arrived.select("email_key", F.col("id").alias("arrival_id")).join(target.hint("merge"), "email_key").filter("arrival_id <> target").select(
             F.col("target").alias("id"), "arrival_id", F.lit(number).cast("long").alias("batch_id"))
-        tables.change(tag, {
+        return {
             CONTACTS: Change(marked, touched), NAMES: Change(heads, first.select("bucket").distinct()),
-            LOG: Change(log, log.select("batch_id").distinct())})
+            LOG: Change(log, log.select("batch_id").distinct())}
 
     return store

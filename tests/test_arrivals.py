@@ -107,3 +107,16 @@ def test_empty_batch(spark, tables):
     before = state(tables)
     arrivals.upsert(tables, "seq", 4)(batches(spark)[0].limit(0), 0)
     assert state(tables) == before
+
+
+def test_a_batch_sends_no_table_through_the_driver(spark, tables, monkeypatch):
+    plans = []
+    stage = kept.KeptTables.stage
+
+    def seen(self, tag, changes):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for c in changes.values() for df in (c.rows, c.touched))
+        return stage(self, tag, changes)
+
+    monkeypatch.setattr(kept.KeptTables, "stage", seen)
+    arrivals.upsert(tables, "seq", 4)(batches(spark)[0], 0)
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
