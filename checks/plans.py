@@ -11,7 +11,7 @@ from checks.tables import AS_OF, EXPECTED
 from rowmender.functions import text as t
 from rowmender.operators import duplicates, issues
 from rowmender.plans import apply, build, execution, order, rollback
-from rowmender.session import scratch_path
+from rowmender.session import scratch_path, written
 from rowmender.sources import store
 
 FLAT = ("action_id", "type", "confidence", "object_type", "object_id", "display_name", "description", "property",
@@ -445,12 +445,14 @@ SELECT DISTINCT from_type, from_id, to_type, to_id, assoc_type FROM (
 def apply_associations(x):
     from checks.audits import by_domain
 
+    # joined and grouped once, then read wherever it is needed
+    edges, _ = written(x.edges, "edges")
     bounced = x.contacts.filter("hard_bounced = 'true'").select(F.col("id").alias("from_id"))
-    remove = x.edges.join(bounced, "from_id", "left_semi")
+    remove = edges.join(bounced, "from_id", "left_semi")
     create = by_domain(x).select(
         F.lit("contact").alias("from_type"), F.col("id").alias("from_id"), F.lit("company").alias("to_type"),
         F.col("company_id").alias("to_id"))
-    return apply.apply_associations(x.edges, create, remove)
+    return apply.apply_associations(edges, create, remove)
 
 
 @query("rollback_capture", f"""

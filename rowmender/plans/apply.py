@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmender.functions import text as t
-from rowmender.operators.skew import salted_join
+from rowmender.operators.skew import salted_join, spread_keys
 from rowmender.schemas import require_columns
 from rowmender.session import cut_lineage
 
@@ -164,21 +164,34 @@ def list_removals(actions: DataFrame) -> DataFrame:
 
 
 EDGE = ("from_type", "from_id", "to_type", "to_id")
+# A task holds about this many edges.
+EDGES_PER_TASK = 250_000
 
 
 def apply_associations(edges: DataFrame, create: DataFrame | None = None, remove: DataFrame | None = None,
                        default_type: str = "contact_to_company") -> DataFrame:
-    """The edge table after removals of the default type, then additions."""
-    out = edges.select(*EDGE, F.coalesce("assoc_type", F.col("to_type")).alias("assoc_type"))
+    """The edge table after removals of the default type, then additions; each edge once.
+
+    Edges, removals and additions are marked and meet in one grouping by edge. Their rows are counted
+    first, so that a task holds about ``EDGES_PER_TASK`` of them whatever the size of the tables.
+    """
+    there, gone, added = 1, 2, 4
     keys = [*EDGE, "assoc_type"]
+
+    def marked(df: DataFrame, assoc_type: Column, mark: int) -> DataFrame:
+        return df.select(*EDGE, assoc_type.alias("assoc_type"), F.lit(mark).alias("_mark"))
+
+    rows = marked(edges, F.coalesce("assoc_type", F.col("to_type")), there)
     if remove is not None:
-        gone = remove.select(*EDGE).distinct().withColumn("assoc_type", F.lit(default_type))
-        out = out.join(gone, keys, "left_anti")
+        # an edge with a null equals no other, so no removal meets it
+        rows = rows.unionByName(marked(remove.dropna(subset=list(EDGE)), F.lit(default_type), gone))
     if create is not None:
         new = require_columns(create, ["assoc_type"])
         new = new.filter(t.present("to_type") & t.present("to_id"))
-        out = out.unionByName(new.select(*EDGE, F.coalesce(t.nonempty("assoc_type"), F.lit(default_type)).alias("assoc_type")))
-    return out.distinct()
+        rows = rows.unionByName(marked(new, F.coalesce(t.nonempty("assoc_type"), F.lit(default_type)), added))
+    dealt = spread_keys(rows, keys, rows.count(), EDGES_PER_TASK)
+    marks = dealt.groupBy(*keys).agg(F.bit_or("_mark").alias("_marks"))
+    return marks.filter((F.col("_marks") == there) | (F.col("_marks") >= added)).select(*keys)
 
 
 def association_actions(actions: DataFrame) -> DataFrame:

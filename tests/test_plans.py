@@ -214,6 +214,41 @@ def test_lists_edges_deletes(spark, people):
     assert content(table)["3"][1] == "0" and {r.id: r.status for r in outcome.collect()} == {"3": "success", "zz": "error"}
 
 
+def test_edges_stay_spread(spark, monkeypatch):
+    monkeypatch.setattr(apply, "EDGES_PER_TASK", 100, raising=False)
+    columns = "from_type string, from_id string, to_type string, to_id string, assoc_type string"
+    default = "contact_to_company"
+    rows = [("contact", str(i), "company", str(i % 7), None if i % 5 == 0 else default) for i in range(2000)]
+    odd = [("contact", None, "company", "1", default), ("contact", "x", "company", "1", "other"), ("contact", "x", "company", "1", "other")]
+    edges = spark.createDataFrame(rows + odd, columns)
+    remove = spark.createDataFrame([r for r in rows if int(r[1]) % 3 == 0] + odd, columns)
+    create = spark.createDataFrame([("contact", "3", "company", "3", None), ("contact", "x", "company", "", None), ("contact", "n", "company", "9", "")], columns)
+    out = apply.apply_associations(edges, create, remove)
+    left = {(*r[:4], r[4] or "company") for r in rows if r[4] is None or int(r[1]) % 3}
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(
+        map(repr, left | set(odd) | {("contact", "3", "company", "3", default), ("contact", "n", "company", "9", default)}))
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300
+
+
+def test_derived_edges_are_those_of_their_sql(spark, monkeypatch):
+    from checks import tables
+
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 50, raising=False)
+    orders = spark.createDataFrame([(i if i % 50 else None, i % 40 if i % 9 else None) for i in range(300)] + [(1, 1)], "o_orderkey bigint, o_custkey bigint")
+    lines = spark.createDataFrame(
+        [(i % 310 if i % 20 else None, i % 11 if i % 13 else None, "ANR"[i % 3] if i % 7 else None) for i in range(1000)], "l_orderkey bigint, l_suppkey bigint, l_returnflag string")
+    path = scratch_path(spark, "tables")
+    orders.write.parquet(f"{path}/orders.parquet")
+    lines.write.parquet(f"{path}/lineitem.parquet")
+    got = tables.table(spark, path, "edges")
+    orders.createOrReplaceTempView("orders")
+    lines.createOrReplaceTempView("lineitem")
+    want = spark.sql(tables.DERIVED["edges"])
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100
+
+
 def test_conflicts_and_batches(spark):
     todo = actions(
         spark, action(1, "update_property", "1", "email", "x"), action(2, "update_property", "1", "email", "y"),
