@@ -172,7 +172,10 @@ def upsert(tables: KeptTables, order: str, buckets: int, settings: DuplicateSett
         rows = met.select(
             F.coalesce("_id", "id").alias("id"), F.coalesce(f"_{order}", order).alias(order), *merged, F.coalesce("_email_key", "email_key").alias("email_key"),
             F.col("_potential_duplicate"), F.coalesce("_bucket", "bucket").alias("bucket"), F.when(is_new, F.col("id")).alias("_new"))
-        marked = rows.join(marks.hint("merge"), rows["_new"] == marks["new_id"], "left").withColumn("potential_duplicate", F.coalesce("head", "_potential_duplicate"))
+        # contacts that were there have no part in the join, where all of them would be in one task
+        names_met = rows.filter("_new is not null").join(marks.hint("merge"), F.col("_new") == F.col("new_id"), "left").drop("new_id")
+        marked = names_met.unionByName(rows.filter("_new is null").withColumn("head", F.lit(None).cast("string"))).withColumn(
+            "potential_duplicate", F.coalesce("head", "_potential_duplicate"))
         # each arrival that is not the contact itself
         target = met.filter("id is not null").select("email_key", F.coalesce("_id", "id").alias("target")).filter("email_key is not null")
         log = arrived.select("email_key", F.col("id").alias("arrival_id")).join(target.hint("merge"), "email_key").filter("arrival_id <> target").select(
